@@ -25,7 +25,7 @@ def _rescale(value: Column, mul: Column, div: Column) -> Column:
     """
     scaled = F.abs(_big(value)) * mul
     doubled = (scaled * 2 + div).cast(BIG)
-    fits = doubled < (div * 2).cast(BIG) * F.lit(2**63).cast(BIG)
+    fits = doubled < (div * 2).cast(BIG) * F.lit(str(2**63)).cast(BIG)
     # The divisor is at most 2**31 * 1e9 * 2; the quotient is a BIGINT once it is known to fit.
     safe = F.when(fits, doubled).otherwise(F.lit(0).cast(BIG))
     quotient = F.call_function("div", safe, (div * 2).cast(BIG))
