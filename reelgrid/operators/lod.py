@@ -112,16 +112,19 @@ def _keyed(samples: DataFrame | Ordered, geometry: DataFrame) -> DataFrame:
             "bucket",
             bucket_of(F.col("pt_ns"), F.col("duration_ns"), F.col("span_ns"), F.col("buckets")),
         )
-        .select("media_id", "bucket", *SCORES.values())
+        .select("media_id", "bucket", "levels", *SCORES.values())
     )
 
 
 def lod_base(samples: DataFrame | Ordered, geometry: DataFrame) -> DataFrame:
-    """Base accumulators: one map-side combined aggregate on (media, bucket)."""
-    return _keyed(samples, geometry).groupBy("media_id", "bucket").agg(*_accumulate())
+    """Base accumulators: one map-side combined aggregate on (media, bucket).
+
+    ``levels`` is a property of the media that rides along in the key.
+    """
+    return _keyed(samples, geometry).groupBy("media_id", "bucket", "levels").agg(*_accumulate())
 
 
-def lod_levels(base: DataFrame, geometry: DataFrame, config: LodConfig = LodConfig()) -> DataFrame:
+def lod_levels(base: DataFrame, config: LodConfig = LodConfig()) -> DataFrame:
     """All levels from base accumulators: media_id, level, bucket and accumulator columns.
 
     Base buckets are placed by blocks of 4096 (for grouping 4), so the levels inside a block need
@@ -129,42 +132,39 @@ def lod_levels(base: DataFrame, geometry: DataFrame, config: LodConfig = LodConf
     """
     config = config.normalized()
     block, low = _block(config), _levels_in_block(config)
-    powers = [config.grouping**k for k in range(low)]
-    slim = geometry.select("media_id", "levels")
+    most = _most_levels(config)
     placed = base.withColumn("block", div(F.col("bucket"), block)).repartition("media_id", "block")
-    lower = _roll_up(placed, powers, 0)
-    top = (
-        lower.where(F.col("level") == low - 1)
-        .select("media_id", "bucket", *_state())
-        .withColumn("block", F.lit(0))
-    )
-    width = max(config.levels - low + 1, 1)
-    upper = _roll_up(top, [config.grouping**k for k in range(min(width, 10))], low - 1).where(
-        F.col("level") >= low
-    )
-    return (
-        lower.unionByName(upper)
-        .join(slim, "media_id")
-        .where(F.col("level") < F.col("levels"))
-        .drop("levels")
-    )
+    lower = _roll_up(placed, config, 0, min(low, most))
+    if most <= low:
+        return lower.drop("levels")
+    top = lower.where((F.col("level") == low - 1) & (F.col("levels") > low)).drop("level")
+    upper = _roll_up(top.withColumn("block", F.lit(0)), config, low - 1, most).where(F.col("level") >= low)
+    return lower.unionByName(upper).drop("levels")
+
+
+def _most_levels(config: LodConfig) -> int:
+    """Levels a media can have at most under the base bucket limit."""
+    n, width = 1, 1
+    while n < config.levels and width < config.base_buckets:
+        n, width = n + 1, width * config.grouping
+    return n
 
 
 def _state() -> list[str]:
     return ["sample_count", *[f"{s}_{a}" for s in SCORES for a in ("count", "sum", "min", "max")]]
 
 
-def _roll_up(rows: DataFrame, powers: list[int], first: int) -> DataFrame:
-    levels = F.array(
-        *[
-            F.struct(F.lit(first + k).alias("level"), div(F.col("bucket"), p).alias("bucket"))
-            for k, p in enumerate(powers)
-        ]
+def _roll_up(rows: DataFrame, config: LodConfig, first: int, stop: int) -> DataFrame:
+    """Levels ``first`` to ``stop`` - 1 of rows that are buckets of level ``first``."""
+    level = F.explode(F.sequence(F.lit(first), F.least(F.col("levels"), F.lit(stop)) - 1))
+    width = F.element_at(
+        F.array(*[F.lit(config.grouping**k) for k in range(stop - first)]).cast("array<bigint>"),
+        F.col("level") - first + 1,
     )
     return (
-        rows.withColumn("_l", F.explode(levels))
-        .select("media_id", "block", F.col("_l.level").alias("level"), F.col("_l.bucket").alias("bucket"), *_state())
-        .groupBy("media_id", "block", "level", "bucket")
+        rows.withColumn("level", level)
+        .withColumn("bucket", div(F.col("bucket"), width))
+        .groupBy("media_id", "block", "level", "bucket", "levels")
         .agg(*_merge())
         .drop("block")
     )
@@ -194,7 +194,7 @@ def lod_finish(levels: DataFrame, geometry: DataFrame, config: LodConfig = LodCo
 def build_lod(
     samples: DataFrame | Ordered, geometry: DataFrame, config: LodConfig = LodConfig()
 ) -> DataFrame:
-    return lod_finish(lod_levels(lod_base(samples, geometry), geometry, config), geometry, config)
+    return lod_finish(lod_levels(lod_base(samples, geometry), config), geometry, config)
 
 
 def level_choice(requests: DataFrame, geometry: DataFrame, config: LodConfig = LodConfig()) -> DataFrame:

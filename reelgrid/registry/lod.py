@@ -156,7 +156,7 @@ def lod_replace_range(spark, folder):
     stale = s.plain().join(aligned, "media_id").withColumn(
         "motion", F.when(inside & F.col("pt_ns").between(F.col("lo"), F.col("hi") - 1), F.col("motion") / 2).otherwise(F.col("motion")).cast("float")
     )
-    old = L.lod_levels(L.lod_base(stale, g), g, LOD)
+    old = L.lod_levels(L.lod_base(stale, g), LOD)
     out = L.replace_range(old, changed, s.plain(), g, LOD)
     return out.select(
         "media_id", F.col("level").cast("bigint").alias("level"), "bucket", "sample_count",
