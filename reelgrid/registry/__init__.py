@@ -1,6 +1,6 @@
 """Registered queries: every operator over the given tables, with equivalent SQL where there is one."""
 
 from .base import CATALOGUE
-from . import detections, lod, lookups, pictures, planning  # noqa: F401  (registration)
+from . import detections, lod, lookups, pictures, planning, streams, tables  # noqa: F401  (registration)
 
 __all__ = ["CATALOGUE"]

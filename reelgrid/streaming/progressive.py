@@ -15,9 +15,14 @@ from ..functions.scores import unit
 EVENT_TIME = "event_time"
 
 
+# Media time 0 as an event time. A watermark starts at the epoch and drops what is not after it.
+ORIGIN_US = 946_684_800_000_000
+
+
 def with_event_time(samples: DataFrame) -> DataFrame:
     """Microsecond event time beside the exact nanoseconds, for watermarks only."""
-    return samples.withColumn(EVENT_TIME, F.timestamp_micros(F.call_function("div", F.col("pt_ns"), F.lit(1000))))
+    micros = F.call_function("div", F.col("pt_ns"), F.lit(1000)) + F.lit(ORIGIN_US)
+    return samples.withColumn(EVENT_TIME, F.timestamp_micros(micros))
 
 
 def dedup_stream(samples: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -77,7 +82,8 @@ def progressive_lod(stream: DataFrame, geometry: DataFrame, delay: str = "10 min
     With ``width`` a tumbling event-time window joins the key, so append mode can emit closed ones.
     """
     timed = (stream if EVENT_TIME in stream.columns else with_event_time(stream)).withWatermark(EVENT_TIME, delay)
-    keyed = timed.join(geometry, "media_id").withColumn(
+    slim = timed.select("media_id", "pt_ns", EVENT_TIME, *SCORES.values())
+    keyed = slim.join(geometry, "media_id").withColumn(
         "bucket", bucket_of(F.col("pt_ns"), F.col("duration_ns"), F.col("span_ns"), F.col("buckets"))
     )
     keys = [F.col("media_id"), F.col("bucket")]

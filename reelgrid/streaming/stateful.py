@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import DetectionConfig
@@ -23,50 +25,56 @@ OUT = (
 _OUT_COLUMNS = [p.split()[0] for p in OUT.split(", ")]
 
 
-def _num(value, default=None):
-    return default if value is None or pd.isna(value) else value
+# Whole numbers stand in for nulls on the way to pandas, where a null would turn a column of
+# 64-bit values into inexact floats. Hashes travel as text for the same reason.
+NO_INDEX, ABSENT = -1, -(2**63)
 
 
-def _sorted(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    rows = pd.concat(list(batches), ignore_index=True)
-    return rows.sort_values(["pt_ns", "presentation_index"], kind="stable")
+def _f32(value: float) -> float:
+    return float(np.float32(value))
+
+
+def _score(value) -> float | None:
+    return None if value is None or pd.isna(value) else float(np.float32(value))
+
+
+def _sorted(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+
+
+def _frame(rows: list, columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=columns)
 
 
 class RunDetector(StatefulProcessor):
     """Duplicate and freeze runs: emits a run once a row breaks it.
 
-    A closing row per media (``closing`` true, no scores) ends open runs.
+    A closing row per media (``closing`` true) ends open runs.
     """
 
     def __init__(self, config: DetectionConfig = DetectionConfig()):
         self.config = config.normalized()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState(
-            "last", "pt_ns bigint, presentation_index bigint, content_hash bigint, end_ns bigint"
-        )
+        self.last = handle.getValueState("last", "pt_ns bigint, frame bigint, content string")
         run = "kind string, start_ns bigint, first_frame bigint, end_ns bigint, last_frame bigint, total double, n bigint"
         self.runs = {"duplicate": handle.getValueState("duplicate", run), "freeze": handle.getValueState("freeze", run)}
 
     def _kinds(self, row, last) -> dict[str, str | None]:
-        score = _num(row.duplicate_score)
-        c = self.config
+        score, c = _score(row.duplicate_score), self.config
         out: dict[str, str | None] = {"duplicate": None, "freeze": None}
         if score is None or last is None:
             return out
-        score = float(pd.Series([score], dtype="float32").iloc[0])
-        f32 = lambda x: float(pd.Series([x], dtype="float32").iloc[0])
-        if score >= f32(c.near_duplicate_threshold):
-            same = last[2] is not None and _num(row.content_hash) is not None and last[2] == row.content_hash
+        if score >= _f32(c.near_duplicate_threshold):
+            same = last[2] != "" and last[2] == row.content
             out["duplicate"] = "exact_duplicate" if same else "near_duplicate"
-        if score >= f32(c.freeze_threshold):
+        if score >= _f32(c.freeze_threshold):
             out["freeze"] = "freeze"
         return out
 
     def _emit(self, media: str, run) -> list:
         kind, start, first, end, last, total, n = run
-        c = self.config
-        frames = n + 1
+        c, frames = self.config, n + 1
         if kind == "freeze":
             ok = frames >= c.freeze_frames and end - start >= c.freeze_duration_ns
         else:
@@ -76,38 +84,33 @@ class RunDetector(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         media, out = key[0], []
         last = self.last.get() if self.last.exists() else None
-        open_runs = {k: (s.get() if s.exists() else None) for k, s in self.runs.items()}
-        for row in _sorted(rows).itertuples(index=False):
+        current = {k: (s.get() if s.exists() else None) for k, s in self.runs.items()}
+        for row in _sorted(rows, ["closing", "pt_ns", "frame"]).itertuples(index=False):
             if row.closing:
-                for k, run in open_runs.items():
-                    if run is not None:
-                        out += self._emit(media, run)
-                    open_runs[k] = None
+                for k, run in current.items():
+                    out += self._emit(media, run) if run is not None else []
+                    current[k] = None
                 continue
             if last is not None and row.pt_ns < last[0]:
                 continue
             end = int(row.pt_ns) + max(int(row.duration_ns), 1)
             for k, kind in self._kinds(row, last).items():
-                run = open_runs[k]
+                run = current[k]
                 if run is not None and run[0] != kind:
                     out += self._emit(media, run)
                     run = None
                 if kind is not None:
                     if run is None:
-                        run = (kind, last[0], last[1], end, row.presentation_index, 0.0, 0)
-                    run = (*run[:3], end, row.presentation_index, run[5] + float(row.duplicate_score), run[6] + 1)
-                open_runs[k] = run
-            content = _num(row.content_hash)
-            last = (int(row.pt_ns), _num(row.presentation_index), None if content is None else int(content), end)
+                        run = (kind, last[0], last[1], end, int(row.frame), 0.0, 0)
+                    run = (*run[:3], end, int(row.frame), run[5] + float(row.duplicate_score), run[6] + 1)
+                current[k] = run
+            last = (int(row.pt_ns), int(row.frame), row.content)
         if last is not None:
             self.last.update(last)
         for k, state in self.runs.items():
-            if open_runs[k] is None:
-                state.clear()
-            else:
-                state.update(tuple(open_runs[k]))
+            state.clear() if current[k] is None else state.update(tuple(current[k]))
         if out:
-            yield pd.DataFrame(out, columns=_OUT_COLUMNS)
+            yield _frame(out, _OUT_COLUMNS)
 
     def close(self) -> None:
         pass
@@ -121,63 +124,60 @@ class SceneDetector(StatefulProcessor):
         self.config = config.normalized()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        row = "pt_ns bigint, end_ns bigint, presentation_index bigint, score double"
-        self.held = handle.getValueState("held", row + ", left double, number bigint")
-        self.latest = handle.getValueState("latest", row)
-        self.first = handle.getValueState("first", "pt_ns bigint, emitted bigint")
+        # Scores of -1 stand for absent ones.
+        self.held = handle.getValueState(
+            "held", "pt_ns bigint, end_ns bigint, frame bigint, score double, before double, number bigint"
+        )
+        self.latest = handle.getValueState("latest", "pt_ns bigint, end_ns bigint, frame bigint, score double")
+        self.first = handle.getValueState("first", "pt_ns bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         c, out = self.config, []
-        f32 = lambda x: float(pd.Series([x], dtype="float32").iloc[0])
-        held = self.held.get() if self.held.exists() else None
-        latest = self.latest.get() if self.latest.exists() else None
-        first = self.first.get() if self.first.exists() else None
+        held, latest, first = (
+            s.get() if s.exists() else None for s in (self.held, self.latest, self.first)
+        )
 
         def emit(scene) -> None:
             out.append([key[0], "scene", scene[0], scene[1], scene[2], scene[2], 1, min(max(scene[3], 0.0), 1.0)])
 
-        def judge(row, right) -> None:
+        def judge(row, after: float) -> None:
             nonlocal latest, first
-            t, end, index, score, left, number = row
+            t, end, frame, score, before, number = row
             if number == 0:
-                latest, first = (t, end, index, 1.0), (t, 0)
+                latest, first = (t, end, frame, 1.0), (t,)
                 return
-            if score is None or score < f32(c.scene_threshold):
+            if score < _f32(c.scene_threshold) or score < max(before, 0.0) or score < max(after, 0.0):
                 return
-            if score < (left or 0.0) or score < (right or 0.0):
+            if t - latest[0] >= c.scene_separation_ns:
+                emit(latest)
+            elif not (latest[3] < score and latest[0] != first[0]):
                 return
-            if t - latest[0] < c.scene_separation_ns:
-                if latest[3] < score and latest[0] != first[0]:
-                    latest = (t, end, index, score)
-                return
-            emit(latest)
-            latest = (t, end, index, score)
+            latest = (t, end, frame, score)
 
-        for row in _sorted(rows).itertuples(index=False):
+        for row in _sorted(rows, ["closing", "pt_ns", "frame"]).itertuples(index=False):
             if row.closing:
                 if held is not None:
-                    judge(held, None)
-                    held = None
-                if latest is not None:
+                    judge(held, -1.0)
+                if latest is not None or held is not None:
                     emit(latest)
-                    latest = None
+                held = latest = None
                 continue
             if held is not None and row.pt_ns < held[0]:
                 continue
-            score = _num(row.scene_score)
-            score = None if score is None else f32(score)
-            left, number = None, 0
+            score = _score(row.scene_score)
+            score = -1.0 if score is None else score
+            before, number = -1.0, 0
             if held is not None:
                 judge(held, score)
                 number = held[5] + 1
                 # Row 1 does not look back at row 0's score.
-                left = held[3] if number > 1 else None
+                before = held[3] if number > 1 else -1.0
             end = int(row.pt_ns) + max(int(row.duration_ns), 1)
-            held = (int(row.pt_ns), end, _num(row.presentation_index), score, left, number)
+            held = (int(row.pt_ns), end, int(row.frame), score, before, number)
         for state, value in ((self.held, held), (self.latest, latest), (self.first, first)):
             state.clear() if value is None else state.update(tuple(value))
         if out:
-            yield pd.DataFrame(out, columns=_OUT_COLUMNS)
+            yield _frame(out, _OUT_COLUMNS)
 
     def close(self) -> None:
         pass
@@ -185,9 +185,16 @@ class SceneDetector(StatefulProcessor):
 
 def detect_stream(samples: DataFrame, processor: StatefulProcessor) -> DataFrame:
     """Apply a detector to a stream of samples with a ``closing`` flag column."""
-    return samples.groupBy("media_id").transformWithStateInPandas(
+    rows = samples.select(
+        "media_id", "pt_ns", "duration_ns", F.coalesce("presentation_index", F.lit(NO_INDEX)).alias("frame"),
+        "scene_score", "duplicate_score", F.coalesce(F.col("content_hash").cast("string"), F.lit("")).alias("content"),
+        F.coalesce("closing", F.lit(False)).alias("closing"),
+    )
+    out = rows.groupBy("media_id").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=OUT, outputMode="Append", timeMode="None"
     )
+    known = {c: F.when(F.col(c) != NO_INDEX, F.col(c)) for c in ("first_frame", "last_frame")}
+    return out.withColumns(known)
 
 
 class VisitHistory(StatefulProcessor):
@@ -212,13 +219,13 @@ class VisitHistory(StatefulProcessor):
     def _same(a, b) -> bool:
         if a[0] and a[0] == b[0]:
             return True
-        if a[1] is not None and b[1] is not None and a[1] >= 0 and b[1] >= 0:
+        if a[1] >= 0 and b[1] >= 0:
             return a[1] == b[1]
         return a[3] == b[3] and a[2] == b[2]
 
     def step(self, entries: list, position: int, action: str, item) -> tuple[list, int]:
         if action == "visit":
-            if item[3] is None:
+            if item[3] == ABSENT:
                 return entries, position
             if position >= 0 and self._same(entries[position], item):
                 entries[position] = item
@@ -237,22 +244,25 @@ class VisitHistory(StatefulProcessor):
             stored = self.state.get()
             entries, position = [tuple(e) for e in stored[0]], int(stored[1])
         out = []
-        ordered = pd.concat(list(rows), ignore_index=True).sort_values("seq")
-        for r in ordered.itertuples(index=False):
-            whole = lambda v: None if _num(v) is None else int(v)
-            item = (whole(r.serial), whole(r.presentation_index), whole(r.pts), whole(r.pt_ns))
+        for r in _sorted(rows, ["seq"]).itertuples(index=False):
+            item = (int(r.serial), int(r.presentation_index), int(r.pts), int(r.pt_ns))
             entries, position = self.step(entries, position, r.action, item)
-            now = entries[position] if position >= 0 else (None, None, None, None)
-            out.append([key[0], r.seq, r.action, len(entries), position, now[1], now[3], position > 0, 0 <= position < len(entries) - 1])
+            now = entries[position] if position >= 0 else (0, NO_INDEX, ABSENT, ABSENT)
+            forward = 0 <= position < len(entries) - 1
+            out.append([key[0], r.seq, r.action, len(entries), position, now[1], now[3], position > 0, forward])
         self.state.update((entries, position))
-        yield pd.DataFrame(out, columns=[p.split()[0] for p in self.SCHEMA.split(", ")])
+        yield _frame(out, [p.split()[0] for p in self.SCHEMA.split(", ")])
 
     def close(self) -> None:
         pass
 
 
 def visit_history(visits: DataFrame, keep: int = 128) -> DataFrame:
-    return visits.groupBy("user_id").transformWithStateInPandas(
+    whole = lambda c, absent: F.coalesce(c, F.lit(absent)).cast("bigint").alias(c)
+    rows = visits.select(
+        "user_id", "seq", "action", whole("serial", 0), whole("presentation_index", NO_INDEX), whole("pts", ABSENT), whole("pt_ns", ABSENT)
+    )
+    return rows.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=VisitHistory(keep), outputStructType=VisitHistory.SCHEMA, outputMode="Append", timeMode="None"
     )
 
@@ -268,14 +278,14 @@ class DecodeRate(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         rate = self.state.get()[0] if self.state.exists() else 0.0
         out = []
-        for r in pd.concat(list(rows), ignore_index=True).sort_values("seq").itertuples(index=False):
+        for r in _sorted(rows, ["seq"]).itertuples(index=False):
             if r.seconds > 0:
                 now = 1.0 / r.seconds
                 rate = now if rate == 0.0 else rate * 0.85 + now * 0.15
                 out.append([key[0], r.seq, rate])
         self.state.update((rate,))
         if out:
-            yield pd.DataFrame(out, columns=["session_id", "seq", "rate"])
+            yield _frame(out, ["session_id", "seq", "rate"])
 
     def close(self) -> None:
         pass
