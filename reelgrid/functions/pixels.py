@@ -18,8 +18,11 @@ def stack(planes, size: int) -> np.ndarray:
 
 
 def histogram(block: np.ndarray) -> np.ndarray:
-    """32-bin histogram of every row."""
+    """32-bin histogram of every row, a cache-sized slice of rows at a time."""
     n, size = block.shape
+    step = max(1, (1 << 20) // size)
+    if n > step:
+        return np.concatenate([histogram(block[i : i + step]) for i in range(0, n, step)])
     keys = (block >> 3).astype(np.int32) + (np.arange(n, dtype=np.int32) * BINS)[:, None]
     return np.bincount(keys.ravel(), minlength=n * BINS).reshape(n, BINS)
 
@@ -28,10 +31,10 @@ def content_hash(block: np.ndarray, width: int, height: int) -> np.ndarray:
     """FNV-1a over the pixels, then the bytes of width and height in turn, low byte first."""
     prime = np.uint64(FNV_PRIME)
     h = np.full(len(block), FNV_OFFSET, np.uint64)
-    columns = np.ascontiguousarray(block.T)
-    for column in columns:
-        h ^= column
-        h *= prime
+    # Pixel positions in order; all rows advance together.
+    for column in np.ascontiguousarray(block.T):
+        np.bitwise_xor(h, column, out=h)
+        np.multiply(h, prime, out=h)
     for shift in (0, 8, 16, 24):
         for side in (width, height):
             h ^= np.uint64((side >> shift) & 255)
@@ -84,7 +87,12 @@ def pair_scores(motion_sum, overlap, hash_distance, size: int):
 
 def abs_difference_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sum of |a - b| per row, without leaving uint8."""
-    return (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
+    step = max(1, (1 << 20) // a.shape[1])
+    parts = [
+        (np.maximum(a[i : i + step], b[i : i + step]) - np.minimum(a[i : i + step], b[i : i + step])).sum(axis=1, dtype=np.int64)
+        for i in range(0, len(a), step)
+    ]
+    return np.concatenate(parts)
 
 
 def popcount(values: np.ndarray) -> np.ndarray:

@@ -44,16 +44,14 @@ def bracket(
     both = row_part.withColumn(_SIDE, F.lit(0)).unionByName(
         probe_part.withColumn(_SIDE, F.lit(1)), allowMissingColumns=True
     )
-    tail = [f"row.{c}" for c in order[1:]]
-    flat = both.select(
-        *keys, _AT, _SIDE, "row", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(tail)]
-    )
-    rest = tuple(f"_o{i}" for i in range(len(tail)))
     # Rows that count for a probe at an equal time must come earlier in the scan direction.
-    ahead = flat.withColumn("_rank", (1 - F.col(_SIDE)) if strict else F.col(_SIDE))
-    ordered = arrange(ahead, keys, (_AT, "_rank", *rest)) if chunked or not isinstance(rows, Ordered) else _small(
-        ahead, keys, (_AT, "_rank", *rest), probe_part
-    )
+    side = F.col(_SIDE)
+    ahead = both.withColumn("_rank", (1 - side) if strict else side)
+    ranking = (_AT, "_rank", "row")
+    if isinstance(rows, Ordered) and not chunked:
+        ordered = _small(ahead, keys, ranking, probe_part)
+    else:
+        ordered = arrange(ahead, keys, ranking)
     ordered = settle(carry_last(ordered, F.col("row"), "before"))
     back = ordered.to(ordered.df.withColumn("_rank", -F.col("_rank")))
     back = carry_last(back, F.col("row"), "after", reverse=True)

@@ -37,9 +37,8 @@ def prepare(samples: DataFrame | Ordered) -> Ordered:
     """Slim ordered samples with position and neighbours, the input of all detections."""
     o = arrange(samples)
     slim = o.to(o.df.select(*o.columns(*_INPUT)))
-    payload = ["pt_ns", "presentation_index", "scene_score", "content_hash", "_pos"]
-    placed = settle(sequence(slim))
-    return settle(sequence(placed, payload, pos=False, prev=True, next=True))
+    payload = ["pt_ns", "presentation_index", "scene_score", "content_hash"]
+    return settle(sequence(slim, payload, prev=True, next=True))
 
 
 def _shape(rows: DataFrame, o: Ordered, kind: Column | str) -> DataFrame:

@@ -86,20 +86,9 @@ def _merge() -> list[Column]:
     return out
 
 
-def _block(config: LodConfig) -> int:
-    """Base buckets per block: a power of the grouping, so low levels never cross a block."""
-    width = config.grouping
-    while width * config.grouping <= 4096:
-        width *= config.grouping
-    return width
-
-
-def _levels_in_block(config: LodConfig) -> int:
-    width, levels = 1, 1
-    while width < _block(config):
-        width *= config.grouping
-        levels += 1
-    return levels
+# Levels aggregated straight from the rows of a block; the ones above start from the next level.
+DIRECT_LEVELS = 3
+BLOCK_LEVELS = 6
 
 
 def _keyed(samples: DataFrame | Ordered, geometry: DataFrame) -> DataFrame:
@@ -125,21 +114,42 @@ def lod_base(samples: DataFrame | Ordered, geometry: DataFrame) -> DataFrame:
 
 
 def lod_levels(base: DataFrame, config: LodConfig = LodConfig()) -> DataFrame:
-    """All levels from base accumulators: media_id, level, bucket and accumulator columns.
+    """All levels from base accumulators: media_id, level, bucket and accumulator columns."""
+    return _levels(base, config, _merge())
+
 
-    Base buckets are placed by blocks of 4096 (for grouping 4), so the levels inside a block need
-    no further shuffle; the few levels above it are aggregated from one row per block.
+def _levels(rows: DataFrame, config: LodConfig, aggregate: list[Column]) -> DataFrame:
+    """All levels of rows keyed by media and base bucket, raw or accumulated.
+
+    Rows are placed once by blocks of base buckets. Levels 0 to 2 are aggregated inside the block
+    without another shuffle; level 3 is too, and as it is 64 times smaller (for grouping 4) all
+    higher levels come from it with one small shuffle.
     """
     config = config.normalized()
-    block, low = _block(config), _levels_in_block(config)
-    most = _most_levels(config)
-    placed = base.withColumn("block", div(F.col("bucket"), block)).repartition("media_id", "block")
-    lower = _roll_up(placed, config, 0, min(low, most))
-    if most <= low:
-        return lower.drop("levels")
-    top = lower.where((F.col("level") == low - 1) & (F.col("levels") > low)).drop("level")
-    upper = _roll_up(top.withColumn("block", F.lit(0)), config, low - 1, most).where(F.col("level") >= low)
-    return lower.unionByName(upper).drop("levels")
+    size, most = config.grouping, _most_levels(config)
+    placed = rows.withColumn("block", div(F.col("bucket"), size**BLOCK_LEVELS)).repartition("media_id", "block")
+    keys = ["media_id", "block", "level", "bucket"]
+    low = _exploded(placed, config, 0, min(DIRECT_LEVELS, most)).groupBy(*keys).agg(*aggregate).drop("block")
+    if most <= DIRECT_LEVELS:
+        return low
+    seed = (
+        placed.where(F.col("levels") > DIRECT_LEVELS)
+        .withColumn("bucket", div(F.col("bucket"), size**DIRECT_LEVELS))
+        .groupBy("media_id", "block", "bucket", "levels")
+        .agg(*aggregate)
+        .drop("block")
+    )
+    high = _exploded(seed, config, DIRECT_LEVELS, most).groupBy("media_id", "level", "bucket").agg(*_merge())
+    return low.unionByName(high)
+
+
+def _exploded(rows: DataFrame, config: LodConfig, first: int, stop: int) -> DataFrame:
+    """Rows, being buckets of level ``first``, once per level below ``stop`` that their media has."""
+    level = F.explode(F.sequence(F.lit(first), F.least(F.col("levels"), F.lit(stop)) - 1))
+    bucket = F.col("bucket")
+    for k in range(1, stop - first):
+        bucket = F.when(F.col("level") == first + k, div(F.col("bucket"), config.grouping**k)).otherwise(bucket)
+    return rows.withColumn("level", level).withColumn("bucket", bucket)
 
 
 def _most_levels(config: LodConfig) -> int:
@@ -154,37 +164,19 @@ def _state() -> list[str]:
     return ["sample_count", *[f"{s}_{a}" for s in SCORES for a in ("count", "sum", "min", "max")]]
 
 
-def _roll_up(rows: DataFrame, config: LodConfig, first: int, stop: int) -> DataFrame:
-    """Levels ``first`` to ``stop`` - 1 of rows that are buckets of level ``first``."""
-    level = F.explode(F.sequence(F.lit(first), F.least(F.col("levels"), F.lit(stop)) - 1))
-    width = F.element_at(
-        F.array(*[F.lit(config.grouping**k) for k in range(stop - first)]).cast("array<bigint>"),
-        F.col("level") - first + 1,
-    )
-    return (
-        rows.withColumn("level", level)
-        .withColumn("bucket", div(F.col("bucket"), width))
-        .groupBy("media_id", "block", "level", "bucket", "levels")
-        .agg(*_merge())
-        .drop("block")
-    )
-
-
 def lod_finish(levels: DataFrame, geometry: DataFrame, config: LodConfig = LodConfig()) -> DataFrame:
     """Add bucket bounds and averages: the ``lod`` table."""
     config = config.normalized()
     g = geometry.select("media_id", "duration_ns", "span_ns")
-    power = F.pow(F.lit(float(config.grouping)), F.col("level"))
-    # Level widths beyond the duration are equal to it, so decimals never have to leave BIGINT.
-    start = F.least(
-        F.col("bucket").cast("decimal(38,0)") * F.col("span_ns") * power.cast("decimal(20,0)"),
-        F.col("duration_ns").cast("decimal(38,0)"),
-    ).cast("bigint")
-    end = F.least(
-        (F.col("bucket") + 1).cast("decimal(38,0)") * F.col("span_ns") * power.cast("decimal(20,0)"),
-        F.col("duration_ns").cast("decimal(38,0)"),
-    ).cast("bigint")
-    out = levels.join(g, "media_id").withColumns({"start_ns": start, "end_ns": end})
+    width = F.try_multiply(F.col("span_ns"), F.pow(F.lit(float(config.grouping)), F.col("level")).cast("bigint"))
+
+    def bound(index: Column) -> Column:
+        # A bound beyond BIGINT lies beyond the media as well.
+        return F.coalesce(F.least(F.try_multiply(index, width), F.col("duration_ns")), F.col("duration_ns"))
+
+    out = levels.join(g, "media_id").withColumns(
+        {"start_ns": bound(F.col("bucket")), "end_ns": bound(F.col("bucket") + 1)}
+    )
     averages = {
         f"{s}_avg": (F.col(f"{s}_sum") / F.nullif(F.col(f"{s}_count"), F.lit(0))).cast("float") for s in SCORES
     }
@@ -194,7 +186,16 @@ def lod_finish(levels: DataFrame, geometry: DataFrame, config: LodConfig = LodCo
 def build_lod(
     samples: DataFrame | Ordered, geometry: DataFrame, config: LodConfig = LodConfig()
 ) -> DataFrame:
-    return lod_finish(lod_levels(lod_base(samples, geometry), config), geometry, config)
+    """The ``lod`` table of a samples table.
+
+    Where no media is large (checked by ``arrange``) a block holds few rows and slim samples go to
+    their block directly; otherwise they are combined into base buckets before the shuffle.
+    """
+    if isinstance(samples, Ordered) and not samples.split:
+        levels = _levels(_keyed(samples, geometry), config, _accumulate())
+    else:
+        levels = lod_levels(lod_base(samples, geometry), config)
+    return lod_finish(levels, geometry, config)
 
 
 def level_choice(requests: DataFrame, geometry: DataFrame, config: LodConfig = LodConfig()) -> DataFrame:

@@ -32,7 +32,7 @@ _FIELDS = pa.schema(
         ("duplicate_score", pa.float32()), ("status", pa.string()),
     ]
 )
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 32 << 20
 MAX_SIDE = 2048
 
 
