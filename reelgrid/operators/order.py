@@ -147,18 +147,18 @@ def sequence(
         before = F.sum("_n").over(c.rowsBetween(Window.unboundedPreceding, -1))
         carried.append(F.coalesce(before, F.lit(0)).alias("_offset"))
     if prev:
-        carried.append(F.lag("_tail").over(c).alias("_before"))
+        carried.append(F.lag("_tail").over(c).alias("_carry_prev"))
     if next:
-        carried.append(F.lead("_head").over(c).alias("_after"))
+        carried.append(F.lead("_head").over(c).alias("_carry_next"))
     df = df.join(carry.select(*o.part, *carried), o.part)
     fixed: dict[str, Column] = {}
     if pos:
         fixed[pos_name] = F.col(pos_name) + F.col("_offset")
     if prev:
-        fixed[prev_name] = F.coalesce(prev_name, "_before")
+        fixed[prev_name] = F.coalesce(prev_name, "_carry_prev")
     if next:
-        fixed[next_name] = F.coalesce(next_name, "_after")
-    return o.to(df.withColumns(fixed).drop("_offset", "_before", "_after"))
+        fixed[next_name] = F.coalesce(next_name, "_carry_next")
+    return o.to(df.withColumns(fixed).drop("_offset", "_carry_prev", "_carry_next"))
 
 
 def carry_last(

@@ -67,6 +67,9 @@ def main():
         "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("CHUNK_ROWS"):
+        # Every group above this many rows is split, so all chunked paths run.
+        spark.conf.set("reelgrid.chunk.rows", os.environ["CHUNK_ROWS"])
     con = connect(folder)
     failed = []
     for name in names:
