@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timebase import clamp_time, pts_to_ns
+from .asof import bracket
 from .order import arrange, sequence
 
 FIELDS = ["time_ns", "kind", "label", "category", "note"]
@@ -75,26 +76,25 @@ def apply_marker_changes(changes: DataFrame, media: DataFrame) -> DataFrame:
         & (F.col("_removed").isNull() | (F.col("_removed") < F.col("_added")))
     )
     rows = alive.select("media_id", "marker_id", "_added", "_last.*").drop("op")
-    # A clear removes the marker when the kind it had at that moment matches.
+    # A clear removes the marker when the kind it has at that moment matches. Each edit holds until
+    # the next one; the first clear of its kind behind it is looked up and must fall in between.
     history = known.where(F.col("op") != "remove").select(
-        "media_id", "marker_id", F.col("change_seq").alias("_s"), F.col("kind").alias("_k")
+        "media_id", "marker_id", F.col("change_seq").alias("_s"), "kind"
     )
-    spans = history.join(alive.select("media_id", "marker_id", "_added"), ["media_id", "marker_id"]).where(
+    o = sequence(arrange(history, ("media_id", "marker_id"), ("_s",)), ["_s"], pos=False, next=True)
+    spans = o.plain().join(alive.select("media_id", "marker_id", "_added"), ["media_id", "marker_id"]).where(
         F.col("_s") >= F.col("_added")
     )
-    # Edits per marker are few and form its own history, not a shared group.
-    w = Window.partitionBy("media_id", "marker_id").orderBy("_s")
-    spans = spans.withColumn("_until", F.lead("_s").over(w))
-    all_clears = changes.where((F.col("op") == "clear")).select(
-        "media_id", F.col("kind").alias("_ck"), F.col("change_seq").alias("_cs")
+    clears = changes.where(F.col("op") == "clear").select("media_id", "kind", "change_seq")
+    around = bracket(
+        spans.select("media_id", "kind", "_s"), clears, [], ("media_id", "kind"), "_s", ("change_seq",), strict=True
     )
-    hit = (
-        (spans["media_id"] == all_clears["media_id"])
-        & (F.col("_cs") > F.col("_s"))
-        & (F.col("_until").isNull() | (F.col("_cs") < F.col("_until")))
-        & (F.col("_ck").isNull() | (F.col("_ck") == F.col("_k")))
-    )
-    gone = spans.join(all_clears, hit, "left_semi").select("media_id", "marker_id").distinct()
+    until = F.col("_next._s")
+    within = F.col("after.change_seq").isNotNull() & (until.isNull() | (F.col("after.change_seq") < until))
+    by_kind = spans.join(around, ["media_id", "kind", "_s"]).where(within).select("media_id", "marker_id")
+    cleared = clears.where("kind is null").groupBy("media_id").agg(F.max("change_seq").alias("_all"))
+    by_all = alive.join(cleared, "media_id").where(F.col("_all") > F.col("_added")).select("media_id", "marker_id")
+    gone = by_kind.unionByName(by_all).distinct()
     durations = media.select("media_id", F.col("duration_ns").alias("_d"))
     return (
         rows.join(gone, ["media_id", "marker_id"], "left_anti")

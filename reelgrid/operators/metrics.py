@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels
-from .order import CHUNK, Ordered, arrange, union_all
+from .order import CHUNK, Ordered, arrange, chunk_rows
 from .ranges import rows_in_ranges
 
 RESULT = (
@@ -34,6 +34,8 @@ _FIELDS = pa.schema(
 )
 BLOCK_BYTES = 32 << 20
 MAX_SIDE = 2048
+# A plane is thousands of times larger than a sample row, so chunks are smaller.
+PLANES_PER_CHUNK = 20_000
 
 
 def valid_planes(planes: DataFrame) -> DataFrame:
@@ -158,27 +160,31 @@ def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def analyse_planes(planes: DataFrame | Ordered) -> DataFrame:
     """Hashes of every plane and scores against the plane before it (null for the first).
 
-    ``status`` is ``scored``, ``first`` or ``geometry_mismatch``. A media too long for one task is
-    chunked and the last plane of each chunk is copied into the next as a halo row.
+    ``status`` is ``scored``, ``first`` or ``geometry_mismatch``. A media with many planes is
+    chunked, and the last plane of each chunk goes into the next chunk too, as a halo row. Which
+    planes those are is found from the index column alone, so plane data is read and shuffled once.
     """
-    source = planes.to(valid_planes(planes.df)) if isinstance(planes, Ordered) else valid_planes(planes)
-    o = arrange(source, order=("presentation_index",))
+    source = planes.df if isinstance(planes, Ordered) else planes
+    good = valid_planes(source)
+    if isinstance(planes, Ordered):
+        o = planes.to(good)
+    else:
+        o = arrange(good, order=("presentation_index",), rows_per_chunk=min(chunk_rows(good), PLANES_PER_CHUNK))
     cols = ["media_id", "presentation_index", "width", "height", "data"]
-    rows = o.df.select(
-        *cols, (F.col(CHUNK) if o.split else F.lit(0)).alias(CHUNK), F.lit(False).alias("_halo")
-    )
-    if o.split:
-        edges = o.df.groupBy("media_id", CHUNK).agg(F.max("presentation_index").alias("presentation_index"))
-        target = edges.withColumn("_to", F.lead(CHUNK).over(o.chunks())).where("_to is not null")
-        halo = (
-            o.df.select(*cols)
-            .join(target.drop(CHUNK), ["media_id", "presentation_index"])
-            .select(*cols, F.col("_to").alias(CHUNK), F.lit(True).alias("_halo"))
+    if not o.split:
+        rows = o.df.select(*cols, F.lit(0).alias(CHUNK), F.lit(False).alias("_halo"))
+    else:
+        last = o.df.groupBy("media_id", CHUNK).agg(F.max("presentation_index").alias("presentation_index"))
+        follows = last.select("media_id", "presentation_index", F.lead(CHUNK).over(o.chunks()).alias("_to"))
+        own = F.struct(F.col(CHUNK).alias("chunk"), F.lit(False).alias("halo"))
+        copy = F.struct(F.col("_to").alias("chunk"), F.lit(True).alias("halo"))
+        places = F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, copy))
+        rows = (
+            o.df.join(follows.where("_to is not null"), ["media_id", "presentation_index"], "left")
+            .withColumn("_p", F.explode(places))
+            .select(*cols, F.col("_p.chunk").alias(CHUNK), F.col("_p.halo").alias("_halo"))
         )
-        rows = union_all([rows, halo])
-    placed = rows.repartition("media_id", CHUNK).sortWithinPartitions(
-        "media_id", CHUNK, "presentation_index"
-    )
+    placed = rows.repartition("media_id", CHUNK).sortWithinPartitions("media_id", CHUNK, "presentation_index")
     return placed.mapInArrow(_kernel, RESULT)
 
 
