@@ -12,11 +12,11 @@ import time
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-MEDIA = int(os.environ.get("BENCH_MEDIA", "100"))
+MEDIA = int(os.environ.get("BENCH_MEDIA", "20"))
 FRAMES = 180_000
 TWO_HOURS_NS = 7200 * 1_000_000_000
-PLANES = 16_000
-PROBES = 1_000_000
+PLANES = 8_000
+PROBES = 500_000
 
 # Published single-process rates, per second; the pair figure includes decoding.
 PUBLISHED = {"lod_build_samples": 15_800_000, "pair_frames": 2_732, "lod_views": 31_193}

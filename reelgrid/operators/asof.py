@@ -25,11 +25,13 @@ def bracket(
     target: str = "target_ns",
     order: tuple[str, ...] = FRAME_ORDER,
     strict: bool = False,
+    sides: tuple[str, ...] = ("before", "after"),
 ) -> DataFrame:
     """keys, target, before, after: the rows around every distinct probe time.
 
     ``before`` is the last row at or before the target, ``after`` the first at or after it
-    (``strict`` leaves out rows exactly at the target). Both are structs of order + payload.
+    (``strict`` leaves out rows exactly at the target). Both are structs of order + payload. Each
+    costs a sort of the united rows; ``sides`` names those that are needed.
     """
     chunked = isinstance(rows, Ordered) and rows.split
     source = rows.plain() if isinstance(rows, Ordered) else rows
@@ -52,12 +54,13 @@ def bracket(
         ordered = _small(ahead, keys, ranking, probe_part)
     else:
         ordered = arrange(ahead, keys, ranking)
-    ordered = settle(carry_last(ordered, F.col("row"), "before"))
-    back = ordered.to(ordered.df.withColumn("_rank", -F.col("_rank")))
-    back = carry_last(back, F.col("row"), "after", reverse=True)
-    return back.df.where(F.col(_SIDE) == 1).select(
-        *keys, F.col(_AT).alias(target), F.col("before"), F.col("after")
-    )
+    if "before" in sides:
+        ordered = carry_last(ordered, F.col("row"), "before")
+    if "after" in sides:
+        ordered = settle(ordered) if "before" in sides else ordered
+        back = ordered.to(ordered.df.withColumn("_rank", -F.col("_rank")))
+        ordered = carry_last(back, F.col("row"), "after", reverse=True)
+    return ordered.df.where(F.col(_SIDE) == 1).select(*keys, F.col(_AT).alias(target), *sides)
 
 
 def _small(df: DataFrame, keys, order, probes: DataFrame) -> Ordered:
@@ -96,6 +99,9 @@ def asof(
     name: str = "hit",
 ) -> DataFrame:
     """Probes + ``hit``: the frame a seek to ``target`` with this bias shows, or null."""
+    if isinstance(bias, str) and bias == "at_or_before":
+        before = bracket(probes, rows, payload, keys, target, sides=("before",))
+        return probes.join(before.withColumnRenamed("before", name), [*keys, target], "left")
     around = bracket(probes, rows, payload, keys, target)
     joined = probes.join(around, [*keys, target], "left")
     hit = by_bias(F.col("before"), F.col("after"), F.col(target), bias)

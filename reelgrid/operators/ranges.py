@@ -79,10 +79,8 @@ def range_summary(ranges: DataFrame, frames: DataFrame | Ordered) -> DataFrame:
     o = running_sum(settle(o), gap.cast("bigint"), "_gaps")
     payload = ["presentation_index", "_pos", "_gaps"]
     rows = settle(o.to(o.df.drop("_prev")))
-    ends = r.select("media_id", F.explode(F.array("start_ns", "end_ns")).alias("target_ns"))
-    around = bracket(ends, rows, payload)
-    low = around.select("media_id", F.col("target_ns").alias("start_ns"), F.col("after").alias("_first"))
-    high = around.select("media_id", F.col("target_ns").alias("end_ns"), F.col("before").alias("_last"))
+    low = bracket(r, rows, payload, target="start_ns", sides=("after",)).withColumnRenamed("after", "_first")
+    high = bracket(r, rows, payload, target="end_ns", sides=("before",)).withColumnRenamed("before", "_last")
     j = r.join(low, ["media_id", "start_ns"], "left").join(high, ["media_id", "end_ns"], "left")
     f, last = F.col("_first"), F.col("_last")
     some = F.coalesce(f["_pos"] <= last["_pos"], F.lit(False))
@@ -111,10 +109,12 @@ def first_rows_in_ranges(ranges: DataFrame, rows: DataFrame | Ordered, maximum:
     """
     r = _closed(ranges)
     o = settle(sequence(arrange(rows), names=("_pos", "", "")))
-    ends = r.select("media_id", F.explode(F.array("start_ns", "end_ns")).alias("target_ns"))
-    around = bracket(ends, o, ["_pos"])
-    low = around.select("media_id", F.col("target_ns").alias("start_ns"), F.col("after._pos").alias("_p0"))
-    high = around.select("media_id", F.col("target_ns").alias("end_ns"), F.col("before._pos").alias("_p1"))
+    low = bracket(r, o, ["_pos"], target="start_ns", sides=("after",)).select(
+        "media_id", "start_ns", F.col("after._pos").alias("_p0")
+    )
+    high = bracket(r, o, ["_pos"], target="end_ns", sides=("before",)).select(
+        "media_id", "end_ns", F.col("before._pos").alias("_p1")
+    )
     spans = (
         r.join(low, ["media_id", "start_ns"])
         .join(high, ["media_id", "end_ns"])

@@ -24,11 +24,12 @@ def _counted(frames: DataFrame | Ordered) -> Ordered:
 def _bounds(requests: DataFrame, rows: Ordered) -> DataFrame:
     """requests + first and last position and key ordinals of the range, from two lookups."""
     r = requests.withColumn("_from", F.when(F.col("range_start_ns") <= 0, F.lit(FIRST)).otherwise(F.col("range_start_ns")))
-    ends = r.select("media_id", F.explode(F.array("_from", "range_end_ns")).alias("target_ns"))
-    around = bracket(ends, rows, ["_pos", "_keys", "key_frame"])
+    payload = ["_pos", "_keys", "key_frame"]
     # Past the last frame a range starts with that frame.
-    low = around.select("media_id", F.col("target_ns").alias("_from"), F.coalesce("after", "before").alias("_f"))
-    high = around.select("media_id", F.col("target_ns").alias("range_end_ns"), F.col("before").alias("_l"))
+    low = bracket(r, rows, payload, target="_from").select(
+        "media_id", "_from", F.coalesce("after", "before").alias("_f")
+    )
+    high = bracket(r, rows, payload, target="range_end_ns", sides=("before",)).withColumnRenamed("before", "_l")
     key = F.when(F.col("_l.key_frame"), 1).otherwise(0)
     return (
         r.join(low, ["media_id", "_from"])

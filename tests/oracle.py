@@ -58,12 +58,16 @@ def compare(spark, con, folder, name, query):
 
 
 def main():
+    from pyspark.sql import SparkSession
+
     from reelgrid.registry import CATALOGUE
     from reelgrid.session import build_session
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(CATALOGUE)
-    spark = build_session(
+    spark = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8").getOrCreate() if os.environ.get(
+        "PLAIN"
+    ) else build_session(
         "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
