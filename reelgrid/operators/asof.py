@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FRAME_ORDER, MS
-from .order import CHUNK, Ordered, arrange, carry_last, settle
+from .order import Ordered, arrange, carry_last, settle, small_groups
 
 DEFAULT_TOLERANCE_NS = 500 * MS
 _SIDE, _AT = "_side", "_at"
@@ -26,12 +26,14 @@ def bracket(
     order: tuple[str, ...] = FRAME_ORDER,
     strict: bool = False,
     sides: tuple[str, ...] = ("before", "after"),
+    few: bool | None = None,
 ) -> DataFrame:
     """keys, target, before, after: the rows around every distinct probe time.
 
     ``before`` is the last row at or before the target, ``after`` the first at or after it
     (``strict`` leaves out rows exactly at the target). Both are structs of order + payload. Each
-    costs a sort of the united rows; ``sides`` names those that are needed.
+    costs a sort of the united rows; ``sides`` names those that are needed. ``few`` tells that no
+    group has many probes where the caller has counted them.
     """
     chunked = isinstance(rows, Ordered) and rows.split
     source = rows.plain() if isinstance(rows, Ordered) else rows
@@ -50,8 +52,8 @@ def bracket(
     side = F.col(_SIDE)
     ahead = both.withColumn("_rank", (1 - side) if strict else side)
     ranking = (_AT, "_rank", "row")
-    if isinstance(rows, Ordered) and not chunked:
-        ordered = _small(ahead, keys, ranking, probe_part)
+    if isinstance(rows, Ordered) and not chunked and (few or small_groups(probes, keys)):
+        ordered = Ordered(ahead, tuple(keys), ranking)
     else:
         ordered = arrange(ahead, keys, ranking)
     if "before" in sides:
@@ -63,12 +65,6 @@ def bracket(
     return ordered.df.where(F.col(_SIDE) == 1).select(*keys, F.col(_AT).alias(target), *sides)
 
 
-def _small(df: DataFrame, keys, order, probes: DataFrame) -> Ordered:
-    """Rows are known to be in small groups; only the probes still have to be counted."""
-    counted = arrange(probes, keys, (_AT,))
-    return arrange(df, keys, order) if counted.split else Ordered(df, tuple(keys), tuple(order))
-
-
 def nearest_of(before: Column, after: Column, target: Column, time: str = FRAME_ORDER[0]) -> Column:
     """Exact hit first, else the closer row; the earlier one on a tie; either end alone."""
     return (

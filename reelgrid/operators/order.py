@@ -68,6 +68,17 @@ def chunk_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(CHUNK_ROWS_SETTING, str(CHUNK_ROWS)))
 
 
+def small_groups(df: DataFrame, keys: tuple[str, ...] = ("media_id",), rows_per_chunk: int | None = None) -> bool:
+    """Whether no group exceeds the chunk size; one map-side combined count."""
+    return _large_groups(df, keys, rows_per_chunk or chunk_rows(df))[1] == 0
+
+
+def _large_groups(df: DataFrame, keys: tuple[str, ...], limit: int) -> tuple[DataFrame, int, int]:
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    groups, biggest = large.agg(F.count(F.lit(1)), F.max("_n")).first()
+    return large, groups, biggest or 0
+
+
 def arrange(
     df: DataFrame | Ordered,
     keys: tuple[str, ...] = ("media_id",),
@@ -82,8 +93,7 @@ def arrange(
     if isinstance(df, Ordered):
         return df
     limit = rows_per_chunk or chunk_rows(df)
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    groups, biggest = large.agg(F.count(F.lit(1)), F.max("_n")).first()
+    large, groups, biggest = _large_groups(df, keys, limit)
     if not groups:
         return Ordered(df, tuple(keys), tuple(order))
     count = min(-(-biggest // limit), MAX_CHUNKS)

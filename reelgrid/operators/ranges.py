@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spacing import div
 from .asof import bracket
-from .order import Ordered, arrange, running_sum, sequence, settle
+from .order import Ordered, arrange, running_sum, sequence, settle, small_groups
 
 BASE_WIDTH = 1 << 24  # about 17 ms
 LEVELS = 20  # widths up to 4**19 times the base, beyond any BIGINT time span
@@ -79,8 +79,9 @@ def range_summary(ranges: DataFrame, frames: DataFrame | Ordered) -> DataFrame:
     o = running_sum(settle(o), gap.cast("bigint"), "_gaps")
     payload = ["presentation_index", "_pos", "_gaps"]
     rows = settle(o.to(o.df.drop("_prev")))
-    low = bracket(r, rows, payload, target="start_ns", sides=("after",)).withColumnRenamed("after", "_first")
-    high = bracket(r, rows, payload, target="end_ns", sides=("before",)).withColumnRenamed("before", "_last")
+    few = small_groups(ranges)
+    low = bracket(r, rows, payload, target="start_ns", sides=("after",), few=few).withColumnRenamed("after", "_first")
+    high = bracket(r, rows, payload, target="end_ns", sides=("before",), few=few).withColumnRenamed("before", "_last")
     j = r.join(low, ["media_id", "start_ns"], "left").join(high, ["media_id", "end_ns"], "left")
     f, last = F.col("_first"), F.col("_last")
     some = F.coalesce(f["_pos"] <= last["_pos"], F.lit(False))
@@ -109,10 +110,11 @@ def first_rows_in_ranges(ranges: DataFrame, rows: DataFrame | Ordered, maximum:
     """
     r = _closed(ranges)
     o = settle(sequence(arrange(rows), names=("_pos", "", "")))
-    low = bracket(r, o, ["_pos"], target="start_ns", sides=("after",)).select(
+    few = small_groups(ranges)
+    low = bracket(r, o, ["_pos"], target="start_ns", sides=("after",), few=few).select(
         "media_id", "start_ns", F.col("after._pos").alias("_p0")
     )
-    high = bracket(r, o, ["_pos"], target="end_ns", sides=("before",)).select(
+    high = bracket(r, o, ["_pos"], target="end_ns", sides=("before",), few=few).select(
         "media_id", "end_ns", F.col("before._pos").alias("_p1")
     )
     spans = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.spacing import div, evenly_spaced
 from ..functions.scores import high_motion
 from ..operators.asof import asof, bracket
-from ..operators.order import Ordered, arrange, running_sum, sequence, settle
+from ..operators.order import Ordered, arrange, running_sum, sequence, settle, small_groups
 
 BODY = ["presentation_index", "pts", "pt_ns", "key_frame"]
 FIRST = -(2**63)
@@ -26,10 +26,11 @@ def _bounds(requests: DataFrame, rows: Ordered) -> DataFrame:
     r = requests.withColumn("_from", F.when(F.col("range_start_ns") <= 0, F.lit(FIRST)).otherwise(F.col("range_start_ns")))
     payload = ["_pos", "_keys", "key_frame"]
     # Past the last frame a range starts with that frame.
-    low = bracket(r, rows, payload, target="_from").select(
+    few = small_groups(requests)
+    low = bracket(r, rows, payload, target="_from", few=few).select(
         "media_id", "_from", F.coalesce("after", "before").alias("_f")
     )
-    high = bracket(r, rows, payload, target="range_end_ns", sides=("before",)).withColumnRenamed("before", "_l")
+    high = bracket(r, rows, payload, target="range_end_ns", sides=("before",), few=few).withColumnRenamed("before", "_l")
     key = F.when(F.col("_l.key_frame"), 1).otherwise(0)
     return (
         r.join(low, ["media_id", "_from"])
