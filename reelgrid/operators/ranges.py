@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spacing import div
 from .asof import bracket
 from .order import Ordered, arrange, running_sum, sequence, settle, small_groups
 

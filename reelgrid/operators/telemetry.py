@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import Ordered, arrange, running_sum, sequence, settle
+from .order import arrange, running_sum, sequence, settle
 
 HISTORY = 128
 KEEP, BLEND = 0.85, 0.15

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import detect as D
 from .base import DETECT, EVENTS, dbl, known, query, samples, with_
 

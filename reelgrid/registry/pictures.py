@@ -8,7 +8,7 @@ from .. import adapters as A
 from ..operators import compare as C
 from ..operators import metrics as M
 from ..operators import search as V
-from .base import PIXELS, dbl, known, query, with_
+from .base import PIXELS, dbl, query, with_
 
 
 def planes(spark, folder):

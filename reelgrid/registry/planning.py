@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters as A
-from ..config import SECOND
 from ..functions import naming as N
 from ..functions import spacing as G
 from ..functions.timebase import format_timestamp
@@ -14,7 +13,7 @@ from ..plans import requests as Q
 from ..plans import selection as P
 from ..plans import sheets as H
 from ..plans import strips as W
-from .base import BRACKET, EVENTS, PROBES, RANGES, dbl, known, probes, query, ranges, samples, with_
+from .base import BRACKET, EVENTS, PROBES, RANGES, known, probes, query, ranges, samples, with_
 from .detections import SCENES, _recursive
 from .lookups import CUT
 
@@ -137,10 +136,6 @@ def every_n(spark, folder):
     return P.every_nth(samples(spark, folder), 7).select("media_id", "presentation_index")
 
 
-TARGETS = """
-probes AS (SELECT DISTINCT media_id, target_ns FROM {source}), """ + BRACKET
-
-
 @query(
     "high_motion_plan",
     with_(EVENTS)

@@ -10,7 +10,7 @@ from ..session import materialise, scratch
 from ..streaming import progressive as P
 from ..streaming import stateful as S
 from ..streaming.replay import latest, replay
-from .base import DETECT, EVENTS, GEOMETRY, LOD, dbl, known, query, samples, with_
+from .base import DETECT, EVENTS, GEOMETRY, dbl, known, query, samples, with_
 from .detections import COLUMNS, RUNS, SCENE_ROWS, SCENES, _recursive
 from .lod import geometry
 

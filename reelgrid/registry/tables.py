@@ -14,7 +14,7 @@ from ..operators import samples as U
 from ..operators import telemetry as T
 from ..session import scratch
 from ..sources import tables as IO
-from .base import DETECT, EVENTS, PIXELS, RANGES, dbl, known, probes, query, ranges, samples, with_
+from .base import DETECT, EVENTS, RANGES, dbl, known, query, ranges, samples, with_
 from .detections import SCENES, _recursive
 
 
@@ -391,7 +391,6 @@ def telemetry_summary(spark, folder):
     "SELECT CAST(user_id AS VARCHAR) AS session_id, MAX(event_id) AS generation, MAX_BY(value, event_id) AS value FROM events GROUP BY 1",
 )
 def latest_request(spark, folder):
-    log = A.telemetry_from_events(A.load(spark, folder, "events")).select("session_id", "generation")
     e = A.load(spark, folder, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("generation"), "value")
     return T.latest_request(e, ["session_id"]).select("session_id", "generation", "value")
 
@@ -484,7 +483,7 @@ def stored_detections(spark, folder):
 
 @query("presentation_order", with_(EVENTS) + "SELECT media_id, presentation_index, pts FROM samples")
 def presentation_order(spark, folder):
-    from ..operators.order import arrange, sequence
+    from ..operators.order import sequence
 
     o = sequence(samples(spark, folder), names=("position", "", ""))
     return o.df.select("media_id", F.col("position").alias("presentation_index"), "pts")
