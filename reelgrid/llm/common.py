@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8_0
         if batch.num_rows == 0:
             continue
         at, held = 0, 0
-        for i, size in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+        for i, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
             if held and held + (size or 0) > most_bytes:
                 yield batch.slice(at, i - at)
                 at, held = i, 0
