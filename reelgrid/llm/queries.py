@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import bpe, media, sharding
+from .common import stored, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,25 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = media.store_text(table(spark, sf_dir, "documents"))
+    return media.audio_features(media.correct_types(held, keep=("doc_id", "n_bytes")))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    crc = F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), crc.cast("long").alias("text_crc32"))
+    dealt = sharding.shard(stored(rows, "sizes"), 40)
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_media": op2_media,
+    "op3_sharding": op3_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
