@@ -36,19 +36,36 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def token_bytes(spec: dict) -> list[bytes]:
+    """The bytes of each token, by id."""
+    letters = byte_letters()
+    ids = spec["model"]["vocab"]
+    special = {a["content"]: a["id"] for a in spec["added_tokens"]}
+    out = [b""] * (max([*ids.values(), *special.values()]) + 1)
+    for token, i in ids.items():
+        out[i] = bytes(letters[c] for c in token)
+    for content, i in special.items():
+        out[i] = content.encode()
+    return out
+
+
+def decode(tokens: list[bytes], ids: np.ndarray) -> str:
+    return b"".join(map(tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
+
 class Vocabulary:
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = _spec(path)
         letters = byte_letters()
         ids = spec["model"]["vocab"]
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        size = max([*ids.values(), *self.special.values()]) + 1
-        self.text = [b""] * size
-        for token, i in ids.items():
-            self.text[i] = bytes(letters[c] for c in token)
-        for content, i in self.special.items():
-            self.text[i] = content.encode()
+        self.text = token_bytes(spec)
+        size = len(self.text)
         self.byte_id = np.full(256, -1, np.int64)
         for letter, b in letters.items():
             if letter in ids:
@@ -255,9 +272,6 @@ class Vocabulary:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         return self.codes.encode([self.chunked(t) if t else [] for t in texts])
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace")
-
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -295,9 +309,9 @@ def decode_documents(df: DataFrame, path: str, id_col: str = "doc_id", ids_col:
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = vocabulary(path)
+        tokens = token_bytes(_spec(path))
         for part in slices(batches, "ids"):
-            texts = [None if x is None else voc.decode(np.frombuffer(x, "<u4")) for x in part.column("ids").to_pylist()]
+            texts = [None if x is None else decode(tokens, np.frombuffer(x, "<u4")) for x in part.column("ids").to_pylist()]
             columns = [part.column("doc_id"), pa.array(texts, pa.string()), *[part.column(k) for k in keep]]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", *keep])
 

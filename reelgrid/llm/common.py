@@ -50,7 +50,7 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about this many bytes of one column; a longer row stands alone."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -111,3 +111,21 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, seed:
         .withColumn(name, (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_rank")).cast("long"))
         .drop("_spread", "_block", "_b", "_rank", "_offset", *[f"_g_{g}" for g in group])
     )
+
+
+def told_apart(df: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
+    """Rows with ``_mix`` (hash of all columns) and ``_copy`` (number among wholly equal rows), and their count.
+
+    Equal rows are counted before they are dealt out again, so none of them is a hot key; where no two
+    rows are equal nothing is shuffled but hashes.
+    """
+    key = df.columns
+    mixed = df.select("*", F.xxhash64(F.lit(seed), *key).alias("_mix"))
+    like = mixed.groupBy("_mix").agg(F.count(F.lit(1)).alias("_n"))
+    rows, most = like.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    if most > 1:
+        mixed = mixed.groupBy(*key, "_mix").agg(F.count(F.lit(1)).alias("_n"))
+        mixed = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+    else:
+        mixed = mixed.withColumn("_copy", F.lit(1).cast("long"))
+    return mixed, rows

@@ -23,7 +23,7 @@ class ChunkCodes:
     once there are more than ``most`` of them, which costs time only.
     """
 
-    def __init__(self, code_many: Callable[[Sequence[str]], list[np.ndarray]], most: int = 1_000_000):
+    def __init__(self, code_many: Callable[[Sequence[str]], list[np.ndarray]], most: int = 400_000):
         self.code_many, self.most = code_many, most
         self._clear()
 
