@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, parts, stored
+from .common import numbered, parts, stored, told_apart
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -73,16 +73,7 @@ def shard(df: DataFrame, shards: int, seed: int = 7, block_rows: int = 50_000) -
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
-    key = df.columns
-    mixed = df.select("*", F.xxhash64(F.lit(seed), *key).alias("_mix"))
-    like = mixed.groupBy("_mix").agg(F.count(F.lit(1)).alias("_n"))
-    rows, most = like.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
-    if most > 1:
-        # Equal rows are counted before they are dealt out again, so that none of them is a hot key.
-        mixed = mixed.groupBy(*key, "_mix").agg(F.count(F.lit(1)).alias("_n"))
-        mixed = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
-    else:
-        mixed = mixed.withColumn("_copy", F.lit(1).cast("long"))
+    mixed, rows = told_apart(df, seed)
     block_rows = min(block_rows, max(64, rows // (8 * parts(spark)) + 1))
     levels = max(6, int(np.ceil(np.log2(max(1, rows) / block_rows))))
     sizes = shard_sizes(rows, shards)
