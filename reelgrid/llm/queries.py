@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, sharding
+from . import bpe, media, neardup, packing, sharding
 from .common import stored, table
 
 
@@ -39,11 +39,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_media": op2_media,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op7_minhash": op7_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
