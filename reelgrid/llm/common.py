@@ -129,3 +129,18 @@ def told_apart(df: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
     else:
         mixed = mixed.withColumn("_copy", F.lit(1).cast("long"))
     return mixed, rows
+
+
+def likely(df: DataFrame, key: str, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among ``ids`` (one column): none that is gets lost.
+
+    A bit map of fixed size (``bits`` / 64 rows at most, whatever the data) is broadcast, so that wide rows
+    that an exact join would drop are not shuffled for it. Where ids fill the map it lets all through.
+    """
+    at = F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(bits))
+    words = ids.select((at / 64).cast("int").alias("_word"), F.expr("1L").alias("_one"), (at % 64).cast("int").alias("_bit"))
+    words = words.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(_one, _bit)")).alias("_bits"))
+    own = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
+    rows = df.withColumn("_own", own).withColumn("_word", (F.col("_own") / 64).cast("int"))
+    rows = rows.join(F.broadcast(words), "_word")
+    return rows.filter("shiftrightunsigned(_bits, cast(_own % 64 as int)) & 1 = 1").drop("_own", "_word", "_bits")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, neardup, packing, sharding
+from . import bpe, media, neardup, packing, sharding, substrings
 from .common import stored, table
 
 
@@ -43,11 +43,16 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_media": op2_media,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op6_substrings": op6_substrings,
     "op7_minhash": op7_minhash,
 }
 
