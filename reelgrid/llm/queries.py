@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, neardup, packing, sharding, substrings
+from . import bpe, media, nearest, neardup, packing, sharding, substrings
 from .common import stored, table
 
 
@@ -47,6 +47,10 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_media": op2_media,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op6_substrings": op6_substrings,
     "op7_minhash": op7_minhash,
+    "op10_multi_index": op10_multi_index,
 }
 
 ORACLE_SQL: dict[str, str] = {}
