@@ -58,18 +58,21 @@ def decode(tokens: list[bytes], ids: np.ndarray) -> str:
     return b"".join(map(tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-class Vocabulary:
+class Merges:
+    """Merge table of a byte-level vocabulary and exact merging.
+
+    Where the vocabulary marks word ends, the last byte of a word starts as the byte with that mark.
+    """
+
     def __init__(self, path: str):
         spec = _spec(path)
         letters = byte_letters()
         ids = spec["model"]["vocab"]
-        self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        self.text = token_bytes(spec)
-        size = len(self.text)
-        self.byte_id = np.full(256, -1, np.int64)
+        mark = spec["model"].get("end_of_word_suffix") or ""
+        self.byte_id, self.end_id = np.full(256, -1, np.int64), np.full(256, -1, np.int64)
         for letter, b in letters.items():
-            if letter in ids:
-                self.byte_id[b] = ids[letter]
+            self.byte_id[b], self.end_id[b] = ids.get(letter, -1), ids.get(letter + mark, -1)
+        size = max(ids.values()) + 1
         # Children and rank of the merge that makes a token; bytes have rank -1.
         self.left, self.right = np.arange(size), np.arange(size)
         self.rank = np.full(size, -1, np.int64)
@@ -80,9 +83,99 @@ class Vocabulary:
             a, b = ids[a], ids[b]
             self.merge[a, b] = (r, made)
             self.left[made], self.right[made], self.rank[made] = a, b, r
+        self.made = np.zeros(len(self.merge), np.int64)
+        for rank, token in self.merge.values():
+            self.made[rank] = token
         order = sorted(self.merge)
         self.pair_keys = np.array([a << 32 | b for a, b in order] + [NEVER], np.int64)
         self.pair_ranks = np.array([self.merge[p][0] for p in order] + [NEVER], np.int64)
+
+    def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a << 32 | b
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NEVER)
+
+    def merged(self, word: bytes) -> list[int]:
+        """Exact merging: lowest rank first, leftmost at equal rank."""
+        raw = np.frombuffer(word, np.uint8)
+        tokens = [*self.byte_id[raw[:-1]].tolist(), *self.end_id[raw[-1:]].tolist()]
+        n = len(tokens)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        merge = self.merge
+        heap = [(merge[p][0], i, *p) for i, p in enumerate(zip(tokens, tokens[1:])) if p in merge]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if tokens[i] != a or j >= n or tokens[j] != b:
+                continue
+            tokens[i], tokens[j] = merge[a, b][1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (p := (tokens[i], tokens[k])) in merge:
+                    heapq.heappush(heap, (merge[p][0], i, *p))
+            if (h := before[i]) >= 0 and (p := (tokens[h], tokens[i])) in merge:
+                heapq.heappush(heap, (merge[p][0], h, *p))
+        return [t for t in tokens if t >= 0]
+
+    def merged_together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many words, not empty: tokens of all, and how many each has.
+
+        Each round makes one merge in every word that is left; words beyond 64 bytes are merged singly.
+        """
+        long = [i for i, w in enumerate(words) if len(w) > 64]
+        singly = {i: self.merged(words[i]) for i in long}
+        words = [b"" if i in singly else w for i, w in enumerate(words)] if long else words
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        tokens = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), sizes)
+        if len(tokens):
+            last = np.cumsum(sizes)[sizes > 0] - 1
+            tokens[last] = self.end_id[np.frombuffer(b"".join(words), np.uint8)[last]]
+        ranks = np.full(len(tokens), NEVER)  # of a token with the next of its word
+        inside = np.flatnonzero(word[:-1] == word[1:])
+        ranks[inside] = self.pair_rank(tokens[inside], tokens[inside + 1])
+        out_words, out_tokens = [np.repeat(long, [len(singly[i]) for i in long]).astype(np.int64)], [np.array([t for i in long for t in singly[i]], np.int64)]
+        while len(tokens):
+            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            sizes = np.diff(np.r_[starts, len(tokens)])
+            least = np.minimum.reduceat(ranks, starts)
+            ended = least == NEVER
+            if ended.any():
+                done = np.repeat(ended, sizes)
+                out_words.append(word[done])
+                out_tokens.append(tokens[done])
+                tokens, word, ranks = tokens[~done], word[~done], ranks[~done]
+                least, sizes = least[~ended], sizes[~ended]
+            if not len(tokens):
+                break
+            hits = np.flatnonzero(ranks == np.repeat(least, sizes))
+            at = hits[np.r_[True, word[hits[1:]] != word[hits[:-1]]]]
+            tokens[at] = self.made[least]
+            stays = np.ones(len(tokens), bool)
+            stays[at + 1] = False
+            at = at - np.arange(len(at))  # one token went before each later place
+            tokens, word, ranks = tokens[stays], word[stays], ranks[stays]
+            for left in (at, at[at > 0] - 1):
+                pair = left + 1 < len(tokens)
+                left = left[pair]
+                same = word[left] == word[left + 1]
+                near = left[same]
+                ranks[left[~same]] = NEVER
+                ranks[near] = self.pair_rank(tokens[near], tokens[near + 1])
+            ranks[-1] = NEVER
+        of, flat = np.concatenate(out_words), np.concatenate(out_tokens)
+        return flat[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
+
+
+class Vocabulary(Merges):
+    def __init__(self, path: str):
+        super().__init__(path)
+        spec = _spec(path)
+        ids = spec["model"]["vocab"]
+        self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        self.text = token_bytes(spec)
         good = self._made_by_merging()
         self.ids = {self.text[i]: i for i in ids.values() if good[i]}
         # Length of the longest token with these first four bytes; other tokens are shorter than that.
@@ -90,9 +183,6 @@ class Vocabulary:
         for text in self.ids:
             if len(text) > 3:
                 self.longest[text[:4]] = max(self.longest.get(text[:4], 4), len(text))
-        self.made = np.zeros(len(self.merge), np.int64)
-        for rank, token in self.merge.values():
-            self.made[rank] = token
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words, self.unsettled = regex.compile(WORDS), re.compile(SETTLED)
         self.chunks = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -101,11 +191,6 @@ class Vocabulary:
 
     # Verification
 
-    def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a << 32 | b
-        at = np.searchsorted(self.pair_keys, keys)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NEVER)
-
     def compatible(self, a: np.ndarray, b: np.ndarray, from_top: bool = True) -> np.ndarray:
         """Whether merging the bytes of a and b leaves the boundary between them, for arrays of pairs.
 
@@ -160,70 +245,6 @@ class Vocabulary:
             at += size
         return out
 
-    def merged(self, word: bytes) -> list[int]:
-        """Exact merging: lowest rank first, leftmost at equal rank."""
-        tokens = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
-        n = len(tokens)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merge = self.merge
-        heap = [(merge[p][0], i, *p) for i, p in enumerate(zip(tokens, tokens[1:])) if p in merge]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if tokens[i] != a or j >= n or tokens[j] != b:
-                continue
-            tokens[i], tokens[j] = merge[a, b][1], -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (p := (tokens[i], tokens[k])) in merge:
-                    heapq.heappush(heap, (merge[p][0], i, *p))
-            if (h := before[i]) >= 0 and (p := (tokens[h], tokens[i])) in merge:
-                heapq.heappush(heap, (merge[p][0], h, *p))
-        return [t for t in tokens if t >= 0]
-
-    def merged_together(self, words: list[bytes]) -> list[list[int]]:
-        """Exact merging of many short words at once: each round makes one merge in every word."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        tokens = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), sizes)
-        ranks = np.full(len(tokens), NEVER)  # of a token with the next of its word
-        inside = np.flatnonzero(word[:-1] == word[1:])
-        ranks[inside] = self.pair_rank(tokens[inside], tokens[inside + 1])
-        out: list[list[int]] = [[]] * len(words)
-        while len(tokens):
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            sizes = np.diff(np.r_[starts, len(tokens)])
-            least = np.minimum.reduceat(ranks, starts)
-            ended = least == NEVER
-            if ended.any():
-                done = np.repeat(ended, sizes)
-                ends = np.cumsum(sizes[ended])
-                flat = tokens[done].tolist()
-                for w, a, b in zip(word[starts[ended]].tolist(), (ends - sizes[ended]).tolist(), ends.tolist()):
-                    out[w] = flat[a:b]
-                tokens, word, ranks = tokens[~done], word[~done], ranks[~done]
-                least, sizes = least[~ended], sizes[~ended]
-            if not len(tokens):
-                break
-            hits = np.flatnonzero(ranks == np.repeat(least, sizes))
-            at = hits[np.r_[True, word[hits[1:]] != word[hits[:-1]]]]
-            tokens[at] = self.made[least]
-            stays = np.ones(len(tokens), bool)
-            stays[at + 1] = False
-            at = at - np.arange(len(at))  # one token went before each later place
-            tokens, word, ranks = tokens[stays], word[stays], ranks[stays]
-            for left in (at, at[at > 0] - 1):
-                pair = left + 1 < len(tokens)
-                left = left[pair]
-                same = word[left] == word[left + 1]
-                near = left[same]
-                ranks[left[~same]] = NEVER
-                ranks[near] = self.pair_rank(tokens[near], tokens[near + 1])
-            ranks[-1] = NEVER
-        return out
-
     def code_words(self, words: list[bytes]) -> list[list[int]]:
         coded = [self.greedy(w) for w in words]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
@@ -235,23 +256,27 @@ class Vocabulary:
         pairs, place = np.unique((flat[:-1] << 32 | flat[1:])[inside], return_inverse=True)
         fine = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
         failing = np.unique(word_of[1:][inside][~fine[place]]).tolist()
-        short = [i for i in failing if len(words[i]) <= 64]
-        for i, tokens in zip(short, self.merged_together([words[i] for i in short])):
-            coded[i] = tokens
-        for i in failing:
-            if len(words[i]) > 64:
-                coded[i] = self.merged(words[i])
+        flat, sizes = self.merged_together([words[i] for i in failing])
+        flat, end = flat.tolist(), 0
+        for i, size in zip(failing, sizes.tolist()):
+            coded[i] = flat[end : end + size]
+            end += size
         return coded
 
-    def code_chunks(self, chunks: list[str]) -> list[np.ndarray]:
+    def code_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of new chunks; a chunk is a special token, or text that whole words make up."""
         split = [[] if c in self.special else [w.encode() for w in self.words.findall(c)] for c in chunks]
         distinct = list(dict.fromkeys(w for words in split for w in words))
         codes = dict(zip(distinct, self.code_words(distinct)))
-        return [
-            np.array([self.special[c]] if c in self.special else [t for w in words for t in codes[w]], np.int32)
-            for c, words in zip(chunks, split)
-        ]
+        out, sizes = [], []
+        for c, words in zip(chunks, split):
+            before = len(out)
+            if c in self.special:
+                out.append(self.special[c])
+            for w in words:
+                out += codes[w]
+            sizes.append(len(out) - before)
+        return np.array(out, np.int32), np.array(sizes, np.int64)
 
     def chunked(self, text: str) -> list[str]:
         """Chunks whose words are the words of the text."""

@@ -17,15 +17,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import Merges
 from .common import numbered, pick, slices, stored, told_apart
 from .wordcodes import ChunkCodes
 
 # Texts of these code points only: NFC, lower-case letter by letter, and white space separates words.
 PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u02ff\\u2010-\\u2027]")
 
+# The word pattern of the vocabulary, for lower-case text.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
 # Histogram
 
 
@@ -139,7 +144,10 @@ def slots(patterns: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
 
 
 class Pieces:
-    """Ids of whole texts and their pieces, through the tokenizers library."""
+    """Ids of whole texts as the tokenizers library gives them.
+
+    Texts of plain code points are coded by distinct chunks; all others go through the library itself.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -147,18 +155,17 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.specials = [t.content for t in added.values()]
-        self.border, self.border_id = self.specials[-1], list(added)[-1]
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merges = Merges(path)
         self.codes = ChunkCodes(self.code_many)
 
-    def code_many(self, chunks: list[str]) -> list[np.ndarray]:
-        """One call for all new chunks, with a special token between them."""
-        if not chunks:
-            return []
-        ids = np.array(self.tokenizer.encode(self.border.join(chunks), add_special_tokens=False).ids, np.int32)
-        ends = np.flatnonzero(ids == self.border_id)
-        return np.split(ids[ids != self.border_id], ends - np.arange(len(ends)))
+    def code_many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = list(map(WORDS.findall, chunks))
+        flat, sizes = self.merges.merged_together([w.encode() for words in split for w in words])
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        ends = np.r_[0, np.cumsum(sizes)]
+        last = np.cumsum(counts)
+        return flat, ends[last] - ends[last - counts]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         chunked, whole = [], {}

@@ -19,11 +19,11 @@ class _Places(dict):
 class ChunkCodes:
     """Concatenated code arrays of chunk sequences.
 
-    ``code_many`` maps new chunks to one int32 array each. Places are forgotten between batches
+    ``code_many`` maps new chunks to all their codes and the number of each. Places are forgotten between batches
     once there are more than ``most`` of them, which costs time only.
     """
 
-    def __init__(self, code_many: Callable[[Sequence[str]], list[np.ndarray]], most: int = 400_000):
+    def __init__(self, code_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.code_many, self.most = code_many, most
         self._clear()
 
@@ -38,9 +38,7 @@ class ChunkCodes:
         if len(self.places) == known:
             return
         fresh = list(self.places)[known:] if known < 1000 else self._tail(known)
-        coded = self.code_many(fresh)
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.concatenate(coded) if coded else np.zeros(0, np.int32)
+        flat, sizes = self.code_many(fresh)
         self.starts = np.concatenate([self.starts, len(self.codes) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.codes = np.concatenate([self.codes, flat.astype(np.int32)])
