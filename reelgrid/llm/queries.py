@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, nearest, neardup, packing, sharding, substrings
+from . import bpe, media, nearest, neardup, packing, quality, sharding, substrings
 from .common import stored, table
 
 
@@ -51,11 +51,16 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_media": op2_media,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
     "op6_substrings": op6_substrings,
     "op7_minhash": op7_minhash,
     "op10_multi_index": op10_multi_index,
