@@ -131,16 +131,26 @@ def told_apart(df: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
     return mixed, rows
 
 
-def likely(df: DataFrame, key: str, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be among ``ids`` (one column): none that is gets lost.
+def by_bitmap(df: DataFrame, key: str, ids: DataFrame, bits: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``key`` may be among ``ids`` (one column), and rows whose key is not.
 
     A bit map of fixed size (``bits`` / 64 rows at most, whatever the data) is broadcast, so that wide rows
-    that an exact join would drop are not shuffled for it. Where ids fill the map it lets all through.
+    that an exact join would not touch are not shuffled for it. A full map puts all rows in the first part.
     """
     at = F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(bits))
-    words = ids.select((at / 64).cast("int").alias("_word"), F.expr("1L").alias("_one"), (at % 64).cast("int").alias("_bit"))
+    words = ids.select((at / 64).cast("int").alias("_word"), F.lit(1).cast("long").alias("_one"), (at % 64).cast("int").alias("_bit"))
     words = words.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(_one, _bit)")).alias("_bits"))
     own = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
-    rows = df.withColumn("_own", own).withColumn("_word", (F.col("_own") / 64).cast("int"))
-    rows = rows.join(F.broadcast(words), "_word")
-    return rows.filter("shiftrightunsigned(_bits, cast(_own % 64 as int)) & 1 = 1").drop("_own", "_word", "_bits")
+    rows = df.withColumn("_own", own).withColumn("_word", (F.col("_own") / 64).cast("int")).join(F.broadcast(words), "_word", "left")
+    there = F.expr("coalesce(shiftrightunsigned(_bits, cast(_own % 64 as int)) & 1 = 1, false)")
+    return tuple(rows.filter(f).select(*df.columns) for f in (there, ~there))
+
+
+def likely(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    return by_bitmap(df, key, ids)[0]
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose ``key`` is not among ``ids``; a null key is not."""
+    maybe, surely_not = by_bitmap(df, key, ids)
+    return surely_not.unionAll(maybe.join(ids.withColumnRenamed(ids.columns[0], "_id"), F.col(key) == F.col("_id"), "left_anti"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, stored
+from .common import pick, slices
 
 PUNCTUATION = np.array([b for b in range(33, 127) if not chr(b).isalnum()])
 FOLDS = 5
@@ -92,33 +92,11 @@ def features(text: str | None) -> np.ndarray:
 WIDTH = len(features(""))
 
 
-def described(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, features`` (and ``keep``) of every row."""
-    rows = pick(df, doc_id=id_col, text=text_col, **{k: k for k in keep})
-    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            flat = np.concatenate([features(t) for t in part.column("text").to_pylist()])
-            offsets = pa.array(np.arange(0, len(flat) + 1, WIDTH, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float32())), *[part.column(k) for k in keep]], ["doc_id", "features", *keep]
-            )
-
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, f"doc_id long, features array<float>{kept}")
-
-
 def held_out(doc_id: Column) -> Column:
     """Documents whose labels are never learned from. A null id has no label: false."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def matrix(rows: DataFrame) -> np.ndarray:
-    column = rows.select("features").toArrow().column("features").combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False) if len(column) else np.zeros(0, np.float32)
-    return flat.reshape(-1, WIDTH)
-
-
 def learned(positive: np.ndarray, unlabelled: np.ndarray, prior: float, how: Fit) -> Model:
     both = np.concatenate([positive, unlabelled]).astype(np.float64)
     mean, scale = both.mean(axis=0), both.std(axis=0)
@@ -141,36 +119,58 @@ def learned(positive: np.ndarray, unlabelled: np.ndarray, prior: float, how: Fit
     return Model(mean, scale, w, float(b), prior)
 
 
-def train(described_: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
-    """Fit on trusted positives and unlabelled text of the training folds; labels: ``doc_id, quality``.
+def sampled(docs: DataFrame, wanted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the positives and of the unlabelled texts among ``docs``; wanted: ``doc_id, positive, unlabelled``."""
 
-    The class prior is estimated as the share of positives among the training labels. A document labelled
-    twice counts as the worse. Without positives or text the model scores everything 0.5.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            own = pa.array([features(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("positive"), part.column("unlabelled"), own], ["positive", "unlabelled", "features"])
+
+    # At most as many rows as the two bounds of the fit, so it may be broadcast.
+    rows = docs.join(F.broadcast(wanted), "doc_id").select("positive", "unlabelled", "text")
+    got = rows.mapInArrow(run, "positive boolean, unlabelled boolean, features binary").toArrow()
+    values = np.frombuffer(b"".join(got.column("features").to_pylist()), np.float32).reshape(-1, WIDTH)
+    # Sums depend on the order of rows: one order for all partitionings.
+    positive, unlabelled = (values[got.column(c).to_numpy()] for c in ("positive", "unlabelled"))
+    return positive[np.lexsort(positive.T)], unlabelled[np.lexsort(unlabelled.T)]
+
+
+def train(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
+    """Fit on trusted positives and unlabelled text of the training folds.
+
+    docs: ``doc_id, text``; labels: ``doc_id, quality``. The class prior is estimated as the share of
+    positives among the training labels. A document labelled twice counts as the worse. Without positives
+    or text the model scores everything 0.5.
     """
     marks = pick(labels, doc_id="doc_id", quality="quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL")
     marks = marks.withColumn("doc_id", F.col("doc_id").cast("long")).filter(~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     total, good = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
-    training = described_.select("doc_id", "features").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     first = [F.xxhash64(F.lit(5), "doc_id"), "doc_id"]
-    positive = matrix(training.join(marks.filter("quality = 1").select("doc_id"), "doc_id", "left_semi").orderBy(*first).limit(how.positives))
-    unlabelled = matrix(training.orderBy(*first).limit(how.unlabelled))
-    if not len(positive) or not len(unlabelled):
+    positive = marks.filter("quality = 1").select("doc_id").join(ids, "doc_id", "left_semi").orderBy(*first).limit(how.positives)
+    unlabelled = ids.orderBy(*first).limit(how.unlabelled)
+    wanted = (
+        positive.select("doc_id", F.lit(True).alias("p"), F.lit(False).alias("u")).unionAll(unlabelled.select("doc_id", F.lit(False), F.lit(True)))
+        .groupBy("doc_id").agg(F.max("p").alias("positive"), F.max("u").alias("unlabelled"))
+    )
+    p, u = sampled(docs, wanted)
+    if not len(p) or not len(u):
         return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(0), 0.0, 0.5)
-    return learned(positive, unlabelled, min(max(good / total, 0.02), 0.98), how)
+    return learned(p, u, min(max(good / total, 0.02), 0.98), how)
 
 
-def scored(described_: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``described_`` but the features, and ``score``."""
-    kept = [c for c in described_.columns if c != "features"]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in described_.schema if f.name in kept)
+def scored(docs: DataFrame, model: Model, kept: list[str], text_col: str = "text") -> DataFrame:
+    """Columns ``kept`` and ``score`` of every row; the text need not be among them."""
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            values = part.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+        for part in slices(batches, text_col):
+            values = np.stack([features(t) for t in part.column(text_col).to_pylist()])
             yield pa.RecordBatch.from_arrays([*[part.column(k) for k in kept], pa.array(model.score(values), pa.float64())], [*kept, "score"])
 
-    return described_.mapInArrow(run, f"{schema}score double")
+    return docs.mapInArrow(run, f"{schema}score double")
 
 
 def classify(df: DataFrame, labels: DataFrame, threshold: float = 0.3, how: Fit = Fit()) -> DataFrame:
@@ -180,6 +180,12 @@ def classify(df: DataFrame, labels: DataFrame, threshold: float = 0.3, how: Fit
     without words. Rows without id are scored and not held out; repeated rows give repeated results; other
     columns are left out; an empty table gives an empty one.
     """
-    table = stored(described(df), "features")
-    out = scored(table, train(table, labels, how))
+    docs = pick(df, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    out = scored(docs, train(docs, labels, how), ["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(df: DataFrame, labels: DataFrame, threshold: float = 0.3, how: Fit = Fit()) -> DataFrame:
+    """All columns of the rows that are not rejected; ``df`` has ``doc_id`` and ``text``."""
+    docs = pick(df, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return scored(df, train(docs, labels, how), df.columns).filter(F.col("score") >= threshold).drop("score")

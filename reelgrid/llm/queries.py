@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, nearest, neardup, packing, quality, sharding, substrings
+from . import bpe, media, nearest, neardup, packing, pii, quality, secretscan, sharding, substrings
 from .common import stored, table
 
 
@@ -55,6 +55,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_private(table(spark, sf_dir, "documents")).drop("span_list")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.find_secrets(table(spark, sf_dir, "documents")).drop("span_list")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_media": op2_media,
@@ -63,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_substrings": op6_substrings,
     "op7_minhash": op7_minhash,
+    "op8_crf": op8_crf,
+    "op9_secrets": op9_secrets,
     "op10_multi_index": op10_multi_index,
 }
 

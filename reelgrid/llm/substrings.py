@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely, pick, slices, stored
+from .common import by_bitmap, likely, pick, slices, stored
 from .fmindex import repeated_windows
 from .wordhash import FACTORS, WordHashes, mixed, runs
 
@@ -179,22 +179,23 @@ def trimmed(texts: DataFrame) -> DataFrame:
 
 
 def positions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents (``pos, text``) in document order, and the rows they stand for (``doc_id, pos``).
+    """Documents (``pos, text``) in document order, and the rows they stand for, with ``pos``.
 
     The order is the id itself where ids tell documents apart. Otherwise null ids come first and texts of
-    one id in the order of their hashes; wholly equal rows are one document.
+    one id in the order of their hashes; wholly equal texts of one id are one document.
     """
     odd = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
     if not odd.limit(1).count():
-        return rows.select(F.col("doc_id").alias("pos"), "text"), rows.select("doc_id", F.col("doc_id").alias("pos"))
+        rows = rows.withColumn("pos", F.col("doc_id").cast("long"))
+        return rows.select("pos", "text"), rows
     rows = rows.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     order = rows.select("doc_id", "_digest").distinct().sort(F.asc_nulls_first("doc_id"), "_digest")
     order = order.sparkSession.createDataFrame(
         order.rdd.zipWithIndex().map(lambda t: (t[0][0], t[0][1], t[1])), "_id long, _d string, pos long"
     )
     order = stored(order, "order")
-    placed = rows.join(order, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")))
-    return placed.groupBy("pos").agg(F.first("text").alias("text")), placed.select("doc_id", "pos")
+    placed = rows.join(order, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d"))).drop("_id", "_d", "_digest")
+    return placed.groupBy("pos").agg(F.first("text").alias("text")), placed
 
 
 def repeated_ranges(docs: DataFrame, scan: DataFrame, window: int) -> DataFrame:
@@ -222,26 +223,44 @@ def repeated_ranges(docs: DataFrame, scan: DataFrame, window: int) -> DataFrame:
     return whole.unionAll(indexed).unionAll(later.select("pos", F.col("start").alias("from"), (F.col("start") + window).alias("to")))
 
 
-def remove_repeats(df: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` (and ``kept``, if ``texts``) of every row.
+def _cut(docs: DataFrame, scan: DataFrame, window: int) -> DataFrame:
+    """``trimmed`` for the documents that lose words."""
+    ranges = repeated_ranges(docs, scan, window)
+    covered = stored(ranges.groupBy("pos").agg(F.collect_list(F.struct("from", "to")).alias("ranges")), "ranges")
+    return trimmed(likely(docs, "pos", covered.select("pos")).join(covered, "pos"))
+
+
+def remove_repeats(df: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` of every row.
 
     Words are runs of other than ASCII white space. A word goes if a window over it has the same words
-    as a window that starts earlier: in a document of smaller id, or earlier in the same one. ``kept`` is
-    null where nothing is removed (the text stands as it is), else the kept words joined by one space.
-    A null or empty text has no words. Null ids come first; rows of one id with different texts are
-    documents of their own, in a fixed order; wholly equal rows are one document and give equal rows.
-    Other columns are left out; an empty table gives an empty one. Texts may have any length.
+    as a window that starts earlier: in a document of smaller id, or earlier in the same one. The hash is
+    that of the kept words, joined by one space. A null or empty text has no words. Null ids come first;
+    rows of one id with different texts are documents of their own, in a fixed order; wholly equal rows
+    are one document and give equal rows. Other columns are left out; an empty table gives an empty one.
+    Texts may have any length. ``without_repeats`` gives the texts.
     """
     rows = pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs, members = positions(rows)
     scan = stored(scanned(docs, window), "scan")
-    ranges = repeated_ranges(docs, scan, window)
-    covered = stored(ranges.groupBy("pos").agg(F.collect_list(F.struct("from", "to")).alias("ranges")), "ranges")
-    cut = trimmed(likely(docs, "pos", covered.select("pos")).join(covered, "pos"))
-    if not texts:
-        cut = cut.drop("kept")
-    out = members.join(scan.select("pos", "n_words", "all_sha256"), "pos").join(cut, "pos", "left")
+    cut = _cut(docs, scan, window).drop("kept")
+    out = members.select("doc_id", "pos").join(scan.select("pos", "n_words", "all_sha256"), "pos").join(cut, "pos", "left")
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256"),
-        *(["kept"] if texts else []),
-    )
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256")
+    )
+
+
+def without_repeats(df: DataFrame, window: int = 20, count_col: str | None = None) -> DataFrame:
+    """All rows and columns (among them ``doc_id`` and ``text``), repeats taken out of the texts.
+
+    A text that loses words becomes its kept words joined by one space, and ``count_col`` its number of
+    code points; other texts stay as they are. Order, nulls and repeated rows as in ``remove_repeats``.
+    """
+    docs, members = positions(df)
+    cut = stored(_cut(docs, stored(scanned(docs, window), "scan"), window).select(F.col("pos").alias("_pos"), "kept"), "kept")
+    maybe, untouched = by_bitmap(members, "pos", cut.select("_pos"))
+    changed = maybe.join(cut, F.col("pos") == F.col("_pos"), "left")
+    changed = changed.withColumn("text", F.coalesce("kept", "text"))
+    if count_col:
+        changed = changed.withColumn(count_col, F.when(F.col("kept").isNotNull(), F.char_length("kept")).otherwise(F.col(count_col)).cast(df.schema[count_col].dataType))
+    return untouched.select(*df.columns).unionAll(changed.select(*df.columns))
