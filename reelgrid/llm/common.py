@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,6 +25,24 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.toDF(*places).select(*[F.col(places[df.columns.index(old)]).alias(new) for new, old in columns.items()])
 
 
+def plainly(df: DataFrame, **roles: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """All columns under names of our own, and the way back for a frame of the same columns in that order.
+
+    ``roles``: our name for a column of the given exact name (first of that name). What the other columns
+    are called, twice or in another case, does not matter in between.
+    """
+    names = df.columns
+    own = {names.index(name): role for role, name in roles.items()}
+    return df.toDF(*[own.get(i, f"c{i}") for i in range(len(names))]), lambda d: d.toDF(*names)
+
+
+def leave_out(df: DataFrame, *names: str) -> DataFrame:
+    """Without the columns of exactly these names."""
+    places = [f"c{i}" for i in range(len(df.columns))]
+    kept = [i for i, name in enumerate(df.columns) if name not in names]
+    return df.toDF(*places).select(*[places[i] for i in kept]).toDF(*[df.columns[i] for i in kept])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a private one on a local master."""
     context = spark.sparkContext
@@ -152,5 +170,6 @@ def likely(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
 def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows whose ``key`` is not among ``ids``; a null key is not."""
-    maybe, surely_not = by_bitmap(df, key, ids)
-    return surely_not.unionAll(maybe.join(ids.withColumnRenamed(ids.columns[0], "_id"), F.col(key) == F.col("_id"), "left_anti"))
+    rows, back = plainly(df, key=key)
+    maybe, surely_not = by_bitmap(rows, "key", ids)
+    return back(surely_not.unionAll(maybe.join(ids.toDF("_id"), F.col("key") == F.col("_id"), "left_anti")))

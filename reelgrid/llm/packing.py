@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Merges
-from .common import numbered, pick, slices, stored, told_apart
+from .common import leave_out, numbered, pick, plainly, slices, stored, told_apart
 from .wordcodes import ChunkCodes
 
 # Texts of these code points only: NFC, lower-case letter by letter, and white space separates words.
@@ -57,13 +57,15 @@ class SumIndex:
     def enough(self, combination: tuple[int, ...]) -> bool:
         return all(self.counts[n] >= k for n, k in Counter(combination).items())
 
-    def complement(self, length: int, gap: int) -> tuple[int, ...] | None:
-        """Lengths that fill the gap beside ``length`` with the counts there are, longest first, fewest first."""
+    def complement(self, length: int, gap: int, most: int = 3) -> tuple[int, ...] | None:
+        """At most ``most`` lengths that fill the gap beside ``length``, fewest first, then longest first."""
+        if most < 1:
+            return None
         if gap > 0 and self.single >> gap & 1 and self.enough((length, gap)):
             return (gap,)
-        if self.pair >> gap & 1 and (found := self.two(gap, (length,))):
+        if most > 1 and self.pair >> gap & 1 and (found := self.two(gap, (length,))):
             return found
-        first = self.lengths[self.lengths < gap]
+        first = self.lengths[self.lengths < gap] if most > 2 else self.lengths[:0]
         for n in first[self.pair_there[gap - first]].tolist():
             if found := self.two(gap - n, (length, n)):
                 return (n, *found)
@@ -78,7 +80,24 @@ class SumIndex:
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """Patterns (how many sequences, lengths in each) that hold every piece exactly once."""
+    """Patterns (how many sequences, lengths in each) that hold every piece exactly once.
+
+    Complements of up to three lengths are consumed; where fewer waste less, the plan with fewer is taken.
+    """
+    least = -(-sum(n * k for n, k in histogram.items()) // capacity)
+    best = None
+    for most in (3, 2, 1, 0):
+        found = complemented(histogram, capacity, most)
+        used = sum(times for times, _ in found)
+        if best is None or used < best[0]:
+            best = used, found
+        if used == least:
+            break
+    return best[1]
+
+
+def complemented(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[int, list[int]]]:
+    """Exact complements of at most ``most`` lengths, then best fit for the rest."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
@@ -88,7 +107,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]
         counts[capacity] = 0
     index = SumIndex(counts)
     for length in range(capacity - 1, 0, -1):
-        while counts[length] and (found := index.complement(length, capacity - length)):
+        while counts[length] and (found := index.complement(length, capacity - length, most)):
             pattern = [length, *found]
             need = Counter(pattern)
             times = min(int(counts[n]) // k for n, k in need.items())
@@ -212,18 +231,21 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
     The histogram (at most ``capacity`` rows) and the plan made of it are all that passes the driver;
     the plan's size depends on ``capacity``, not on the rows.
     """
-    mixed, _ = told_apart(pieces.drop("sequence_id", "offset"))
-    histogram = {r[0]: r[1] for r in pieces.groupBy(length_col).count().collect()}
+    pieces = leave_out(pieces, "sequence_id", "offset")
+    names = pieces.columns
+    pieces, _ = plainly(pieces, length=length_col)
+    mixed, _ = told_apart(pieces)
+    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     if wrong := [n for n in histogram if n is None or not 1 <= n <= capacity]:
         raise ValueError(f"lengths outside 1 to {capacity}: {wrong[:5]}")
     places = slots(plan(histogram, capacity))
-    ranked = numbered(mixed, [length_col], ["_mix", "_copy"], "_place").drop("_mix", "_copy")
+    ranked = numbered(mixed, ["length"], ["_mix", "_copy"], "_place").drop("_mix", "_copy")
     kept = [c for c in ranked.columns if c != "_place"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (length_col, "_place"))
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_place"))
             at = np.searchsorted(places["key"], length << 44 | rank, side="right") - 1 if len(batch) else np.zeros(0, int)
             row = {c: v[at] for c, v in places.items()} if len(batch) else dict.fromkeys(("rank", "each", "base", "offset"), rank)
             each = np.maximum(row["each"], 1)
@@ -233,7 +255,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
                 [*kept, "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long").toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

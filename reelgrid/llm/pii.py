@@ -14,7 +14,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import plainly, slices
 from .crf import Crf, trained
 from .spans import Span, free_of, tabled
 
@@ -280,6 +280,7 @@ def masked(df: DataFrame, model: Crf | None = None, text_col: str = "text", coun
     code points. Null texts stay null.
     """
     crf = model or default_model()
+    rows, back = plainly(df, **({"text": text_col} | ({"count": count_col} if count_col else {})))
 
     def cover(text: str, spans: list[Span]) -> str:
         out, at, reach = [], 0, -1
@@ -292,13 +293,13 @@ def masked(df: DataFrame, model: Crf | None = None, text_col: str = "text", coun
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder(crf)
-        for part in slices(batches, text_col):
-            texts = part.column(text_col).to_pylist()
+        for part in slices(batches, "text"):
+            texts = part.column("text").to_pylist()
             found = find([t or "" for t in texts])
             new = [None if t is None else cover(t, [*own, *more]) for t, (own, more) in zip(texts, found)]
-            columns = {n: part.column(n) for n in part.schema.names} | {text_col: pa.array(new, pa.string())}
+            columns = {n: part.column(n) for n in part.schema.names} | {"text": pa.array(new, pa.string())}
             if count_col:
-                columns[count_col] = pa.array([old if t is None else len(t) for t, old in zip(new, part.column(count_col).to_pylist())], pa.int64())
+                columns["count"] = pa.array([old if t is None else len(t) for t, old in zip(new, part.column("count").to_pylist())], part.schema.field("count").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return df.mapInArrow(run, df.schema)
+    return back(rows.mapInArrow(run, rows.schema))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices
+from .common import pick, plainly, slices
 
 PUNCTUATION = np.array([b for b in range(33, 127) if not chr(b).isalnum()])
 FOLDS = 5
@@ -187,5 +187,6 @@ def classify(df: DataFrame, labels: DataFrame, threshold: float = 0.3, how: Fit
 
 def accepted(df: DataFrame, labels: DataFrame, threshold: float = 0.3, how: Fit = Fit()) -> DataFrame:
     """All columns of the rows that are not rejected; ``df`` has ``doc_id`` and ``text``."""
-    docs = pick(df, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return scored(df, train(docs, labels, how), df.columns).filter(F.col("score") >= threshold).drop("score")
+    rows, back = plainly(df, doc_id="doc_id", text="text")
+    docs = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return back(scored(rows, train(docs, labels, how), rows.columns).filter(F.col("score") >= threshold).drop("score"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, parts, stored, told_apart
+from .common import leave_out, numbered, parts, plainly, stored, told_apart
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -72,7 +72,7 @@ def shard(df: DataFrame, shards: int, seed: int = 7, block_rows: int = 50_000) -
     Column types must be such as can be grouped by (no maps).
     """
     spark = df.sparkSession
-    df = df.drop("shard", "slot")
+    df, back = plainly(leave_out(df, "shard", "slot"))
     mixed, rows = told_apart(df, seed)
     block_rows = min(block_rows, max(64, rows // (8 * parts(spark)) + 1))
     levels = max(6, int(np.ceil(np.log2(max(1, rows) / block_rows))))
@@ -108,4 +108,6 @@ def shard(df: DataFrame, shards: int, seed: int = 7, block_rows: int = 50_000) -
     dealt = blocked.withColumn("_place", place).join(matrix, "_block")
     dealt = dealt.withColumn("shard", F.expr("size(filter(_ends, e -> e <= _place))").cast("int"))
     dealt = stored(dealt.drop("_block", "_ends", "_place"), "dealt")
-    return numbered(dealt, ["shard"], ["_mix", "_copy"], "slot", seed + 2).drop("_mix", "_copy")
+    dealt = numbered(dealt, ["shard"], ["_mix", "_copy"], "slot", seed + 2)
+    named = back(dealt.select(*df.columns)).columns
+    return dealt.select(*df.columns, "shard", "slot").toDF(*named, "shard", "slot")

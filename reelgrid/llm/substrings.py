@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bitmap, likely, pick, slices, stored
+from .common import by_bitmap, likely, pick, plainly, slices, stored
 from .fmindex import repeated_windows
 from .wordhash import FACTORS, WordHashes, mixed, runs
 
@@ -256,11 +256,12 @@ def without_repeats(df: DataFrame, window: int = 20, count_col: str | None = Non
     A text that loses words becomes its kept words joined by one space, and ``count_col`` its number of
     code points; other texts stay as they are. Order, nulls and repeated rows as in ``remove_repeats``.
     """
-    docs, members = positions(df)
+    rows, back = plainly(df, **({"doc_id": "doc_id", "text": "text"} | ({"count": count_col} if count_col else {})))
+    docs, members = positions(rows)
     cut = stored(_cut(docs, stored(scanned(docs, window), "scan"), window).select(F.col("pos").alias("_pos"), "kept"), "kept")
     maybe, untouched = by_bitmap(members, "pos", cut.select("_pos"))
-    changed = maybe.join(cut, F.col("pos") == F.col("_pos"), "left")
-    changed = changed.withColumn("text", F.coalesce("kept", "text"))
+    changed = maybe.join(cut, F.col("pos") == F.col("_pos"), "left").withColumn("text", F.coalesce("kept", "text"))
     if count_col:
-        changed = changed.withColumn(count_col, F.when(F.col("kept").isNotNull(), F.char_length("kept")).otherwise(F.col(count_col)).cast(df.schema[count_col].dataType))
-    return untouched.select(*df.columns).unionAll(changed.select(*df.columns))
+        length = F.when(F.col("kept").isNotNull(), F.char_length("kept")).otherwise(F.col("count"))
+        changed = changed.withColumn("count", length.cast(rows.schema["count"].dataType))
+    return back(untouched.select(*rows.columns).unionAll(changed.select(*rows.columns)))
