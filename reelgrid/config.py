@@ -27,8 +27,8 @@ class DetectionConfig:
     repeated_frames: int = 3
     repeated_separation_ns: int = 2 * SECOND
     perceptual_distance: int = 4
-    fingerprint_candidates: int = 8
-    results_per_kind: int = 10_000
+    fingerprint_candidates: int = 8  # part of the rule: earlier positions of a hash that a section may repeat
+    results_per_kind: int | None = None  # no limit
 
     def normalized(self) -> "DetectionConfig":
         return replace(
@@ -43,8 +43,8 @@ class DetectionConfig:
             freeze_frames=max(2, self.freeze_frames),
             repeated_frames=max(2, self.repeated_frames),
             perceptual_distance=min(64, self.perceptual_distance),
-            fingerprint_candidates=_clamp(self.fingerprint_candidates, 1, 64),
-            results_per_kind=_clamp(self.results_per_kind, 0, 100_000),
+            fingerprint_candidates=max(1, self.fingerprint_candidates),
+            results_per_kind=None if self.results_per_kind is None else max(0, self.results_per_kind),
         )
 
 

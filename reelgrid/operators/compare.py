@@ -34,14 +34,11 @@ def comparability(pairs: DataFrame) -> DataFrame:
     missing = F.col("a_data").isNull() | F.col("b_data").isNull()
     differ = (F.col("a_width") != F.col("b_width")) | (F.col("a_height") != F.col("b_height"))
     invalid = (F.col("a_width") <= 0) | (F.col("a_height") <= 0)
-    sizes = F.format_string(
-        "Difference metrics require matching frame dimensions (%dx%d vs %dx%d).",
-        "a_width", "a_height", "b_width", "b_height",
-    )
+    sizes = F.format_string("size_mismatch %dx%d vs %dx%d", "a_width", "a_height", "b_width", "b_height")
     detail = (
-        F.when(missing, F.lit("Set both frame A and frame B."))
+        F.when(missing, F.lit("missing_side"))
         .when(differ, sizes)
-        .when(invalid, F.lit("The comparison frame dimensions are invalid."))
+        .when(invalid, F.lit("invalid_size"))
     )
     return pairs.withColumn("detail", detail).withColumn("comparable", F.col("detail").isNull())
 

@@ -120,9 +120,9 @@ def scenes(prepared: Ordered, config: DetectionConfig = DetectionConfig()) -> Da
     push = F.when(F.col("mark") == "push", 1).otherwise(0).cast("bigint")
     numbered = running_sum(settle(taken), push, "_scene")
     cap = config.results_per_kind
-    usable = numbered.df.where(
-        (F.col("_scene") < cap) | ((F.col("_scene") == cap) & (F.col("mark") == "push"))
-    )
+    usable = numbered.df
+    if cap is not None:
+        usable = usable.where((F.col("_scene") < cap) | ((F.col("_scene") == cap) & (F.col("mark") == "push")))
     body = ["_pos", "start", "end_ns", "first_frame", "score"]
     if prepared.split:
         body.append(CHUNK)
@@ -349,13 +349,19 @@ def detect(
 ) -> DataFrame:
     """All detections of a samples table. Planes are never read.
 
-    Exact, near and repeated results share one cap, in that order of emission.
+    By default all are returned. With ``results_per_kind`` exact, near and repeated results share one
+    limit, in that order of emission.
     """
     config = config.normalized()
     cap = config.results_per_kind
     p = prepare(samples)
     if repeated:
         p = p.to(materialise(p.df))
+    if cap is None:
+        out = [scenes(p, config), duplicate_ranges(p, config), freezes(p, config)]
+        if repeated:
+            out.append(repeated_sections(p, config))
+        return union_all([df.select(*RESULT) for df in out])
     duplicates = _ranked(duplicate_ranges(p, config), p)
     still = _ranked(freezes(p, config), p)
     out = [

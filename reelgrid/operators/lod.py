@@ -15,7 +15,7 @@ SCORES = {"motion": "motion", "similarity": "similarity", "scene": "scene_score"
 DEFAULT_FRAME_NS = 33_333_333
 
 
-def estimated_samples(media: DataFrame, maximum: int = 2_000_000) -> DataFrame:
+def estimated_samples(media: DataFrame, maximum: int | None = None) -> DataFrame:
     """media + ``estimated``: declared frames, else duration over the nominal frame duration."""
     nominal = F.coalesce(
         F.nullif(nominal_frame_duration(F.col("avg_rate")), F.lit(0)),
@@ -27,7 +27,7 @@ def estimated_samples(media: DataFrame, maximum: int = 2_000_000) -> DataFrame:
         .when(F.col("duration_ns") > 0, div(F.col("duration_ns"), nominal) + 1)
         .otherwise(F.lit(1))
     )
-    return media.withColumn("estimated", F.least(estimate, F.lit(maximum).cast("bigint")))
+    return media.withColumn("estimated", estimate if maximum is None else F.least(estimate, F.lit(maximum).cast("bigint")))
 
 
 def lod_geometry(media: DataFrame, config: LodConfig = LodConfig()) -> DataFrame:

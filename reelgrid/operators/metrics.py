@@ -47,7 +47,7 @@ def valid_planes(planes: DataFrame) -> DataFrame:
 def luma_planes(planes: DataFrame, width: int | None = None, height: int | None = None) -> DataFrame:
     """Single-channel planes, area-scaled to width x height when given (2048 at most)."""
     if (width is None) != (height is None) or (width and not (0 < width <= MAX_SIDE and 0 < height <= MAX_SIDE)):
-        raise ValueError("the analysis size is invalid or unreasonably large")
+        raise ValueError(f"width and height are given together, each from 1 to {MAX_SIDE}")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

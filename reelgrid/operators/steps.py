@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .order import Ordered, arrange, carry_last, sequence, settle
 
-MAX_STEP = 1_000
 _BODY = ["presentation_index", "pt_ns", "key_frame"]
 
 
@@ -33,15 +32,15 @@ def positions(frames: DataFrame | Ordered) -> DataFrame:
     return o.plain().join(counts, "media_id")
 
 
-def step_frames(steps: DataFrame, frames: DataFrame | Ordered, payload: list[str] = _BODY) -> DataFrame:
+def step_frames(steps: DataFrame, frames: DataFrame | Ordered, payload: list[str] = _BODY, most: int | None = None) -> DataFrame:
     """Frame reached by ``step`` signed frames from ``presentation_index``.
 
-    The count is bounded to 1,000 each way and the walk stops at the media's ends; where it cannot
+    The walk stops at the media's ends, and after ``most`` frames each way if given; where it cannot
     move at all ``reached`` is null.
     """
     rows = positions(frames)
     here = rows.select("media_id", "presentation_index", "pos", "last_pos")
-    bounded = F.greatest(F.least(F.col("step"), F.lit(MAX_STEP)), F.lit(-MAX_STEP))
+    bounded = F.col("step") if most is None else F.greatest(F.least(F.col("step"), F.lit(most)), F.lit(-most))
     goal = F.greatest(F.least(F.col("pos") + bounded, F.col("last_pos")), F.lit(0))
     there = rows.select("media_id", F.col("pos").alias("_goal"), F.struct("pos", *payload).alias("reached"))
     return (

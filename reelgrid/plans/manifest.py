@@ -18,18 +18,17 @@ def manifest(plan: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def manifest_summary(files: DataFrame, requests: DataFrame) -> DataFrame:
-    """Files per request, whether the limit was reached, and a note for empty or cut exports."""
+    """Files per request, whether the limit was reached, and a code: ``frame_limit`` or ``no_frames``."""
     limit = F.col("limit_reached") if "limit_reached" in files.columns else F.lit(False)
     counts = files.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("files"), F.max(F.when(limit, 1).otherwise(0)).alias("_limit")
     )
-    cut = F.format_string("Export stopped at the configured %d-frame safety limit.", F.col("max_frames"))
     return requests.select("request_id", "media_id", "max_frames").join(counts, "request_id", "left").select(
         "request_id",
         "media_id",
         F.coalesce("files", F.lit(0)).alias("files"),
         F.coalesce(F.col("_limit") == 1, F.lit(False)).alias("limit_reached"),
-        F.when(F.col("_limit") == 1, cut)
-        .when(F.coalesce("files", F.lit(0)) == 0, F.lit("No frames matched the export request."))
+        F.when(F.col("_limit") == 1, F.lit("frame_limit"))
+        .when(F.coalesce("files", F.lit(0)) == 0, F.lit("no_frames"))
         .alias("detail"),
     )

@@ -2,41 +2,47 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import sanitize_base_name
 from ..functions.timebase import clamp_time, ordered_range
 
-# Bounds of a request.
-MAX_FRAMES = 100_000
-MAX_STEP = 1_000_000
-MAX_SIDE_CELLS = 32
-MAX_CELLS = 1_024
+@dataclass(frozen=True)
+class RequestLimits:
+    """Upper bounds that a service may set on requests; none by default."""
+
+    frames: int | None = None
+    step: int | None = None
+    side_cells: int | None = None
+    cells: int | None = None
 
 
-def _within(value: Column, low: int, high: int) -> Column:
-    return F.greatest(F.least(value, F.lit(high)), F.lit(low))
+def _within(value: Column, low: int, high: int | None) -> Column:
+    return F.greatest(value if high is None else F.least(value, F.lit(high)), F.lit(low))
 
 
-def normalise_requests(requests: DataFrame, media: DataFrame) -> DataFrame:
+def normalise_requests(requests: DataFrame, media: DataFrame, limits: RequestLimits = RequestLimits()) -> DataFrame:
     """Requests with every field brought into its bounds.
 
-    An empty range runs to the end of the media; target times become distinct, sorted, inside the
-    media and no more than the frame limit.
+    An empty range runs to the end of the media; target times become distinct, sorted and inside the
+    media and no more than the request's own ``max_frames``.
     """
     d = F.col("_d")
     joined = requests.join(media.select("media_id", F.col("duration_ns").alias("_d")), "media_id", "left")
     start, end = ordered_range(F.col("range_start_ns"), F.col("range_end_ns"), d)
     joined = joined.withColumns({"_s": start, "_e": end})
     end = F.when((F.col("_s") == F.col("_e")) & (d > F.col("_s")), d).otherwise(F.col("_e"))
-    limit = _within(F.col("max_frames"), 1, MAX_FRAMES)
+    limit = _within(F.col("max_frames"), 1, limits.frames)
     targets = F.array_sort(
         F.array_distinct(F.transform(F.coalesce("target_times", F.array().cast("array<bigint>")), lambda t: clamp_time(t, d)))
     )
     s = F.col("sheet")
-    rows, columns = _within(s["rows"], 1, MAX_SIDE_CELLS), _within(s["columns"], 1, MAX_SIDE_CELLS)
-    cells = F.greatest(F.least(s["frame_count"], F.least(rows * columns, F.lit(MAX_CELLS))), F.lit(1))
+    rows, columns = (_within(s[side], 1, limits.side_cells) for side in ("rows", "columns"))
+    room = rows * columns if limits.cells is None else F.least(rows * columns, F.lit(limits.cells))
+    cells = F.greatest(F.least(s["frame_count"], room), F.lit(1))
     sheet = F.struct(
         s["source"].alias("source"),
         rows.alias("rows"),
@@ -52,11 +58,11 @@ def normalise_requests(requests: DataFrame, media: DataFrame) -> DataFrame:
             "anchor_ns": clamp_time(F.col("anchor_ns"), d),
             "range_start_ns": F.col("_s"),
             "range_end_ns": end,
-            "every_n": _within(F.col("every_n"), 1, MAX_STEP),
+            "every_n": _within(F.col("every_n"), 1, limits.step),
             "max_frames": limit,
             "quality": _within(F.col("quality"), 0, 100).cast("int"),
             "base_name": sanitize_base_name(F.col("base_name")),
-            "target_times": F.slice(targets, F.lit(1), limit.cast("int")),
+            "target_times": F.slice(targets, F.lit(1), F.least(limit, F.lit(2**31 - 1)).cast("int")),
             "sheet": sheet,
         }
     ).select(*requests.columns)

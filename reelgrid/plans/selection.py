@@ -107,7 +107,7 @@ def target_plan(requests: DataFrame, frames: DataFrame | Ordered) -> DataFrame:
     targets = requests.select("request_id", "media_id", F.explode("target_times").alias("target_ns")).distinct()
     hits = asof(targets, frames, BODY, "nearest")
     kept = drop_repeats(hits, ["request_id", "media_id"])
-    # A request has at most 100,000 targets.
+    # The targets of one request came in one array, so they fit one task.
     w = Window.partitionBy("request_id", "media_id").orderBy("target_ns")
     return kept.withColumn("seq", F.row_number().over(w).cast("bigint")).select(
         "request_id", "media_id", "seq", "target_ns", *[F.col("hit")[c].alias(c) for c in BODY]
@@ -119,12 +119,10 @@ def scene_targets(detections: DataFrame) -> DataFrame:
     return detections.where(F.col("kind") == "scene").select("media_id", F.col("start_ns").alias("target_ns")).distinct()
 
 
-def high_motion_targets(samples: DataFrame | Ordered, threshold: float = 0.70, most: int = 100_000) -> DataFrame:
-    """Times of samples at or above a motion threshold, among the first ``most`` of each media."""
-    o = sequence(arrange(samples), names=("_pos", "", ""))
-    return o.df.where((F.col("_pos") < most) & high_motion(F.col("motion"), threshold)).select(
-        "media_id", F.col("pt_ns").alias("target_ns")
-    ).distinct()
+def high_motion_targets(samples: DataFrame | Ordered, threshold: float = 0.70) -> DataFrame:
+    """Times of all samples at or above a motion threshold."""
+    rows = samples.df if isinstance(samples, Ordered) else samples
+    return rows.where(high_motion(F.col("motion"), threshold)).select("media_id", F.col("pt_ns").alias("target_ns")).distinct()
 
 
 def media_target_plan(targets: DataFrame, frames: DataFrame | Ordered) -> DataFrame:

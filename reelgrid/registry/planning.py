@@ -120,8 +120,8 @@ def manifest(spark, folder):
     "manifest_summary",
     with_(EVENTS, RANGES, REQUESTS, PLAN.format(which="c % every_n = 0"))
     + """SELECT q.request_id, CASE WHEN MAX(total) IS NULL THEN 0 ELSE LEAST(MAX(total), ANY_VALUE(q.max_frames)) END AS files,
-      COALESCE(CASE WHEN MAX(total) > ANY_VALUE(q.max_frames) THEN 'Export stopped at the configured ' || ANY_VALUE(q.max_frames) || '-frame safety limit.'
-        WHEN MAX(total) IS NULL THEN 'No frames matched the export request.' END, '') AS detail
+      COALESCE(CASE WHEN MAX(total) > ANY_VALUE(q.max_frames) THEN 'frame_limit'
+        WHEN MAX(total) IS NULL THEN 'no_frames' END, '') AS detail
     FROM requests q LEFT JOIN chosen c ON c.request_id = q.request_id GROUP BY 1""",
 )
 def manifest_summary(spark, folder):

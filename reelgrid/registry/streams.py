@@ -31,10 +31,11 @@ def _arrivals(s, parts=3):
 
 def _closing(parts):
     """The arrivals with a closing row per media behind the last."""
-    end = parts[-1].sparkSession.createDataFrame([], parts[0].schema)
     tagged = [p.withColumn("closing", F.lit(False)) for p in parts]
     ids = parts[0].select("media_id").distinct()
-    close = ids.join(end.drop("media_id"), F.lit(True), "left").withColumns({"closing": F.lit(True), "pt_ns": F.lit(0).cast("bigint"), "duration_ns": F.lit(0).cast("bigint")})
+    absent = {f.name: F.lit(None).cast(f.dataType) for f in parts[0].schema if f.name != "media_id"}
+    zero = F.lit(0).cast("bigint")
+    close = ids.withColumns({**absent, "closing": F.lit(True), "pt_ns": zero, "duration_ns": zero})
     return [*tagged, close.select(*tagged[0].columns)]
 
 
@@ -59,9 +60,13 @@ def stream_scenes(spark, folder):
 
 @query("stream_dedup", with_(EVENTS) + "SELECT media_id, COUNT(*) AS n, SUM(pts) AS total FROM samples GROUP BY 1")
 def stream_dedup(spark, folder):
-    """Every arrival is delivered again together with the next one."""
-    a, b, c = _arrivals(samples(spark, folder))
-    out = replay([a, a.unionByName(b), b.unionByName(c)], lambda s: P.dedup_stream(s, "60 days"))
+    """Every arrival is delivered again together with the next one, and half of the media come after the others."""
+    s = samples(spark, folder)
+    a, b = _arrivals(s, 2)
+    late = F.col("media_id").cast("bigint") % 2 == 1
+    first, second = [x.where(~late) for x in (a, b)], [x.where(late) for x in (a, b)]
+    parts = [first[0], first[0].unionByName(first[1]), first[1].unionByName(second[0]), second[0].unionByName(second[1])]
+    out = replay(parts, P.dedup_stream)
     return out.groupBy("media_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pts").alias("total"))
 
 

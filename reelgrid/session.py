@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Checkpoints that nothing refers to any more are deleted.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -26,24 +31,42 @@ def build_session(master: str | None = None, app: str = "reelgrid", **conf) -> S
     return builder.getOrCreate()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share.
 
-    The folder named by ``spark.checkpoint.dir`` is used as it is; only where neither that
-    setting nor a folder of the context exists (local tests) a private one is made.
+    The folder named by ``spark.checkpoint.dir`` is used as it is. Where neither that setting nor a
+    folder of the context exists, a private one is made on a local master, which has one machine only;
+    on a cluster that is an error, as other machines would not see the files.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="reelgrid-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="reelgrid-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that kernels can be imported there."""
+    context = spark.sparkContext
+    if getattr(context, "_reelgrid_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="reelgrid-package-")) / "reelgrid.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._reelgrid_shipped = True
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder of the session."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder path on the shared checkpoint storage, for stream outputs and tables."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="reelgrid-checkpoint-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -6,6 +6,9 @@ reads prune row groups; planes are kept apart and clustered by (media_id, presen
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from ..functions.timebase import pts_to_ns
 from ..operators.metrics import valid_planes
 from ..operators.samples import split_valid
 from ..schemas import SCHEMAS
+from ..session import materialise
 
 UNKNOWN = -1
 
@@ -86,50 +90,63 @@ def with_fingerprint(media: DataFrame) -> DataFrame:
     )
 
 
-def write_samples(samples: DataFrame, media: DataFrame, path: str, complete: bool = True) -> None:
-    """Store the samples of whole media under the media's current fingerprint.
+def write_samples(samples: DataFrame, media: DataFrame, path: str, complete: bool = True) -> str:
+    """Store the samples of whole media under the media's current fingerprint; returns the run's id.
 
-    Media with any invalid sample go to ``<path>/quarantine`` instead. Rows are range-partitioned
-    in time, so a media of any length is written by many tasks, and ``status`` records which
-    fingerprints are stored and whether they are complete.
+    A run writes its rows under its own id and then publishes itself in ``status``, one row per media.
+    The latest published run of a media replaces all earlier ones, so a repeated write doubles nothing,
+    and what a failed run left behind is never read. Media with any invalid sample go to
+    ``<path>/quarantine`` instead. Rows are range-partitioned in time, so a media of any length is
+    written by many tasks. The input is evaluated once.
     """
+    spark, run = samples.sparkSession, uuid.uuid4().hex
     prints = with_fingerprint(media).select("media_id", "fingerprint")
-    good, bad = split_valid(samples)
+    good, bad = split_valid(materialise(samples))
     stamped = good.join(prints, "media_id").withColumns(
-        {"algo_version": F.lit(ALGORITHM_VERSION), "schema_version": F.lit(SCHEMA_VERSION)}
+        {"algo_version": F.lit(ALGORITHM_VERSION), "schema_version": F.lit(SCHEMA_VERSION), "run": F.lit(run)}
     )
     (
         stamped.repartitionByRange("media_id", "pt_ns", "presentation_index")
         .sortWithinPartitions("media_id", "pt_ns", "presentation_index")
         .write.mode("append")
-        .partitionBy("algo_version")
+        .partitionBy("algo_version", "run")
         .parquet(f"{path}/data")
     )
-    bad.write.mode("append").parquet(f"{path}/quarantine")
-    status = stamped.groupBy("media_id", "fingerprint", "schema_version", "algo_version").agg(
+    bad.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(f"{path}/quarantine")
+    written = spark.read.schema(stamped.schema).parquet(f"{path}/data").where(F.col("run") == run)
+    status = written.groupBy("media_id", "fingerprint", "schema_version", "algo_version", "run").agg(
         F.count(F.lit(1)).alias("samples")
     )
-    status.withColumn("complete", F.lit(complete)).write.mode("append").parquet(f"{path}/status")
+    published = status.withColumns({"complete": F.lit(complete), "published": F.lit(time.time_ns())})
+    published.write.mode("append").parquet(f"{path}/status")
+    return run
+
 
+def latest_status(status: DataFrame) -> DataFrame:
+    """The latest published row per media and fingerprint, of the current versions."""
+    current = status.where((F.col("schema_version") == SCHEMA_VERSION) & (F.col("algo_version") == ALGORITHM_VERSION))
+    if "published" not in status.columns:
+        return current
+    body = [c for c in status.columns if c not in ("media_id", "fingerprint")]
+    last = F.max_by(F.struct(*body), F.struct("published", "run")).alias("_s")
+    return current.groupBy("media_id", "fingerprint").agg(last).select("media_id", "fingerprint", "_s.*")
 
-def read_samples(spark: SparkSession, media: DataFrame, path: str) -> DataFrame:
-    """Stored samples that still belong to their media: current versions and fingerprint."""
+
+def read_samples(spark: SparkSession, media: DataFrame, path: str, complete_only: bool = False) -> DataFrame:
+    """Stored samples that still belong to their media: the latest run of the current fingerprint."""
     prints = with_fingerprint(media).select("media_id", "fingerprint")
-    stored = spark.read.parquet(f"{path}/data").where(
-        (F.col("algo_version") == ALGORITHM_VERSION) & (F.col("schema_version") == SCHEMA_VERSION)
-    )
-    return stored.join(prints, ["media_id", "fingerprint"], "left_semi").drop(
-        "fingerprint", "schema_version", "algo_version"
+    runs = latest_status(spark.read.parquet(f"{path}/status")).join(prints, ["media_id", "fingerprint"], "left_semi")
+    if complete_only:
+        runs = runs.where("complete")
+    stored = spark.read.parquet(f"{path}/data").where(F.col("algo_version") == ALGORITHM_VERSION)
+    return stored.join(runs.select("media_id", "fingerprint", "run"), ["media_id", "fingerprint", "run"], "left_semi").drop(
+        "fingerprint", "schema_version", "algo_version", "run"
     )
 
 
 def pending_media(media: DataFrame, status: DataFrame) -> DataFrame:
-    """Media without a complete stored document of their current fingerprint."""
-    done = status.where(
-        F.col("complete")
-        & (F.col("schema_version") == SCHEMA_VERSION)
-        & (F.col("algo_version") == ALGORITHM_VERSION)
-    ).select("media_id", "fingerprint").distinct()
+    """Media whose latest stored document of their current fingerprint is not complete, or missing."""
+    done = latest_status(status).where("complete").select("media_id", "fingerprint").distinct()
     return with_fingerprint(media).join(done, ["media_id", "fingerprint"], "left_anti").drop("fingerprint")
 
 

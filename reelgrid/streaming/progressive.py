@@ -13,6 +13,7 @@ from ..operators.samples import latest_by_identity
 from ..functions.scores import unit
 
 EVENT_TIME = "event_time"
+ARRIVAL = "arrival_time"
 
 
 # Media time 0 as an event time. A watermark starts at the epoch and drops what is not after it.
@@ -26,9 +27,13 @@ def with_event_time(samples: DataFrame) -> DataFrame:
 
 
 def dedup_stream(samples: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Samples once per identity, tolerant of re-delivery inside the watermark."""
-    timed = samples if EVENT_TIME in samples.columns else with_event_time(samples)
-    return timed.withWatermark(EVENT_TIME, delay).dropDuplicatesWithinWatermark(["media_id", "presentation_index"])
+    """Samples once per identity; a sample delivered again within ``delay`` of its arrival is dropped.
+
+    The watermark follows arrival, not media time: media progress apart from each other, and one that
+    starts late must not lose its rows to one that is far ahead. No row is ever late.
+    """
+    timed = samples.withColumn(ARRIVAL, F.current_timestamp()).withWatermark(ARRIVAL, delay)
+    return timed.dropDuplicatesWithinWatermark(["media_id", "presentation_index"]).drop(ARRIVAL)
 
 
 def merged_samples(spark: SparkSession, path: str) -> DataFrame:

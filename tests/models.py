@@ -1,4 +1,4 @@
-"""Plain-Python models of the detection rules, written from their description."""
+"""The detection rules as definitions over all positions, for comparison on small inputs."""
 
 import numpy as np
 
@@ -10,25 +10,30 @@ def end_of(s):
 
 
 def scenes(rows, cfg):
-    if not rows or cfg.results_per_kind == 0:
-        return []
-    out = [(rows[0], f32(1.0))]
-    for i in range(1, len(rows)):
-        if len(out) >= cfg.results_per_kind:
-            break
-        v = rows[i]["scene_score"]
-        if v is None or f32(v) < f32(cfg.scene_threshold):
-            continue
-        left = rows[i - 1]["scene_score"] if i > 1 else 0.0
-        right = rows[i + 1]["scene_score"] if i + 1 < len(rows) else 0.0
-        if f32(v) < f32(left or 0.0) or f32(v) < f32(right or 0.0):
-            continue
-        if rows[i]["pt_ns"] - out[-1][0]["pt_ns"] < cfg.scene_separation_ns:
-            if out[-1][1] < f32(v) and out[-1][0]["pt_ns"] != rows[0]["pt_ns"]:
-                out[-1] = (rows[i], f32(v))
-            continue
-        out.append((rows[i], f32(v)))
-    return [("scene", r["pt_ns"], end_of(r), r["presentation_index"], r["presentation_index"], 1) for r, _ in out]
+    """Scenes after k candidates, as a definition on the scenes after k - 1."""
+    score = [f32(r["scene_score"] or 0.0) for r in rows]
+    times = [r["pt_ns"] for r in rows]
+    around = lambda i: [score[j] for j in (i - 1, i + 1) if 0 < j < len(rows)]
+    peaks = [
+        i for i in range(1, len(rows))
+        if rows[i]["scene_score"] is not None and score[i] >= f32(cfg.scene_threshold) and all(score[i] >= s for s in around(i))
+    ]
+    limit = len(rows) if cfg.results_per_kind is None else cfg.results_per_kind
+
+    def after(k):
+        if k == 0:
+            return [0]
+        before, i = after(k - 1), peaks[k - 1]
+        last = before[-1]
+        if len(before) >= limit:
+            return before
+        if times[i] - times[last] >= cfg.scene_separation_ns:
+            return [*before, i]
+        stronger = times[last] != times[0] and score[last] < score[i]
+        return [*before[:-1], i] if stronger else before
+
+    found = after(len(peaks)) if rows and limit else []
+    return [("scene", times[i], end_of(rows[i]), rows[i]["presentation_index"], rows[i]["presentation_index"], 1) for i in found]
 
 
 def runs(rows, label, minimum):
@@ -67,42 +72,32 @@ def freezes(rows, cfg):
 
 
 def repeated(rows, cfg, used):
-    out, seen, covered = [], {}, 0
-    for cur in range(len(rows)):
-        if used + len(out) >= cfg.results_per_kind:
-            break
-        h = rows[cur]["perceptual_hash"]
-        if h is None:
-            continue
-        best = None
-        earlier = seen.setdefault(h, [])
-        if cur >= covered:
-            for prev in reversed(earlier):
-                if rows[cur]["pt_ns"] - rows[prev]["pt_ns"] < cfg.repeated_separation_ns:
-                    continue
-                n, total = 0, 0.0
-                while cur + n < len(rows) and prev + n < cur:
-                    a, b = rows[cur + n]["perceptual_hash"], rows[prev + n]["perceptual_hash"]
-                    if a is None or b is None:
-                        break
-                    d = bin((a ^ b) & (2**64 - 1)).count("1")
-                    if d > cfg.perceptual_distance:
-                        break
-                    total += 1 - d / 64
-                    n += 1
-                if n < cfg.repeated_frames:
-                    continue
-                score = f32(total / n)
-                if best is None or n > best[0] or (n == best[0] and score > best[1]):
-                    best = (n, score, prev)
-        earlier.append(cur)
-        del earlier[: -cfg.fingerprint_candidates]
-        if best:
-            n, _, prev = best
-            covered = cur + n
-            a, b = rows[cur], rows[cur + n - 1]
-            out.append((
-                "repeated_section", a["pt_ns"], max(a["pt_ns"], end_of(b)), a["presentation_index"],
-                b["presentation_index"], n, rows[prev]["pt_ns"], rows[prev + n - 1]["presentation_index"],
-            ))
-    return out
+    """All (length, score, earlier position) of every position, the best of each, then those not covered."""
+    hashes, times = [r["perceptual_hash"] for r in rows], [r["pt_ns"] for r in rows]
+
+    def alike(i, j):
+        a, b = hashes[i], hashes[j]
+        bits = None if a is None or b is None else ((a ^ b) % 2**64).bit_count()
+        return None if bits is None or bits > cfg.perceptual_distance else 1 - bits / 64
+
+    def section(cur, prev):
+        steps = [alike(cur + n, prev + n) for n in range(min(len(rows) - cur, cur - prev))]
+        whole = steps.index(None) if None in steps else len(steps)
+        return (whole, f32(sum(steps[:whole]) / whole), prev) if whole >= cfg.repeated_frames else None
+
+    def best(cur):
+        same = [p for p in range(cur) if hashes[p] is not None and hashes[p] == hashes[cur]][-cfg.fingerprint_candidates :]
+        found = [section(cur, p) for p in same if times[cur] - times[p] >= cfg.repeated_separation_ns]
+        return max((s for s in found if s), default=None)
+
+    options = [(cur, best(cur)) for cur in range(len(rows))]
+    out, free = [], 0
+    while nxt := next(((cur, b) for cur, b in options if b and cur >= free), None):
+        cur, (n, _, prev) = nxt
+        free = cur + n
+        first, last = rows[cur], rows[free - 1]
+        out.append((
+            "repeated_section", first["pt_ns"], max(first["pt_ns"], end_of(last)), first["presentation_index"],
+            last["presentation_index"], n, times[prev], rows[prev + n - 1]["presentation_index"],
+        ))
+    return out if cfg.results_per_kind is None else out[: max(0, cfg.results_per_kind - used)]
