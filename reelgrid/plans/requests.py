@@ -12,12 +12,12 @@ from ..functions.timebase import clamp_time, ordered_range
 
 @dataclass(frozen=True)
 class RequestLimits:
-    """Upper bounds that a service may set on requests; none by default."""
+    """Upper bounds that a service may set on requests. Only the size of a sheet is bounded by default."""
 
     frames: int | None = None
     step: int | None = None
-    side_cells: int | None = None
-    cells: int | None = None
+    side_cells: int | None = 32
+    cells: int | None = 1_024
 
 
 def _within(value: Column, low: int, high: int | None) -> Column:
