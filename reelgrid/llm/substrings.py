@@ -202,14 +202,17 @@ def repeated_ranges(docs: DataFrame, scan: DataFrame, window: int) -> DataFrame:
     """``pos, from, to``: word ranges covered by windows that stand earlier too."""
     rows = scan.select("pos", F.inline("segments"))
     several = rows.groupBy("run").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("run")
+    # Aggregates are stored before joins: a skewed join can be split only between two plain exchanges.
+    several = stored(several, "runs")
     rows = stored(rows.join(several, "run"), "segments")
     distinct = stored(rows.groupBy("run", "content").agg(F.min(F.struct("pos", "start")).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "distinct")
     copies = rows.join(distinct.filter("copies > 1").select("run", "content", "first"), ["run", "content"]).filter("struct(pos, start) > first")
     whole = copies.select("pos", F.col("start").alias("from"), (F.col("start") + F.col("n") + window - 1).alias("to"))
 
     unlike = distinct.groupBy("run").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    unlike = stored(unlike, "unlike")
     wanted = distinct.join(unlike, "run").select("first.pos", F.struct("run", F.col("first.start").alias("start"), "n", (F.col("kinds") > HOT).alias("hot")).alias("w"))
-    wanted = stored(wanted.groupBy("pos").agg(F.collect_list("w").alias("wanted")), "wanted")
+    wanted = stored(stored(wanted, "ambiguous").groupBy("pos").agg(F.collect_list("w").alias("wanted")), "wanted")
     texts = likely(docs, "pos", wanted.select("pos"))
     found = stored(contents(texts.join(wanted, "pos"), window), "contents")
 
@@ -219,6 +222,7 @@ def repeated_ranges(docs: DataFrame, scan: DataFrame, window: int) -> DataFrame:
     indexed = cold.groupBy("shard").applyInArrow(shard_repeats(window), "pos long, from int, to int")
     hot = found.filter("hot").select(F.col("run").alias("window"), "pos", "start")
     first = hot.groupBy("window").agg(F.min(F.struct("pos", "start")).alias("first"))
+    first = stored(first, "first")
     later = hot.join(first, "window").filter("struct(pos, start) > first")
     return whole.unionAll(indexed).unionAll(later.select("pos", F.col("start").alias("from"), (F.col("start") + window).alias("to")))
 
