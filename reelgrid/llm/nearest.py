@@ -8,6 +8,7 @@ substring within that many flips finds every code within the radius; those are r
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -80,9 +81,22 @@ class MultiIndex:
         self.width = how.bits // how.parts
         self.parts = self.substrings(codes)
         self.orders = [np.argsort(p, kind="stable") for p in self.parts]
-        self.starts = [np.searchsorted(p[o], np.arange((1 << self.width) + 1)) for p, o in zip(self.parts, self.orders)]
-        flips = how.radius // how.parts
-        self.masks = np.array([sum(1 << b for b in c) for k in range(flips + 1) for c in combinations(range(self.width), k)])
+        # The buckets of each substring that hold something: values, and where their rows start.
+        self.buckets = [np.unique(p[o], return_index=True) for p, o in zip(self.parts, self.orders)]
+        self.buckets = [(values.astype(np.uint64), np.r_[first, len(codes)]) for values, first in self.buckets]
+        self.flips = how.radius // how.parts
+        count = sum(math.comb(self.width, k) for k in range(self.flips + 1))
+        masks = (sum(1 << b for b in c) for k in range(self.flips + 1) for c in combinations(range(self.width), k))
+        # Flipping bits visits one bucket for each mask; where fewer buckets exist, the buckets are looked through.
+        self.masks = np.fromiter(masks, np.uint64, count) if count < max(map(len, (v for v, _ in self.buckets)), default=0) else None
+
+    def probed(self, own: int, values: np.ndarray) -> np.ndarray:
+        """Places of the buckets within the allowed flips."""
+        if self.masks is None:
+            return np.flatnonzero(np.bitwise_count(values ^ np.uint64(own)) <= self.flips)
+        wanted = self.masks ^ np.uint64(own)
+        at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+        return at[values[at] == wanted]
 
     def substrings(self, codes: np.ndarray) -> list[np.ndarray]:
         bits = np.unpackbits(codes, axis=1)
@@ -92,14 +106,11 @@ class MultiIndex:
     def within(self, code: np.ndarray, substrings: list[int]) -> np.ndarray:
         """Places of every code within the radius."""
         found = np.zeros(len(self.codes), bool)
-        for own, order, starts in zip(substrings, self.orders, self.starts):
-            probe = own ^ self.masks
-            first, sizes = starts[probe], starts[probe + 1] - starts[probe]
-            some = sizes > 0
-            first, sizes = first[some], sizes[some]
-            total = int(sizes.sum())
+        for own, order, (values, starts) in zip(substrings, self.orders, self.buckets):
+            hit = self.probed(own, values)
+            first, sizes = starts[hit], starts[hit + 1] - starts[hit]
             ends = np.cumsum(sizes)
-            found[order[np.repeat(first - (ends - sizes), sizes) + np.arange(total)]] = True
+            found[order[np.repeat(first - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]] = True
         places = np.flatnonzero(found)
         if self.how.bits == 64:
             apart = np.bitwise_count(self.codes[places] ^ code.view(np.uint64)[0])
