@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,15 +23,11 @@ def joined(spans: Sequence[Span], kinds: Sequence[str]) -> str:
 
 def free_of(spans: Sequence[Span], taken: Sequence[Span]) -> list[Span]:
     """Spans that overlap none of the taken ones."""
-    out, held, at = [], sorted((a, b) for _, a, b in taken), 0
-    reach = 0  # furthest end among taken spans that start before the current one
-    for k, a, b in sorted(spans, key=lambda s: (s[1], s[2])):
-        while at < len(held) and held[at][0] < b:
-            reach = max(reach, held[at][1])
-            at += 1
-        if reach <= a:
-            out.append((k, a, b))
-    return out
+    held = sorted((a, b) for _, a, b in taken)
+    starts, furthest = [a for a, _ in held], list(accumulate((b for _, b in held), max))
+    # Of the taken spans that start before this one ends, does the furthest end lie behind its start?
+    free = lambda a, b: not (at := bisect_left(starts, b)) or furthest[at - 1] <= a
+    return [s for s in sorted(spans, key=lambda s: (s[1], s[2])) if free(s[1], s[2])]
 
 
 def tabled(df: DataFrame, find: Callable[[], Callable[[list[str]], list[tuple[list[Span], list[Span]]]]], base: Sequence[str], kinds: Sequence[str], id_col: str, text_col: str) -> DataFrame:
