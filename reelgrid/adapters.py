@@ -11,7 +11,6 @@ from .operators.order import Ordered, arrange, sequence, settle
 
 # Probe and range times: one day of an order date is this many seconds of media time.
 DAY_NS = 1000 * SECOND
-MEDIA = 150
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -70,9 +69,15 @@ def media_from_samples(samples: DataFrame | Ordered) -> DataFrame:
     ).withColumn("estimated", F.col("declared_frames"))
 
 
-def probes_from_orders(orders: DataFrame) -> DataFrame:
+def media_count(events: DataFrame) -> Column:
+    """Users number their media from 0; counted where it is used."""
+    return events.select(F.max("user_id") + 1).scalar()
+
+
+def probes_from_orders(orders: DataFrame, media: Column) -> DataFrame:
+    """Probes over all media, by customer."""
     return orders.select(
-        (F.col("o_custkey") % MEDIA).cast("string").alias("media_id"),
+        (F.col("o_custkey") % media).cast("string").alias("media_id"),
         F.col("o_orderkey").alias("probe_id"),
         (_day(F.col("o_orderdate")) * DAY_NS).alias("target_ns"),
         (F.col("o_orderkey") % 97).alias("index_hint"),
@@ -80,11 +85,11 @@ def probes_from_orders(orders: DataFrame) -> DataFrame:
     )
 
 
-def ranges_from_lineitem(lineitem: DataFrame) -> DataFrame:
+def ranges_from_lineitem(lineitem: DataFrame, media: Column) -> DataFrame:
     start = _day(F.col("l_shipdate")) * DAY_NS
     return (
         lineitem.select(
-            (F.col("l_orderkey") % MEDIA).cast("string").alias("media_id"),
+            (F.col("l_orderkey") % media).cast("string").alias("media_id"),
             start.alias("start_ns"),
             (start + F.col("l_quantity").cast("bigint") * 1800 * SECOND).alias("end_ns"),
         )

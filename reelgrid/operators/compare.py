@@ -64,32 +64,37 @@ def _blocks(batch: pa.RecordBatch):
 
 def _metrics_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        usable = batch.column("comparable").to_numpy(zero_copy_only=False).astype(bool)
+        places = np.flatnonzero(usable)
         mse, ssim = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-        for rows, a, b, w, h, c in _blocks(batch):
+        for rows, a, b, w, h, c in _blocks(batch.filter(pa.array(usable))):
             error = pixels.squared_error(a, b, c)
             score, count = pixels.block_ssim(a, b, w, h, c)
-            mse[rows] = error / (w * h * 3.0)
+            mse[places[rows]] = error / (w * h * 3.0)
             mean = (score * count).sum(axis=(1, 2)) / count.sum()
-            ssim[rows] = np.where(error == 0, 1.0, np.clip(mean, 0.0, 1.0))
+            ssim[places[rows]] = np.where(error == 0, 1.0, np.clip(mean, 0.0, 1.0))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("pair_id"), pa.array(mse), pa.array(ssim)], names=["pair_id", "mse", "ssim"]
+            [
+                *[batch.column(c) for c in ("pair_id", "comparable", "detail")],
+                pa.array(mse, mask=~usable), pa.array(ssim, mask=~usable),
+            ],
+            names=["pair_id", "comparable", "detail", "mse", "ssim"],
         )
 
 
 def compare_pairs(pairs: DataFrame, pair_type: str = "bigint") -> DataFrame:
-    """pair_id, comparable, detail, mse, psnr, ssim of pairs with both planes attached."""
-    checked = comparability(pairs)
-    usable = checked.where("comparable").select("pair_id", *_SIDES)
-    scored = usable.mapInArrow(_metrics_kernel, f"pair_id {pair_type}, mse double, ssim double")
+    """pair_id, comparable, detail, mse, psnr, ssim of pairs with both planes attached.
+
+    One kernel sees all pairs, so the planes are joined and read once.
+    """
+    checked = comparability(pairs).select("pair_id", "comparable", "detail", *_SIDES)
+    scored = checked.mapInArrow(
+        _metrics_kernel, f"pair_id {pair_type}, comparable boolean, detail string, mse double, ssim double"
+    )
     psnr = F.when(F.col("mse") == 0, F.lit(float("inf"))).otherwise(
         F.log10(F.lit(255.0 * 255.0) / F.col("mse")) * 10.0
     )
-    unusable = checked.where("not comparable").select("pair_id", "comparable", "detail")
-    good = scored.select(
-        "pair_id", F.lit(True).alias("comparable"), F.lit(None).cast("string").alias("detail"),
-        "mse", psnr.alias("psnr"), "ssim",
-    )
-    return good.unionByName(unusable, allowMissingColumns=True)
+    return scored.select("pair_id", "comparable", "detail", "mse", psnr.alias("psnr"), "ssim")
 
 
 def _map_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -234,15 +234,18 @@ def level_choice(requests: DataFrame, geometry: DataFrame, config: LodConfig = L
 def lod_view(
     lod: DataFrame, requests: DataFrame, geometry: DataFrame, config: LodConfig = LodConfig()
 ) -> DataFrame:
-    """Non-empty buckets of each request at its chosen level."""
+    """Non-empty buckets of each request at its chosen level.
+
+    A request wants no more buckets than its budget, or those of the coarsest level, so it is joined
+    by (media, level, bucket) instead of meeting every bucket of its media.
+    """
     chosen = level_choice(requests, geometry, config)
-    rows = lod.withColumnsRenamed({"level": "_level", "media_id": "_media"})
-    hit = (
-        (F.col("_media") == F.col("media_id"))
-        & (F.col("_level") == F.col("level"))
-        & F.col("bucket").between(F.col("first_bucket"), F.col("last_bucket"))
+    wanted = chosen.withColumn("bucket", F.explode(F.sequence("first_bucket", "last_bucket")))
+    wanted = wanted.drop("first_bucket", "last_bucket")
+    body = [c for c in lod.columns if c not in wanted.columns]
+    return wanted.join(lod, ["media_id", "level", "bucket"]).select(
+        *[c for c in wanted.columns if c != "bucket"], "bucket", *body
     )
-    return chosen.join(rows, hit).drop("_media", "_level", "first_bucket", "last_bucket")
 
 
 def aligned_range(start: Column, end: Column, geometry: dict[str, Column]) -> tuple[Column, Column]:

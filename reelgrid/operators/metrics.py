@@ -188,8 +188,16 @@ def analyse_planes(planes: DataFrame | Ordered) -> DataFrame:
     return placed.mapInArrow(_kernel, RESULT)
 
 
+def mismatched_planes(analysed: DataFrame) -> DataFrame:
+    """Planes whose size differs from that of the plane before: what ``assemble_samples`` leaves out."""
+    return analysed.where(F.col("status") == "geometry_mismatch").select("media_id", "presentation_index", "width", "height", "status")
+
+
 def assemble_samples(analysed: DataFrame, frames: DataFrame) -> DataFrame:
-    """Samples table: analysed planes with the time, duration and key flag of their frames."""
+    """Samples table: analysed planes with the time, duration and key flag of their frames.
+
+    Planes of another size than the one before have no scores; ``mismatched_planes`` reports them.
+    """
     f = frames.where(F.col("pt_ns").isNotNull()).select(
         "media_id", "presentation_index", "pts", "pt_ns",
         F.greatest("duration_ns", F.lit(0)).alias("duration_ns"), "key_frame",

@@ -43,11 +43,11 @@ def samples(spark: SparkSession, folder: str) -> Ordered:
 
 
 def probes(spark: SparkSession, folder: str) -> DataFrame:
-    return A.probes_from_orders(A.load(spark, folder, "orders"))
+    return A.probes_from_orders(A.load(spark, folder, "orders"), A.media_count(A.load(spark, folder, "events")))
 
 
 def ranges(spark: SparkSession, folder: str) -> DataFrame:
-    return A.ranges_from_lineitem(A.load(spark, folder, "lineitem"))
+    return A.ranges_from_lineitem(A.load(spark, folder, "lineitem"), A.media_count(A.load(spark, folder, "events")))
 
 
 def known(c: Column | str) -> Column:
@@ -85,7 +85,7 @@ media AS (
 
 PROBES = """
 probes AS (
-  SELECT CAST(o_custkey % 150 AS VARCHAR) AS media_id, o_orderkey AS probe_id,
+  SELECT CAST(o_custkey % (SELECT MAX(user_id) + 1 FROM events) AS VARCHAR) AS media_id, o_orderkey AS probe_id,
          CAST(datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) * 1000000000000 AS target_ns,
          o_orderkey % 97 AS index_hint, o_orderkey % 7 * 7200000000000 AS tolerance_ns
   FROM orders)"""
@@ -93,7 +93,7 @@ probes AS (
 RANGES = """
 ranges AS (
   SELECT media_id, s AS start_ns, e AS end_ns, media_id || ':' || s || ':' || e AS range_id FROM (
-    SELECT DISTINCT CAST(l_orderkey % 150 AS VARCHAR) AS media_id, d AS s,
+    SELECT DISTINCT CAST(l_orderkey % (SELECT MAX(user_id) + 1 FROM events) AS VARCHAR) AS media_id, d AS s,
            d + CAST(l_quantity AS BIGINT) * 1800000000000 AS e
     FROM (SELECT *, CAST(datediff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) * 1000000000000 AS d
           FROM lineitem)))"""

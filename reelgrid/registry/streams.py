@@ -111,7 +111,7 @@ def stream_ingest(spark, folder):
     return P.merged_samples(spark, path).select("media_id", "presentation_index", "pt_ns")
 
 
-@query("stream_redetection")
+@query("stream_redetection", _recursive(EVENTS, SCENES) + f"SELECT {COLUMNS} FROM ({SCENE_ROWS})")
 def stream_redetection(spark, folder):
     """Scenes of a table that grows in five arrivals, detected again when it has grown enough."""
     s = samples(spark, folder)

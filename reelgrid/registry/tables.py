@@ -470,7 +470,7 @@ def pending_media(spark, folder):
     "stored_detections",
     with_(EVENTS)
     + """SELECT media_id, CASE WHEN key_frame THEN 'freeze' ELSE 'scene' END AS kind,
-      COUNT(*) + CASE WHEN key_frame THEN 0 ELSE 1000 END AS n FROM samples GROUP BY ALL""",
+      COUNT(*) + CASE WHEN key_frame THEN 0 ELSE 1000 END AS n FROM samples GROUP BY media_id, key_frame""",
 )
 def stored_detections(spark, folder):
     """Results written twice by kind; the second write, at other times, replaces only its own kind."""
