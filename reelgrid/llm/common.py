@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,25 +46,38 @@ def leave_out(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*places).select(*[places[i] for i in kept]).toDF(*[df.columns[i] for i in kept])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a private one on a local master."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="reelgrid-llm-"))
-    return context.getCheckpointDir()
+def forget(spark: SparkSession) -> None:
+    """Delete what ``stored`` wrote for this application. Frames that read it cannot be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _forget_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone, and its JVM with it
+        forget(spark)
+
+
+_watched: set[str] = set()
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stored-{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write the rows as Parquet in the shared folder and read them back.
 
-    A lost executor costs no more than the tasks it ran; nothing is kept in executor memory.
+    A lost executor costs no more than the tasks it ran; nothing is kept in executor memory. The files
+    of an application lie in one folder, which is deleted when its driver ends, or by ``forget``.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = _own_folder(spark)
+    if folder not in _watched:
+        _watched.add(folder)
+        atexit.register(_forget_at_exit, spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parts(spark: SparkSession) -> int:
