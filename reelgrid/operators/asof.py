@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FRAME_ORDER, MS
-from .order import Ordered, arrange, carry_last, settle, small_groups
+from .order import Ordered, arrange, carry_last, sequence, settle, small_groups
 
 DEFAULT_TOLERANCE_NS = 500 * MS
 _SIDE, _AT = "_side", "_at"
@@ -65,6 +65,47 @@ def bracket(
     return ordered.df.where(F.col(_SIDE) == 1).select(*keys, F.col(_AT).alias(target), *sides)
 
 
+def range_ends(
+    ranges: DataFrame,
+    rows: Ordered,
+    payload: list[str],
+    start: str = "start_ns",
+    end: str = "end_ns",
+    keys: tuple[str, ...] = ("media_id",),
+    order: tuple[str, ...] = FRAME_ORDER,
+) -> DataFrame:
+    """keys, start, end, first, last, past: rows at the two ends of every distinct range.
+
+    ``first`` is the first row at or after the start, ``last`` the last at or before the end, ``past``
+    the last row before the start. Every row carries its follower, so one order and one scan of rows and
+    both ends answer all three; an opening row before all others stands for the media's beginning.
+    """
+    names = list(dict.fromkeys([*order, *payload]))
+    body = F.struct(*names)
+    source = sequence(rows, names, pos=False, next=True, names=("", "", "_follow")).plain()
+    source = source.where(F.col(order[0]).isNotNull())
+    row_part = source.select(*keys, F.col(order[0]).alias(_AT), F.lit(0).alias("_rank"), body.alias("row"), F.col("_follow").alias("next"))
+    opening = source.groupBy(*keys).agg(F.min(body).alias("next")).withColumns({_AT: F.lit(-(2**63)), "_rank": F.lit(-2)})
+    wanted = ranges.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, start, end).distinct()
+    at_start = F.struct(F.col(start).alias(_AT), F.lit(-1).alias("_rank"))
+    at_end = F.struct(F.col(end).alias(_AT), F.lit(1).alias("_rank"))
+    probes = wanted.select(*keys, start, end, F.inline(F.array(at_start, at_end)))
+    both = row_part.unionByName(opening, allowMissingColumns=True).unionByName(probes, allowMissingColumns=True)
+    ranking = (_AT, "_rank", "row")
+    if not rows.split and small_groups(wanted, keys):
+        ordered = Ordered(both, tuple(keys), ranking)
+    else:
+        ordered = arrange(both, keys, ranking)
+    known = F.when(F.col(start).isNull(), F.struct("row", "next"))
+    seen = carry_last(ordered, known, "_seen").df.where(F.col(start).isNotNull())
+    begins = F.col("_rank") == -1
+    return seen.groupBy(*keys, start, end).agg(
+        F.max(F.when(begins, F.col("_seen.next"))).alias("first"),
+        F.max(F.when(~begins, F.col("_seen.row"))).alias("last"),
+        F.max(F.when(begins, F.col("_seen.row"))).alias("past"),
+    )
+
+
 def nearest_of(before: Column, after: Column, target: Column, time: str = FRAME_ORDER[0]) -> Column:
     """Exact hit first, else the closer row; the earlier one on a tie; either end alone."""
     return (

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .asof import bracket
-from .order import Ordered, arrange, running_sum, sequence, settle, small_groups
+from .asof import range_ends
+from .order import Ordered, arrange, running_sum, sequence, settle
 
 BASE_WIDTH = 1 << 24  # about 17 ms
 LEVELS = 20  # widths up to 4**19 times the base, beyond any BIGINT time span
@@ -78,10 +78,8 @@ def range_summary(ranges: DataFrame, frames: DataFrame | Ordered) -> DataFrame:
     o = running_sum(settle(o), gap.cast("bigint"), "_gaps")
     payload = ["presentation_index", "_pos", "_gaps"]
     rows = settle(o.to(o.df.drop("_prev")))
-    few = small_groups(ranges)
-    low = bracket(r, rows, payload, target="start_ns", sides=("after",), few=few).withColumnRenamed("after", "_first")
-    high = bracket(r, rows, payload, target="end_ns", sides=("before",), few=few).withColumnRenamed("before", "_last")
-    j = r.join(low, ["media_id", "start_ns"], "left").join(high, ["media_id", "end_ns"], "left")
+    ends = range_ends(r, rows, payload).withColumnsRenamed({"first": "_first", "last": "_last"}).drop("past")
+    j = r.join(ends, ["media_id", "start_ns", "end_ns"], "left")
     f, last = F.col("_first"), F.col("_last")
     some = F.coalesce(f["_pos"] <= last["_pos"], F.lit(False))
     count = F.when(some, last["_pos"] - f["_pos"] + 1).otherwise(F.lit(0).cast("bigint"))
@@ -109,16 +107,11 @@ def first_rows_in_ranges(ranges: DataFrame, rows: DataFrame | Ordered, maximum:
     """
     r = _closed(ranges)
     o = settle(sequence(arrange(rows), names=("_pos", "", "")))
-    few = small_groups(ranges)
-    low = bracket(r, o, ["_pos"], target="start_ns", sides=("after",), few=few).select(
-        "media_id", "start_ns", F.col("after._pos").alias("_p0")
-    )
-    high = bracket(r, o, ["_pos"], target="end_ns", sides=("before",), few=few).select(
-        "media_id", "end_ns", F.col("before._pos").alias("_p1")
+    ends = range_ends(r, o, ["_pos"]).select(
+        "media_id", "start_ns", "end_ns", F.col("first._pos").alias("_p0"), F.col("last._pos").alias("_p1")
     )
     spans = (
-        r.join(low, ["media_id", "start_ns"])
-        .join(high, ["media_id", "end_ns"])
+        r.join(ends, ["media_id", "start_ns", "end_ns"])
         .withColumn("_p1", F.least(F.col("_p1"), F.col("_p0") + F.lit(maximum - 1)))
         .where(F.col("_p0") <= F.col("_p1"))
     )

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.spacing import div, evenly_spaced
 from ..functions.scores import high_motion
-from ..operators.asof import asof, bracket
-from ..operators.order import Ordered, arrange, running_sum, sequence, settle, small_groups
+from ..operators.asof import asof, range_ends
+from ..operators.order import Ordered, arrange, running_sum, sequence, settle
 
 BODY = ["presentation_index", "pts", "pt_ns", "key_frame"]
 FIRST = -(2**63)
@@ -22,19 +22,16 @@ def _counted(frames: DataFrame | Ordered) -> Ordered:
 
 
 def _bounds(requests: DataFrame, rows: Ordered) -> DataFrame:
-    """requests + first and last position and key ordinals of the range, from two lookups."""
+    """requests + first and last position and key ordinals of the range, from one lookup of both ends."""
     r = requests.withColumn("_from", F.when(F.col("range_start_ns") <= 0, F.lit(FIRST)).otherwise(F.col("range_start_ns")))
     payload = ["_pos", "_keys", "key_frame"]
     # Past the last frame a range starts with that frame.
-    few = small_groups(requests)
-    low = bracket(r, rows, payload, target="_from", few=few).select(
-        "media_id", "_from", F.coalesce("after", "before").alias("_f")
+    ends = range_ends(r, rows, payload, "_from", "range_end_ns").select(
+        "media_id", "_from", "range_end_ns", F.coalesce("first", "past").alias("_f"), F.col("last").alias("_l")
     )
-    high = bracket(r, rows, payload, target="range_end_ns", sides=("before",), few=few).withColumnRenamed("before", "_l")
     key = F.when(F.col("_l.key_frame"), 1).otherwise(0)
     return (
-        r.join(low, ["media_id", "_from"])
-        .join(high, ["media_id", "range_end_ns"])
+        r.join(ends, ["media_id", "_from", "range_end_ns"])
         .withColumns(
             {
                 "_p0": F.col("_f._pos"),
