@@ -82,15 +82,18 @@ def range_ends(
     """
     names = list(dict.fromkeys([*order, *payload]))
     body = F.struct(*names)
-    source = sequence(rows, names, pos=False, next=True, names=("", "", "_follow")).plain()
-    source = source.where(F.col(order[0]).isNotNull())
-    row_part = source.select(*keys, F.col(order[0]).alias(_AT), F.lit(0).alias("_rank"), body.alias("row"), F.col("_follow").alias("next"))
-    opening = source.groupBy(*keys).agg(F.min(body).alias("next")).withColumns({_AT: F.lit(-(2**63)), "_rank": F.lit(-2)})
+    source = sequence(rows, names, pos=False, prev=True, next=True, names=("", "_lead", "_follow")).plain()
+    source = source.where(F.col(order[0]).isNotNull()).withColumn("_body", body)
+    itself = F.struct(F.col(order[0]).alias(_AT), F.lit(0).alias("_rank"), F.col("_body").alias("row"), F.col("_follow").alias("next"))
+    absent = F.when(F.lit(False), F.col("_body"))
+    opening = F.struct(F.lit(-(2**63)).alias(_AT), F.lit(-2).alias("_rank"), absent.alias("row"), F.col("_body").alias("next"))
+    opens = F.col(f"_lead.{order[0]}").isNull()
+    row_part = source.select(*keys, F.inline(F.when(opens, F.array(opening, itself)).otherwise(F.array(itself))))
     wanted = ranges.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, start, end).distinct()
     at_start = F.struct(F.col(start).alias(_AT), F.lit(-1).alias("_rank"))
     at_end = F.struct(F.col(end).alias(_AT), F.lit(1).alias("_rank"))
     probes = wanted.select(*keys, start, end, F.inline(F.array(at_start, at_end)))
-    both = row_part.unionByName(opening, allowMissingColumns=True).unionByName(probes, allowMissingColumns=True)
+    both = row_part.unionByName(probes, allowMissingColumns=True)
     ranking = (_AT, "_rank", "row")
     if not rows.split and small_groups(wanted, keys):
         ordered = Ordered(both, tuple(keys), ranking)
