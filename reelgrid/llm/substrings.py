@@ -199,15 +199,23 @@ def positions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def repeated_ranges(docs: DataFrame, scan: DataFrame, window: int) -> DataFrame:
-    """``pos, from, to``: word ranges covered by windows that stand earlier too."""
+    """``pos, ranges``: word ranges (from, to) covered by windows that stand earlier too."""
     rows = scan.select("pos", F.inline("segments"))
     several = rows.groupBy("run").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("run")
     # Aggregates are stored before joins: a skewed join can be split only between two plain exchanges.
     several = stored(several, "runs")
     rows = stored(rows.join(several, "run"), "segments")
-    distinct = stored(rows.groupBy("run", "content").agg(F.min(F.struct("pos", "start")).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "distinct")
-    copies = rows.join(distinct.filter("copies > 1").select("run", "content", "first"), ["run", "content"]).filter("struct(pos, start) > first")
-    whole = copies.select("pos", F.col("start").alias("from"), (F.col("start") + F.col("n") + window - 1).alias("to"))
+    distinct = stored(rows.groupBy("run", "content").agg(F.min(F.struct("pos", "start")).alias("first"), F.first("n").alias("n")), "distinct")
+    # A document's segments less those that are the first of their content: later copies, repeats as a
+    # whole. Both sides are lists of one document, so no frequent content is a join key.
+    code = lambda start: (F.col(start).cast("long") * 65536 + F.col("n")).alias("code")
+    own = rows.select("pos", code("start")).groupBy("pos").agg(F.collect_list("code").alias("own"))
+    firsts = distinct.select("first.pos", code("first.start")).groupBy("pos").agg(F.collect_list("code").alias("firsts"))
+    later_copies = F.array_except("own", F.coalesce("firsts", F.array().cast("array<bigint>")))
+    whole = own.join(firsts, "pos", "left").select("pos", later_copies.alias("codes")).filter("size(codes) > 0")
+    whole = whole.select("pos", F.expr(
+        f"transform(codes, c -> struct(cast(c div 65536 as int) as from, cast(c div 65536 + c % 65536 + {window - 1} as int) as to))"
+    ).alias("whole"))
 
     unlike = distinct.groupBy("run").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     unlike = stored(unlike, "unlike")
@@ -224,13 +232,15 @@ def repeated_ranges(docs: DataFrame, scan: DataFrame, window: int) -> DataFrame:
     first = hot.groupBy("window").agg(F.min(F.struct("pos", "start")).alias("first"))
     first = stored(first, "first")
     later = hot.join(first, "window").filter("struct(pos, start) > first")
-    return whole.unionAll(indexed).unionAll(later.select("pos", F.col("start").alias("from"), (F.col("start") + window).alias("to")))
+    parts = indexed.unionAll(later.select("pos", F.col("start").alias("from"), (F.col("start") + window).alias("to")))
+    parts = parts.groupBy("pos").agg(F.collect_list(F.struct("from", "to")).alias("parts"))
+    none = F.array().cast("array<struct<from:int,to:int>>")
+    return whole.join(parts, "pos", "full").select("pos", F.concat(F.coalesce("whole", none), F.coalesce("parts", none)).alias("ranges"))
 
 
 def _cut(docs: DataFrame, scan: DataFrame, window: int) -> DataFrame:
     """``trimmed`` for the documents that lose words."""
-    ranges = repeated_ranges(docs, scan, window)
-    covered = stored(ranges.groupBy("pos").agg(F.collect_list(F.struct("from", "to")).alias("ranges")), "ranges")
+    covered = stored(repeated_ranges(docs, scan, window), "ranges")
     return trimmed(likely(docs, "pos", covered.select("pos")).join(covered, "pos"))
 
 
