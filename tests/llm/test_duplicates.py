@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import ROWS, frame
+from messy_rows import ROWS, frame
 
 from reelgrid.llm import fmindex, neardup, substrings
 from reelgrid.llm.common import by_bitmap, without

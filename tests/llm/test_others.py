@@ -12,7 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import PROSE, ROWS, frame
+from messy_rows import PROSE, ROWS, frame
 
 import corpus_pipeline
 from reelgrid.llm import crf, media, nearest, pii, quality, secretscan, sharding

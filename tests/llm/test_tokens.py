@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import ROWS
+from messy_rows import ROWS
 from tokenizers import Tokenizer
 
 from reelgrid.llm import bpe, packing
