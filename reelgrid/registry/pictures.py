@@ -54,7 +54,16 @@ def frame_metrics(spark, folder):
     )
 
 
-@query("content_hash")
+@query(
+    "content_hash",
+    with_(PIXELS, """
+    bytes AS (SELECT media_id, idx, list(v ORDER BY p) AS vs FROM px GROUP BY 1, 2),
+    fold AS (SELECT media_id, idx, list_reduce(
+        list_concat([14695981039346656037::UHUGEINT], list_transform(list_concat(vs, [8, 8, 0, 0, 0, 0, 0, 0]), lambda v: v::UHUGEINT)),
+        lambda h, v: xor(h, v) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT) AS h FROM bytes)""")
+    + """SELECT media_id, idx AS presentation_index,
+      CASE WHEN h >= 9223372036854775808::UHUGEINT THEN (h::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE h::BIGINT END AS content_hash FROM fold""",
+)
 def content_hash(spark, folder):
     return M.analyse_planes(planes(spark, folder)).select("media_id", "presentation_index", "content_hash")
 

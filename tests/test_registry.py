@@ -13,10 +13,18 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the given tab
 # One per chunked code path; rows of a media beyond the limit are split over tasks.
 CHUNKED = [
     "lod_levels", "scenes", "repeat_seeds", "asof_nearest", "keyframe_neighbours", "range_summary",
-    "frame_metrics", "frame_range_plan", "single_frame", "seek_percentiles", "presentation_order",
+    "frame_metrics", "frame_range_plan", "keyframe_plan", "first_rows_in_ranges", "single_frame", "seek_percentiles", "presentation_order",
 ]
 
 
+# Queries whose state SQL cannot fold; all others have SQL.
+WITHOUT_SQL = {"stream_visits"}
+
+
+def test_all_queries_have_sql():
+    assert {name for name, q in CATALOGUE.items() if q.sql is None} == WITHOUT_SQL
+
+
 @pytest.fixture(scope="module")
 def con():
     return oracle.connect(FOLDER)
