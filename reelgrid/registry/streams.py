@@ -115,13 +115,13 @@ def stream_ingest(spark, folder):
 def stream_redetection(spark, folder):
     """Scenes of a table that grows in five arrivals, detected again when it has grown enough."""
     s = samples(spark, folder)
-    path, state, source, results = (scratch(spark, n) for n in ("table", "state", "source", "results"))
+    path, state, source, results, counts = (scratch(spark, n) for n in ("table", "state", "source", "results", "counts"))
 
     def run(rows):
         D.scenes(D.prepare(rows), DETECT).write.mode("overwrite").parquet(results)
 
-    again = P.Redetection(run)
     for part in _arrivals(s, 5):
+        again = P.Redetection(run, state=counts)  # as after a restart
         part.write.mode("append").parquet(source)
         stream = P.ingest(spark.readStream.schema(part.schema).parquet(source), path, again)
         stream.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -43,9 +44,9 @@ def merged_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest(
-    stream: DataFrame, path: str, after: Callable[[DataFrame, int], None] | None = None
+    stream: DataFrame, path: str, after: Callable[[DataFrame, int, int], None] | None = None
 ) -> DataStreamWriter:
-    """Append each batch as its own folder; ``after`` sees the merged table then.
+    """Append each batch as its own folder; ``after`` sees the merged table then, and the batch's rows.
 
     Nothing stored is rewritten, late rows are taken like any other, and a batch repeated after a
     failure overwrites its own folder only, so the result stays exactly once.
@@ -54,23 +55,44 @@ def ingest(
     def step(rows: DataFrame, batch: int) -> None:
         rows.drop(EVENT_TIME).write.mode("overwrite").parquet(f"{path}/batch={batch}")
         if after is not None:
-            after(merged_samples(rows.sparkSession, path), batch)
+            arrived = rows.sparkSession.read.parquet(f"{path}/batch={batch}").count()
+            after(merged_samples(rows.sparkSession, path), batch, arrived)
 
     return stream.writeStream.foreachBatch(step)
 
 
 class Redetection:
-    """Reruns ``run`` when a table has grown by max(128, 25 %) samples since the last run."""
+    """Reruns ``run`` when a table has grown by max(128, 25 %) samples since the last run.
 
-    def __init__(self, run: Callable[[DataFrame], None], first: int = 32):
-        self.run, self.threshold, self.runs = run, first, 0
+    Growth is counted from each batch's own folder, so the merged table is touched only when a run is
+    due. With ``state``, a folder, what has been counted survives a restart, and a batch that is repeated
+    after a failure counts once.
+    """
+
+    def __init__(self, run: Callable[[DataFrame], None], first: int = 32, state: str | None = None):
+        self.run, self.threshold, self.runs, self.state, self.total = run, first, 0, state, 0
 
-    def __call__(self, samples: DataFrame, batch: int = 0) -> None:
-        total = samples.count()
-        if total >= self.threshold:
+    def __call__(self, samples: DataFrame, batch: int = 0, arrived: int | None = None) -> None:
+        if self.state is not None:
+            self._resume(samples.sparkSession, batch)
+        self.total = samples.count() if arrived is None else self.total + arrived
+        if self.total >= self.threshold:
             self.run(samples)
             self.runs += 1
-            self.threshold = next_detection(total)
+            self.threshold = next_detection(self.total)
+        if self.state is not None:
+            row = samples.sparkSession.createDataFrame([(self.total, self.threshold)], "total long, threshold long")
+            row.write.mode("overwrite").parquet(f"{self.state}/batch={batch}")
+
+    def _resume(self, spark: SparkSession, batch: int) -> None:
+        """Counts as they stood before this batch."""
+        try:
+            rows = spark.read.parquet(self.state).where(F.col("batch") < batch)
+        except AnalysisException:
+            return  # nothing counted yet
+        last = rows.orderBy(F.desc("batch")).first()
+        if last is not None:
+            self.total, self.threshold = last.total, last.threshold
 
     def finish(self, samples: DataFrame) -> None:
         self.run(samples)
