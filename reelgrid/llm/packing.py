@@ -10,7 +10,6 @@ The plan is a list of patterns with counts; pieces find their place by their ran
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
