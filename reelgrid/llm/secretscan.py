@@ -28,16 +28,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 IDENTIFIER = re.compile(
-    r"""\b(?:client[_-]?id|access[_-]?key(?:[_-]?id)?|account(?:[_-]?id)?|tenant|user(?:name)?|login|key[_-]?id)["']?\x20?[:=]\x20?["']?([A-Za-z0-9_.@-]{3,128})""",
+    r"""\b(?:client[_-]?id|access[_-]?key(?:[_-]?id)?|account(?:[_-]?id)?|tenant|user(?:name)?|login|key[_-]?id)["']?\x20?[:=]\x20?["']?([A-Za-z0-9_.@-]{3,})""",
     re.ASCII | re.IGNORECASE,
 )
 ENDPOINT = re.compile(
-    r"""\b(?:https?|ftp|ssh|amqp|redis|mongodb|postgres(?:ql)?|mysql)://[^\s"'<>]{4,2048}|\b(?:host|endpoint|server|bucket|url)["']?\x20?[:=]\x20?["']?[A-Za-z0-9_.:/-]{4,256}""",
+    r"""\b(?:https?|ftp|ssh|amqp|redis|mongodb|postgres(?:ql)?|mysql)://[^\s"'<>]{4,}|\b(?:host|endpoint|server|bucket|url)["']?\x20?[:=]\x20?["']?[A-Za-z0-9_.:/-]{4,}""",
     re.ASCII | re.IGNORECASE,
 )
 # A run of credential letters; the run as a whole is judged.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
-WEAK = re.compile(r"""\b(?:pass|pwd|key|auth|cred(?:ential)?s?)["']?\x20?[:=]\x20?["']?([A-Za-z0-9+/_.=!$%&*-]{6,128})""", re.ASCII | re.IGNORECASE)
+WEAK = re.compile(r"""\b(?:pass|pwd|key|auth|cred(?:ential)?s?)["']?\x20?[:=]\x20?["']?([A-Za-z0-9+/_.=!$%&*-]{6,})""", re.ASCII | re.IGNORECASE)
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,6 @@ class Scope:
 
     reach: int = 200
     least: int = 16
-    most: int = 128
     least_bits: float = 3.2
 
 
@@ -66,7 +65,7 @@ def bits(value: str) -> float:
 def secret_like(value: str, how: Scope) -> bool:
     """Letters of three classes (upper, lower, digit) in a dense mixture."""
     return (
-        how.least <= len(value) <= how.most and any(map(str.isdigit, value)) and any(map(str.islower, value)) and any(map(str.isupper, value))
+        how.least <= len(value) and any(map(str.isdigit, value)) and any(map(str.islower, value)) and any(map(str.isupper, value))
         and bits(value) >= how.least_bits
     )
 

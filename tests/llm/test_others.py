@@ -305,6 +305,20 @@ def test_linked_parts_only_with_their_complement():
     assert linked('token = "f3ef4d6b2755a36d7d9c25bd" for user=bob123') == {"identifier"}
 
 
+def found_secrets(t):
+    return {(k, t[a:b]) for k, a, b in secretscan.linked(t, secretscan.base_spans(t), secretscan.Scope())}
+
+
+@pytest.mark.parametrize("n", [18, 128, 129, 216, 5000])
+def test_secrets_of_any_length_are_found_whole(n):
+    key = ("aB3dE5fG7hJ9kL1mN2" * n)[:n]
+    assert found_secrets(f"client_id=my-app-01 auth: {key}!") == {("identifier", "my-app-01"), ("credential", key + "!")}
+    assert found_secrets(f"client_id=my-app-01 and {key} too") == {("identifier", "my-app-01"), ("credential", key)}
+    assert ("identifier", "m" * n) in found_secrets(f"client_id={'m' * n} and aB3dE5fG7hJ9kL1mN2")
+    for end in (f"https://example.com/{'p' * n}", f"host={'h' * n}"):
+        assert ("endpoint", end) in found_secrets(f"{end} and aB3dE5fG7hJ9kL1mN2")
+
+
 def test_interval_join_equals_all_pairs():
     rng = random.Random(8)
     for _ in range(300):
