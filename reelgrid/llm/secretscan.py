@@ -2,14 +2,16 @@
 
 Access identifiers, secret-like values and endpoints are weak candidates. They are reported only where
 complementary parts stand within one scope: an identifier or an endpoint next to a secret, and each part
-next to the secret it belongs to. Parts and scopes are intervals; the join sorts both and searches bounds,
-so its cost is linear in the parts, not in their pairs.
+next to the secret it belongs to. An endpoint may hold its secret (user part, path or query); then both are
+reported. Parts and scopes are intervals; the join sorts both and searches bounds, so its cost is linear in
+the parts, not in their pairs. Values of any length are found whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -37,6 +39,8 @@ ENDPOINT = re.compile(
 )
 # A run of credential letters; the run as a whole is judged.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+# Host and path of an endpoint: a slash ends a segment there, and each is judged by itself.
+ROUTE = re.compile(r"(?<=://)(?:[^\s\"'<>?#]*@)?([^\s\"'<>?#]+)")
 WEAK = re.compile(r"""\b(?:pass|pwd|key|auth|cred(?:ential)?s?)["']?\x20?[:=]\x20?["']?([A-Za-z0-9+/_.=!$%&*-]{6,})""", re.ASCII | re.IGNORECASE)
 
 
@@ -79,10 +83,23 @@ def parts(text: str, how: Scope) -> list[Span]:
         out += [("credential", *m.span(1)) for m in WEAK.finditer(text)]
     if "AKIA" in text:
         out += [("identifier", *m.span()) for m in ACCESS.finditer(text) if 8 <= m.end() - m.start() < 20]
-    out += [("credential", *m.span()) for m in RUN.finditer(text) if m.end() - m.start() >= how.least and secret_like(m[0], how)]
+    routes, at = [m.span(1) for m in ROUTE.finditer(text)] if "://" in text else [], 0
+    for m in RUN.finditer(text):
+        if m.end() - m.start() >= how.least:
+            while at < len(routes) and routes[at][1] <= m.start():
+                at += 1
+            for a, b in _pieces(text, *m.span(), *(routes[at] if at < len(routes) else (len(text), len(text)))):
+                if b - a >= how.least and secret_like(text[a:b], how):
+                    out.append(("credential", a, b))
     return out
 
 
+def _pieces(text: str, a: int, b: int, start: int, end: int) -> list[tuple[int, int]]:
+    """The run from a to b, cut at slashes where it lies on the route from start to end."""
+    cuts = [i for i in range(max(a, start), min(b, end)) if text[i] == "/"]
+    return [(x, y) for x, y in zip([a, *(i + 1 for i in cuts)], [*cuts, b]) if x < y]
+
+
 def near(spans: list[Span], others: list[Span], reach: int) -> list[bool]:
     """For each span: does another one of ``others`` stand within reach? An interval join by sorted bounds."""
     if not others:
@@ -94,24 +111,50 @@ def near(spans: list[Span], others: list[Span], reach: int) -> list[bool]:
     return [i >= 0 and int(furthest[i]) >= a - reach for i, (_, a, _) in zip(at.tolist(), spans)]
 
 
+def apart(spans: list[Span], others: list[Span], reach: int) -> list[bool]:
+    """As ``near``, but the other one must not overlap: it ends before the span or starts behind it."""
+    starts, ends = sorted(a for _, a, _ in others), sorted(b for _, _, b in others)
+
+    def holds(bounds: list[int], low: int, high: int) -> bool:
+        at = bisect_left(bounds, low)
+        return at < len(bounds) and bounds[at] <= high
+
+    return [holds(ends, a - reach, a) or holds(starts, b, b + reach) for _, a, b in spans]
+
+
+def within(endpoints: list[Span], secrets: list[Span]) -> set[Span]:
+    """Endpoints and secrets that overlap where the secret is not the whole endpoint. Each list is sorted and disjoint."""
+    out: set[Span] = set()
+    i = j = 0
+    while i < len(endpoints) and j < len(secrets):
+        (_, a, b), (_, c, d) = endpoints[i], secrets[j]
+        if a < d and c < b and not (c <= a and b <= d):
+            out |= {endpoints[i], secrets[j]}
+        i, j = (i + 1, j) if b <= d else (i, j + 1)
+    return out
+
+
 def linked(text: str, base: list[Span], how: Scope) -> list[Span]:
-    """Weak parts with a complement in scope; exact matches count as identifier or secret, too."""
-    weak = free_of(_longest(parts(text, how)), base)
-    if not weak:
+    """Weak parts with a complement in scope; exact matches count as identifier or secret, too.
+
+    Parts of different kinds may overlap. An identifier is no complement of a secret in the same letters.
+    """
+    every = parts(text, how)
+    if not every:
         return []
-    kinds = {k: [s for s in weak if s[0] == k] for k in PARTS}
-    secrets = [*kinds["credential"], *(s for s in base if s[0] != "access")]
-    marks = [*kinds["identifier"], *kinds["endpoint"], *(s for s in base if s[0] == "access")]
-    out = [s for s, near_ in zip(kinds["credential"], near(kinds["credential"], marks, how.reach)) if near_]
-    for kind in ("identifier", "endpoint"):
-        out += [s for s, near_ in zip(kinds[kind], near(kinds[kind], secrets, how.reach)) if near_]
-    return out
+    kinds = {k: _longest([s for s in every if s[0] == k]) for k in PARTS}
+    ids, secrets, ends = free_of(kinds["identifier"], base), free_of(kinds["credential"], base), kinds["endpoint"]
+    exact, marks, inside = [s for s in base if s[0] != "access"], [s for s in base if s[0] == "access"], within(ends, secrets)
+    out = [s for s, *ok in zip(secrets, apart(secrets, [*ids, *ends], how.reach), near(secrets, marks, how.reach)) if any(ok) or s in inside]
+    out += [s for s, *ok in zip(ids, apart(ids, secrets, how.reach), near(ids, exact, how.reach)) if any(ok)]
+    # An endpoint around an exact match is a mark for others; the match stands for it.
+    return out + free_of([s for s, *ok in zip(ends, apart(ends, secrets, how.reach), near(ends, exact, how.reach)) if any(ok) or s in inside], base)
 
 
 def _longest(spans: list[Span]) -> list[Span]:
-    """Of overlapping candidates the longer; at equal length the earlier kind."""
+    """Of overlapping candidates of one kind the longer."""
     out: list[Span] = []
-    for s in sorted(spans, key=lambda s: (s[1], -s[2], PARTS.index(s[0]))):
+    for s in sorted(spans, key=lambda s: (s[1], -s[2])):
         if out and s[1] < out[-1][2]:
             if s[2] - s[1] > out[-1][2] - out[-1][1]:
                 out[-1] = s
