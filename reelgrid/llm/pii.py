@@ -1,8 +1,9 @@
 """Personal data: exact patterns, and a linear-chain CRF over word shapes for forms that the patterns miss.
 
 The CRF is trained from a small labelled table and decodes chains of words around every word that
-holds a digit or an at-sign; no other word can be personal data in this model, and chains are cut where
-plain words stand in between. What it finds is added if it overlaps no pattern span and is sound.
+holds a digit or an at-sign or spells "at" or "dot": every sound span holds a digit, an at-sign or an "at".
+Chains are cut where plain words stand in between and grow while their end is tagged as personal data.
+What it finds is added if it overlaps no pattern span and is sound.
 """
 
 from __future__ import annotations
@@ -91,6 +92,26 @@ mail {email:john.doe [at] example.org} please
 send it to {email:sales@localhost} now
 or {email:max @ example.de} instead
 ask {email:team42 at mail5 dot example dot com} there
+write to {email:jane at example dot com} please
+contact {email:anna at mail dot example dot org} today
+ask {email:max (at) example (dot) de} first
+the address {email:lee [at] example [dot] net} is hers
+or ask {email:kim dot lee at example dot com} for more
+reach {email:bob.smith at example.org} there
+{email:sales AT example DOT com} answers
+{email:jane at example dot com}
+her friend {email:mary at sample dot net} wrote back soon
+some people {email:tom at post dot org} never answer
+old river {email:sue dot may at mail dot example dot co dot uk} green stone
+we met at the old bridge and went home
+look at this and that
+he was at home. She is at work
+a red dot at the top of the map
+they arrived at dawn to eat
+at the end of the day at last
+the shop at example street is closed
+people at large. Then we left at once.
+look at dot two and at the other dot
 it was {email:root@mailhost} that sent this
 paid with {card:4111.1111.1111.1111} yesterday
 card {card:5500/0000/0000/0004} was charged
@@ -134,6 +155,9 @@ WORD = re.compile(r"\S+")
 CUE = frozenset("at dot call tel phone fax cell ring number mail contact write card visa server host ip ping from to on in of and the".split())
 
 
+INNER_DOT = re.compile(r"[^\W\d]\.[^\W\d]")
+
+
 def shape(word: str, most: int = 14) -> str:
     return "".join("d" if c.isdigit() else "a" if c.isalpha() else c for c in word[:most])
 
@@ -156,6 +180,14 @@ def word_features(words: list[str], i: int) -> list[str]:
     for name, j in (("p", i - 1), ("f", i + 1)):
         near = words[j].strip(".,;:!?\"'") if 0 <= j < len(words) else "|"
         out.append(f"{name}={squeezed(near) if any(c.isdigit() or c in '@([' for c in near) else near.lower() if near.lower() in CUE or near == '|' else '-'}")
+    # Spelled addresses: what stands up to two words away, brackets or not.
+    for j in (-2, -1, 1, 2):
+        if 0 <= i + j < len(words):
+            near = words[i + j].strip(".,;:!?()[]{}<>\"'").lower()
+            if near in ("at", "dot"):
+                out.append(f"{j}={near}")
+            elif INNER_DOT.search(near):
+                out.append(f"{j}=.")
     return out
 
 
@@ -193,22 +225,24 @@ def default_model() -> Crf:
     return fitted(labelled_rows())
 
 
-ODD = re.compile(r"[0-9@]")
-REACH = 3  # words on either side of an odd one that belong to its chain
+# Without a digit, an at-sign or the word "at" no span is sound; "dot" joins the parts of long addresses.
+ODD = re.compile(r"[0-9@]|\b(?:at|dot)\b", re.IGNORECASE)
+REACH = 3  # words on either side of an odd one that belong to its chain, unless tags reach its end
+
 
+def ranges_of(text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Places of the words of each chain: odd words and their neighbours."""
+    return joined_ranges([(i - REACH, i + REACH + 1) for i, (a, b) in enumerate(words) if ODD.search(text, a, b)], len(words))
 
-def chains_of(text: str) -> list[list[tuple[int, int]]]:
-    """Word bounds of each chain: words with a digit or at-sign and their neighbours."""
-    words = [m.span() for m in WORD.finditer(text)]
-    out, end = [], -1
-    for i, (a, b) in enumerate(words):
-        if ODD.search(text, a, b):
-            start, stop = max(i - REACH, end), min(i + REACH + 1, len(words))
-            if out and start <= end:
-                out[-1] += words[end:stop]
-            else:
-                out.append(words[max(start, 0) : stop])
-            end = stop
+
+def joined_ranges(ranges: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """The ranges cut to 0 and most; those that overlap or touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((max(a, 0), min(b, most)) for a, b in ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
@@ -219,37 +253,63 @@ def sound(kind: str, value: str) -> bool:
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[A-Za-z]", value)
     if kind == "email":
-        return bool(re.search(r"@|\bat\b", value)) and len(value) > 5
+        return "@" in value and len(value) > 5
     return len(digits) >= 2 and bool(re.search(r"[.:]", value))
 
 
+# Names joined by dots, and the same behind a spelled at. Every name is consumed once, so the search is linear.
+NAMES = r"[\w%+-]+(?:(?:\.|\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)[\w%+-]+)*+"
+SPELLED = re.compile(rf"({NAMES})(?:(\s+at\s+|\s*[\[({{<]\s*at\s*[\])}}>]\s*)(?=({NAMES})))?", re.IGNORECASE)
+DOMAIN = re.compile(r"\.|\bdot\b", re.IGNORECASE)
+
+
+def spelled(text: str, a: int, b: int) -> list[Span]:
+    """Addresses with a spelled at. After a bare "at" the domain has a dot, or some part a digit."""
+    return [
+        ("email", m.start(), m.end(3)) for m in SPELLED.finditer(text, a, b)
+        if m[2] and (m[2].strip().lower() != "at" or DOMAIN.search(m[3]) or DIGIT.search(m[1] + m[3])) and m.end(3) - m.start() > 5
+    ]
+
+
 EDGE = ".,;:!?\"'“”«»"
 
 
 def added_spans(texts: list[str], model: Crf) -> list[list[Span]]:
-    places, chains = [], []
-    for row, text in enumerate(texts):
-        if DIGIT.search(text) or "@" in text:
-            for chain in chains_of(text):
-                words = [text[a:b] for a, b in chain]
-                places.append((row, chain))
-                chains.append([word_features(words, i) for i in range(len(words))])
-    out: list[list[Span]] = [[] for _ in texts]
-    for (row, chain), tags in zip(places, model.decode(chains) if chains else []):
-        text, i = texts[row], 0
-        while i < len(tags):
-            kind, j = tags[i][2:], i + 1
-            if kind:
-                while j < len(tags) and tags[j] == f"I-{kind}":
-                    j += 1
-                a, b = chain[i][0], chain[j - 1][1]
-                while a < b and text[a] in EDGE:
-                    a += 1
-                while a < b and text[b - 1] in EDGE:
-                    b -= 1
-                if a < b and sound(kind, text[a:b]):
-                    out[row].append((kind, a, b))
-            i = j
+    words = [[m.span() for m in WORD.finditer(t)] if ODD.search(t) else [] for t in texts]
+    ranges = [ranges_of(t, own) for t, own in zip(texts, words)]
+    tagged: list[dict[tuple[int, int], list[str]]] = [{} for _ in texts]
+    while places := [(row, r) for row, own in enumerate(ranges) for r in own if r not in tagged[row]]:
+        chains = []
+        for row, (a, b) in places:
+            plain = [texts[row][x:y] for x, y in words[row][a:b]]
+            chains.append([word_features(plain, i) for i in range(len(plain))])
+        for (row, r), tags in zip(places, model.decode(chains)):
+            tagged[row][r] = tags
+        for row in {row for row, _ in places}:
+            # What is tagged up to an end of its chain may go on behind it: the chain is decoded with as many words more.
+            wider = [(a - (b - a) * (tagged[row][a, b][0] != "O"), b + (b - a) * (tagged[row][a, b][-1] != "O")) for a, b in ranges[row]]
+            ranges[row] = joined_ranges(wider, len(words[row]))
+    return [[s for a, b in own for s in spans_of(t, w[a:b], tags[a, b])] for t, w, own, tags in zip(texts, words, ranges, tagged)]
+
+
+def spans_of(text: str, chain: list[tuple[int, int]], tags: list[str]) -> list[Span]:
+    out: list[Span] = []
+    i = 0
+    while i < len(tags):
+        kind, j = tags[i][2:], i + 1
+        if kind:
+            while j < len(tags) and tags[j] == f"I-{kind}":
+                j += 1
+            a, b = chain[i][0], chain[j - 1][1]
+            while a < b and text[a] in EDGE:
+                a += 1
+            while a < b and text[b - 1] in EDGE:
+                b -= 1
+            if kind == "email" and "@" not in text[a:b]:
+                out += spelled(text, a, b)
+            elif a < b and sound(kind, text[a:b]):
+                out.append((kind, a, b))
+        i = j
     return out
 
 

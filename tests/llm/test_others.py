@@ -280,6 +280,33 @@ def test_field_finds_unseen_forms_and_leaves_numbers_alone():
         assert find(t) == []
 
 
+SPELLED = [
+    "write to john.doe [at] example.org please|john.doe [at] example.org", "jane at example dot com|jane at example dot com", "john.doe AT example.org.|john.doe AT example.org",
+    "ask max (at) example (dot) de|max (at) example (dot) de", "contact jane dot doe at mail dot example dot org today|jane dot doe at mail dot example dot org",
+    "reach kim dot van dot der dot berg at a dot mail dot example dot co dot uk now|kim dot van dot der dot berg at a dot mail dot example dot co dot uk",
+]
+
+
+@pytest.mark.parametrize("case", SPELLED)
+def test_field_finds_addresses_without_digit_or_sign(spark, case):
+    t, value = case.split("|")
+    assert [(k, t[a:b]) for k, a, b in pii.added_spans([t], pii.default_model())[0]] == [("email", value)]
+    text = f"{PROSE} {t} {PROSE}"
+    row = pii.find_private(frame(spark, [(1, text)])).first()
+    assert [(s.kind, text[s.start : s.end]) for s in row.span_list] == [("email", value)] and row.n_email == 0
+    assert pii.masked(frame(spark, [(1, text)])).first().text == text.replace(value, "<EMAIL>")
+
+
+def test_labelled_addresses_without_digits_are_found_and_prose_is_not():
+    rows = [(t, s) for t, spans in pii.labelled_rows() if not re.search("[0-9@]", t) for s in [spans]]
+    assert sum(bool(s) for _, s in rows) > 5 < sum(not s for _, s in rows)
+    assert pii.added_spans([t for t, _ in rows], pii.default_model()) == [s for _, s in rows]
+    for t in ("we met at home and left at dawn", "He was at it. Then a dot appeared at the top.", "at at at at at at", "dot dot at dot dot", "at%%% the### end*** at&&& last"):
+        assert pii.added_spans([t], pii.default_model()) == [[]], t
+    for t in ("at " * 20_000, "dot " * 20_000, "a dot b at " * 8_000, "a [dot] " * 10_000 + "at"):
+        pii.added_spans([t], pii.default_model()), pii.spelled(t, 0, len(t))
+
+
 def test_viterbi_is_the_best_of_all_paths():
     rng = np.random.default_rng(7)
     model = crf.Crf(("a", "b", "c"), {f"f{i}": i for i in range(4)}, rng.normal(size=(4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
