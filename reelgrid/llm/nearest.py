@@ -4,12 +4,14 @@ Vectors are completed to equal length, so that the largest inner product is the
 by the signs of learned rotations. A code is split into substrings and each substring is indexed. Two
 codes within a Hamming radius agree in some substring up to radius / substrings bits, so probing every
 substring within that many flips finds every code within the radius; those are reranked on the vectors.
+The radius is the least at which the table's sample keeps its neighbours, and grows for every query that
+finds too few.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -22,8 +24,9 @@ from .common import pick
 
 @dataclass(frozen=True)
 class Codes:
-    """bits in ``parts`` substrings; radius searched; fit_rows: most vectors the rotation is learned from.
+    """bits in ``parts`` substrings; radius: least radius searched; fit_rows: most vectors the rotation is learned from.
 
+    recall: share of the nearest in the sample, of at most trial_queries queries, that the radius must hold.
     index_block and query_block: rows that one task indexes and queries that it answers. Every row is
     indexed and every query meets every block.
     """
@@ -31,6 +34,8 @@ class Codes:
     bits: int = 64
     parts: int = 4
     radius: int = 31
+    recall: float = 0.99
+    trial_queries: int = 256
     fit_rows: int = 20_000
     rounds: int = 20
     index_block: int = 4096
@@ -73,6 +78,23 @@ def as_query(vectors: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([scaled, np.zeros((len(vectors), 1))], axis=1)
 
 
+def start_radius(ids: np.ndarray, vectors: np.ndarray, turn: Rotation, longest: float, k: int, every: int, how: Codes) -> int:
+    """The least radius, from that of ``how`` on, within which the sample's queries find enough of their ``k`` nearest in it."""
+    asked = np.flatnonzero(ids % every == 0)[: how.trial_queries]
+    most = min(k, len(ids) - 1)
+    if not len(asked) or most < 1:
+        return how.radius
+    codes, own = turn.code(completed(vectors, longest)), turn.code(as_query(vectors[asked], longest))
+    held = np.zeros(how.bits + 1)
+    for place, code in zip(asked, own):
+        scores = vectors @ vectors[place]
+        scores[place] = -np.inf
+        top = np.argpartition(-scores, most - 1)[:most]
+        held += np.bincount(np.bitwise_count(codes[top] ^ code).sum(axis=1, dtype=np.int64), minlength=how.bits + 1)
+    enough = np.cumsum(held) >= how.recall * held.sum()
+    return max(how.radius, int(enough.argmax()))
+
+
 class MultiIndex:
     """Buckets of each substring of the codes of one block."""
 
@@ -90,10 +112,10 @@ class MultiIndex:
         # Flipping bits visits one bucket for each mask; where fewer buckets exist, the buckets are looked through.
         self.masks = np.fromiter(masks, np.uint64, count) if count < max(map(len, (v for v, _ in self.buckets)), default=0) else None
 
-    def probed(self, own: int, values: np.ndarray) -> np.ndarray:
-        """Places of the buckets within the allowed flips."""
-        if self.masks is None:
-            return np.flatnonzero(np.bitwise_count(values ^ np.uint64(own)) <= self.flips)
+    def probed(self, own: int, values: np.ndarray, flips: int) -> np.ndarray:
+        """Places of the buckets within the flips."""
+        if self.masks is None or flips != self.flips:
+            return np.flatnonzero(np.bitwise_count(values ^ np.uint64(own)) <= flips)
         wanted = self.masks ^ np.uint64(own)
         at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
         return at[values[at] == wanted]
@@ -103,11 +125,12 @@ class MultiIndex:
         weights = 1 << np.arange(self.width)
         return [bits[:, i * self.width : (i + 1) * self.width] @ weights for i in range(self.how.parts)]
 
-    def within(self, code: np.ndarray, substrings: list[int]) -> np.ndarray:
-        """Places of every code within the radius."""
+    def within(self, code: np.ndarray, substrings: list[int], radius: int | None = None) -> np.ndarray:
+        """Places of every code within the radius (default: the least)."""
+        radius = self.how.radius if radius is None else radius
         found = np.zeros(len(self.codes), bool)
         for own, order, (values, starts) in zip(substrings, self.orders, self.buckets):
-            hit = self.probed(own, values)
+            hit = self.probed(own, values, radius // self.how.parts)
             first, sizes = starts[hit], starts[hit + 1] - starts[hit]
             ends = np.cumsum(sizes)
             found[order[np.repeat(first - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]] = True
@@ -116,7 +139,16 @@ class MultiIndex:
             apart = np.bitwise_count(self.codes[places] ^ code.view(np.uint64)[0])
         else:
             apart = np.bitwise_count(self.codes[places] ^ code).sum(axis=1)
-        return places[apart <= self.how.radius]
+        return places[apart <= radius]
+
+    def enough(self, code: np.ndarray, substrings: list[int], least: int) -> np.ndarray:
+        """Places within the first radius that holds ``least`` codes; all where there are fewer."""
+        radius = self.how.radius
+        places = self.within(code, substrings, radius)
+        while len(places) < least and radius < self.how.bits:
+            radius += self.how.parts
+            places = self.within(code, substrings, radius)
+        return places
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -131,8 +163,8 @@ def neighbours(df: DataFrame, k: int = 20, every: int = 20, how: Codes = Codes()
     Nearest first by inner product in double precision on the vectors as given, ties to the smaller id;
     the query's own id is no candidate. No part take rows without id and vectors that are null, zero,
     hold null or non-finite components, or are of another length than most. An id with several vectors
-    counts once, with the smallest of them. Fewer than ``k`` rows come where fewer candidates exist or
-    fall within the radius. Other columns are left out; an empty table gives an empty one.
+    counts once, with the smallest of them. Fewer than ``k`` rows come only where fewer candidates exist.
+    Other columns are left out; an empty table gives an empty one.
     """
     rows = pick(df, id=id_col, v=vector_col).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
     fine = "id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0)"
@@ -149,6 +181,7 @@ def neighbours(df: DataFrame, k: int = 20, every: int = 20, how: Codes = Codes()
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(how.fit_rows).toArrow()
     vectors = matrix(sample.column("v")) if total else np.zeros((0, dims))
     turn = Rotation(completed(vectors, longest), how)
+    how = replace(how, radius=start_radius(sample.column("id").to_numpy(), vectors, turn, longest, k, every, how))
 
     blocks, asked = max(1, -(-total // how.index_block)), max(1, -(-total // (every * how.query_block)))
     index_of, query_of = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(asked)).cast("int")
@@ -167,7 +200,8 @@ def neighbours(df: DataFrame, k: int = 20, every: int = 20, how: Codes = Codes()
             codes = turn.code(as_query(own, longest))
             substrings = np.stack(index.substrings(codes), axis=1).tolist()
             for q, vector, code, split in zip(query_ids, own, codes, substrings):
-                places = index.within(code, split)
+                # One more than asked for, as the query itself may be among them.
+                places = index.enough(code, split, k + 1)
                 places = places[ids[places] != q]
                 scores = (vectors[places] * vector).sum(axis=1)
                 if len(places) > k:

@@ -424,6 +424,33 @@ def test_recall_and_scores(spark):
     assert all(truth[q][i] == s for q in truth for i, s in got[q])
 
 
+@pytest.mark.parametrize("n", [1, 2, 25, 61])
+def test_small_tables_give_all_candidates_or_twenty(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in nearest.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {q: len(v) for q, v in got.items()} == {q: min(20, n - 1) for q in range(0, n, 20) if n > 1}
+    if n <= 21:
+        assert all([i for _, i in v] == [i for i, _ in exact(rows, 20, 20)[q]] for q, v in got.items())
+
+
+@pytest.mark.parametrize("kind", ["heavy", "cauchy"])
+def test_recall_of_skewed_norms(spark, kind):
+    rng = np.random.default_rng(13)
+    x = rng.standard_t(2, (5000, 64)) if kind == "heavy" else rng.normal(size=(5000, 64))
+    if kind == "cauchy":
+        x *= (np.abs(rng.standard_cauchy(5000)) / np.linalg.norm(x, axis=1))[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    got = {}
+    for r in nearest.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = exact(rows, 20, 20)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
+
+
 def test_every_code_within_the_radius():
     rng = np.random.default_rng(10)
     how = nearest.Codes(radius=18)
