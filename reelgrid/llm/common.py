@@ -147,6 +147,31 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, seed:
     )
 
 
+def placed(df: DataFrame, group: str, order: list[str], then: list[str] | None = None) -> DataFrame:
+    """Add ``index`` (from 0, nulls first in ``order``) and ``total`` of each row's group (no null), as stored rows.
+
+    Rows are sorted over all partitions by range, with a number that tells equal rows apart, so neither a
+    large group nor many equal rows end in one task. Places in a partition are counted from its first row.
+    ``then``: further order of rows equal in ``order``, kept out of the range bounds, which the driver holds.
+    """
+    kept = df.columns
+    salt = [F.col("_row")]
+    keys = [F.col(group), *[F.col(c).asc_nulls_first() for c in order]]
+    last = [F.col(c).asc_nulls_first() for c in then or []]
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(parts(df.sparkSession), *keys, *(salt if then is None else [])).sortWithinPartitions(*keys, *last, *salt)
+    rows = stored(rows.select(*kept, F.monotonically_increasing_id().alias("_at")), "ordered")
+    part = F.shiftright("_at", 33)
+    runs = rows.groupBy(F.col(group).alias("_group"), part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(
+        "_group", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_n").over(Window.partitionBy("_group")).alias("total"),
+    )
+    rows = rows.join(runs, (F.col(group) == F.col("_group")) & (part == F.col("_part")))
+    return rows.select(*kept, (F.col("_at") + F.col("_shift")).alias("index"), "total")
+
+
 def told_apart(df: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
     """Rows with ``_mix`` (hash of all columns) and ``_copy`` (number among wholly equal rows), and their count.
 

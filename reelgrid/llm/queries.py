@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, nearest, neardup, packing, pii, quality, secretscan, sharding, substrings
+from . import bpe, media, merkle, nearest, neardup, neardupvec, oracles, packing, pii, quality, secretscan, sharding, substrings, turns
 from .common import stored, table
 
 
@@ -63,6 +63,20 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.find_secrets(table(spark, sf_dir, "documents")).drop("span_list")
 
 
+def op11_dijkstra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.document_manifest(table(spark, sf_dir, "documents"))
+    proof = F.sha2("siblings", 256).alias("proof_sha256")
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+def op13_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardupvec.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_media": op2_media,
@@ -74,6 +88,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_crf": op8_crf,
     "op9_secrets": op9_secrets,
     "op10_multi_index": op10_multi_index,
+    "op11_dijkstra": op11_dijkstra,
+    "op12_merkle": op12_merkle,
+    "op13_quantised": op13_quantised,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_dijkstra": oracles.REPAIR,
+    "op12_merkle": oracles.MERKLE,
+    "op13_quantised": oracles.NEAR_VECTORS,
+}
