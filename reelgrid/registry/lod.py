@@ -186,9 +186,10 @@ def coverage(spark, folder):
 @query(
     "estimated_samples",
     with_(EVENTS)
-    + """SELECT media_id, LEAST(CASE WHEN n % 3 = 0 THEN n
-      WHEN n % 3 = 1 THEN duration_ns // 41708333 + 1 ELSE duration_ns // 33333333 + 1 END, 2000000) AS estimated
-    FROM media WHERE duration_ns > 0""",
+    + """SELECT media_id, estimated, LEAST(estimated, 2000000) AS at_most FROM (
+      SELECT media_id, CASE WHEN n % 3 = 0 THEN n
+        WHEN n % 3 = 1 THEN duration_ns // 41708333 + 1 ELSE duration_ns // 33333333 + 1 END AS estimated
+      FROM media WHERE duration_ns > 0)""",
 )
 def estimated(spark, folder):
     m = A.media_from_samples(samples(spark, folder)).where("duration_ns > 0")
@@ -197,4 +198,6 @@ def estimated(spark, folder):
     m = m.withColumns({"avg_rate": rate(F.lit(False)), "real_rate": rate(kind == 1)}).withColumn(
         "declared_frames", F.when(kind == 0, F.col("declared_frames")).otherwise(0)
     )
-    return L.estimated_samples(m).select("media_id", "estimated")
+    free = L.estimated_samples(m).select("media_id", "estimated")
+    capped = L.estimated_samples(m, maximum=2_000_000).select("media_id", F.col("estimated").alias("at_most"))
+    return free.join(capped, "media_id")

@@ -29,14 +29,33 @@ def _arrivals(s, parts=3):
     return [placed.where(F.col("_slot") == k).drop("_slot") for k in range(parts)]
 
 
-def _closing(parts):
-    """The arrivals with a closing row per media behind the last."""
-    tagged = [p.withColumn("closing", F.lit(False)) for p in parts]
-    ids = parts[0].select("media_id").distinct()
+HOUR_MS = 3_600_000
+IDLE_MS = 24 * HOUR_MS
+
+
+def _arriving(parts, media=None):
+    """The arrivals an hour apart, and at last, much later, one row of no media or one that is not known."""
+    at = lambda hours: F.timestamp_millis(F.lit(946_684_800_000 + hours * HOUR_MS))
     absent = {f.name: F.lit(None).cast(f.dataType) for f in parts[0].schema if f.name != "media_id"}
-    zero = F.lit(0).cast("bigint")
-    close = ids.withColumns({**absent, "closing": F.lit(True), "pt_ns": zero, "duration_ns": zero})
-    return [*tagged, close.select(*tagged[0].columns)]
+    spark = parts[0].sparkSession
+    later = spark.range(1).select(F.lit(media).cast("string").alias("media_id"), *[c.alias(n) for n, c in absent.items()])
+    if media is not None:
+        later = later.withColumn("pt_ns", F.lit(0).cast("bigint"))
+    stamped = [p.withColumn("arrived", at(k)) for k, p in enumerate(parts)]
+    return [*stamped, later.select(*parts[0].columns).withColumn("arrived", at(10_000))]
+
+
+def _shuffled(s, parts=3):
+    """Arrivals in which a frame may come before up to eight earlier ones, in the next arrival too; and how far that is in time."""
+    rows = materialise(s.df.select(*COLUMNS_IN))
+    last = rows.groupBy("media_id").agg(F.max("presentation_index").alias("_n"))
+    moved = F.col("presentation_index") + F.col("presentation_index") * 7919 % 8
+    slot = F.call_function("div", moved * parts, F.col("_n") + 9)
+    placed = materialise(rows.join(last, "media_id").withColumn("_slot", slot).drop("_n"))
+    earlier = placed.select("media_id", F.col("presentation_index").alias("_i"), F.col("pt_ns").alias("_t"))
+    apart = (F.col("_i") < F.col("presentation_index")) & (F.col("_i") >= F.col("presentation_index") - 8)
+    delay = placed.join(earlier, "media_id").where(apart).agg(F.max(F.col("pt_ns") - F.col("_t"))).first()[0] or 0
+    return [placed.where(F.col("_slot") == k).drop("_slot") for k in range(parts)], delay
 
 
 def _detections(rows):
@@ -46,28 +65,48 @@ def _detections(rows):
     )
 
 
+def _detected(s, kind):
+    parts, delay = _shuffled(s)
+    detector = kind(DETECT, delay, IDLE_MS, by_arrival=True)
+    out = replay(_arriving(parts), lambda rows: S.detect_stream(rows, detector, "arrived"))
+    return _detections(out)
+
+
 @query("stream_runs", with_(EVENTS, RUNS) + f"SELECT {COLUMNS} FROM (SELECT * FROM dups UNION ALL SELECT * FROM frz)")
 def stream_runs(spark, folder):
-    out = replay(_closing(_arrivals(samples(spark, folder))), lambda s: S.detect_stream(s, S.RunDetector(DETECT)))
-    return _detections(out)
+    """Frames out of order within the detector's delay; media end by their timers."""
+    return _detected(samples(spark, folder), S.RunDetector)
 
 
 @query("stream_scenes", _recursive(EVENTS, SCENES) + f"SELECT {COLUMNS} FROM ({SCENE_ROWS})")
 def stream_scenes(spark, folder):
-    out = replay(_closing(_arrivals(samples(spark, folder))), lambda s: S.detect_stream(s, S.SceneDetector(DETECT)))
-    return _detections(out)
+    return _detected(samples(spark, folder), S.SceneDetector)
 
 
-@query("stream_dedup", with_(EVENTS) + "SELECT media_id, COUNT(*) AS n, SUM(pts) AS total FROM samples GROUP BY 1")
+@query(
+    "stream_dedup",
+    with_(EVENTS)
+    + """SELECT media_id, CASE WHEN pts % 3 = 0 AND pts % 5 <> 0 THEN -1 ELSE presentation_index END AS presentation_index, pts, pt_ns,
+      ROUND(CAST(motion AS DOUBLE), 6) AS motion FROM samples""",
+)
 def stream_dedup(spark, folder):
-    """Every arrival is delivered again together with the next one, and half of the media come after the others."""
+    """Every arrival is delivered again with the next one, and half of the media come after the others.
+
+    A third of the samples have no index; of some of these the indexed sample comes as well, before or later.
+    """
     s = samples(spark, folder)
-    a, b = _arrivals(s, 2)
+    bare = F.col("pts") % 3 == 0
     late = F.col("media_id").cast("bigint") % 2 == 1
+    hidden = F.when(bare, None).otherwise(F.col("presentation_index")).alias("presentation_index")
+    a, b = [x.select(*[hidden if c == "presentation_index" else F.col(c) for c in x.columns]) for x in _arrivals(s, 2)]
+    twins = materialise(s.df.select(*COLUMNS_IN).where(bare & (F.col("pts") % 5 == 0)))
     first, second = [x.where(~late) for x in (a, b)], [x.where(late) for x in (a, b)]
-    parts = [first[0], first[0].unionByName(first[1]), first[1].unionByName(second[0]), second[0].unionByName(second[1])]
-    out = replay(parts, P.dedup_stream)
-    return out.groupBy("media_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pts").alias("total"))
+    parts = [
+        first[0].unionByName(twins.where("pts % 2 = 0")), first[0].unionByName(first[1]),
+        first[1].unionByName(second[0]), second[0].unionByName(second[1]).unionByName(twins.where("pts % 2 = 1")),
+    ]
+    out = replay(_arriving(parts), lambda rows: P.dedup_stream(rows, "100 hours", IDLE_MS, "arrived"))
+    return out.select("media_id", known("presentation_index").alias("presentation_index"), "pts", "pt_ns", dbl("motion").alias("motion"))
 
 
 @query(
@@ -78,12 +117,33 @@ def stream_dedup(spark, folder):
 def stream_lod(spark, folder):
     s = samples(spark, folder)
     g = materialise(geometry(s))
-    out = replay(_arrivals(s), lambda rows: P.progressive_lod(rows, g, "60 days"), "update")
+    out = replay(_arrivals(s), lambda rows: P.progressive_lod(rows, g), "update")
     return latest(out, ["media_id", "bucket"]).select(
         "media_id", "bucket", "sample_count", dbl("motion_sum").alias("motion_sum"), dbl("similarity_sum").alias("similarity_sum")
     )
 
 
+@query(
+    "stream_lod_closed",
+    with_(EVENTS, GEOMETRY)
+    + """SELECT media_id, bucket, sample_count, ROUND(motion_sum, 6) AS motion_sum, ROUND(CAST(motion_min AS DOUBLE), 6) AS motion_min,
+      ROUND(CAST(motion_max AS DOUBLE), 6) AS motion_max, ROUND(similarity_sum, 6) AS similarity_sum FROM acc WHERE level = 0""",
+)
+def stream_lod_closed(spark, folder):
+    """Buckets as they close, at the default delay; half of the media come wholly after the others."""
+    s = samples(spark, folder)
+    g = materialise(geometry(s))
+    late = F.col("media_id").cast("bigint") % 2 == 1
+    parts = _arrivals(s, 2)
+    parts = [p.where(~late) for p in parts] + [p.where(late) for p in parts]
+    out = replay(_arriving(parts, "-"), lambda rows: P.closed_lod(rows, g, idle_ms=IDLE_MS, arrival="arrived"))
+    sums = out.groupBy("media_id", "bucket").agg(
+        F.sum("sample_count").alias("sample_count"), F.sum("motion_sum").alias("motion_sum"), F.min("motion_min").alias("motion_min"),
+        F.max("motion_max").alias("motion_max"), F.sum("similarity_sum").alias("similarity_sum"),
+    )
+    return sums.select("media_id", "bucket", "sample_count", *[dbl(c).alias(c) for c in ("motion_sum", "motion_min", "motion_max", "similarity_sum")])
+
+
 @query("stream_progress", with_(EVENTS) + "SELECT media_id, n AS sample_count, 0.5::DOUBLE AS progress FROM media")
 def stream_progress(spark, folder):
     """Half of the declared frames exist."""

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.lod import SCORES, bucket_of
 from ..operators.samples import latest_by_identity
+from ..config import SECOND
 from ..functions.scores import unit
+from .stateful import ClosingBuckets, distinct_identities
 
 EVENT_TIME = "event_time"
 ARRIVAL = "arrival_time"
@@ -27,14 +30,22 @@ def with_event_time(samples: DataFrame) -> DataFrame:
     return samples.withColumn(EVENT_TIME, F.timestamp_micros(micros))
 
 
-def dedup_stream(samples: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def dedup_stream(samples: DataFrame, delay: str = "10 minutes", wait_ms: int = 10_000, arrival: str | None = None) -> DataFrame:
     """Samples once per identity; a sample delivered again within ``delay`` of its arrival is dropped.
 
-    The watermark follows arrival, not media time: media progress apart from each other, and one that
-    starts late must not lose its rows to one that is far ahead. No row is ever late.
+    Indexed samples are one by index. Samples without one are one by time and stream timestamp, and wait
+    ``wait_ms`` for an indexed sample of both, which takes their place. The watermark follows arrival, not media
+    time: media progress apart from each other, and one that starts late must not lose its rows to one that
+    is far ahead. No row is ever late. ``arrival``: the column that holds it, by default the time of processing.
     """
-    timed = samples.withColumn(ARRIVAL, F.current_timestamp()).withWatermark(ARRIVAL, delay)
-    return timed.dropDuplicatesWithinWatermark(["media_id", "presentation_index"]).drop(ARRIVAL)
+    known = F.coalesce(F.col("presentation_index") >= 0, F.lit(False))
+    timed = samples.withColumn(ARRIVAL, F.current_timestamp() if arrival is None else F.col(arrival))
+    # One dropping operator for both kinds: a row without index is told by its own times and timestamp.
+    keys = {"_index": F.when(known, F.col("presentation_index")), "_at": F.when(~known, F.col("pt_ns")), "_pts": F.when(~known, F.col("pts"))}
+    once = timed.withWatermark(ARRIVAL, delay).withColumns(keys).dropDuplicatesWithinWatermark(["media_id", *keys])
+    if arrival is None:
+        return distinct_identities(once.drop(*keys, ARRIVAL), None, None, wait_ms)
+    return distinct_identities(once.drop(*keys, arrival), ARRIVAL, None, wait_ms)
 
 
 def merged_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -103,19 +114,13 @@ def next_detection(total: int) -> int:
     return total + max(128, total // 4)
 
 
-def progressive_lod(stream: DataFrame, geometry: DataFrame, delay: str = "10 minutes", width: str | None = None) -> DataFrame:
-    """Base LOD accumulators of a stream: groups by media and bucket, keeping partial sums as state.
+def _bucketed(stream: DataFrame, geometry: DataFrame, *more: str) -> DataFrame:
+    slim = stream.select("media_id", "pt_ns", *more, *SCORES.values())
+    bucket = bucket_of(F.col("pt_ns"), F.col("duration_ns"), F.col("span_ns"), F.col("buckets"))
+    return slim.join(geometry, "media_id").withColumn("bucket", bucket)
 
-    With ``width`` a tumbling event-time window joins the key, so append mode can emit closed ones.
-    """
-    timed = (stream if EVENT_TIME in stream.columns else with_event_time(stream)).withWatermark(EVENT_TIME, delay)
-    slim = timed.select("media_id", "pt_ns", EVENT_TIME, *SCORES.values())
-    keyed = slim.join(geometry, "media_id").withColumn(
-        "bucket", bucket_of(F.col("pt_ns"), F.col("duration_ns"), F.col("span_ns"), F.col("buckets"))
-    )
-    keys = [F.col("media_id"), F.col("bucket")]
-    if width:
-        keys.insert(0, F.window(EVENT_TIME, width))
+
+def _sums() -> list[Column]:
     aggs = [F.count(F.lit(1)).alias("sample_count")]
     for name, column in SCORES.items():
         value = F.when(F.col(column).isNotNull(), unit(F.col(column)))
@@ -125,7 +130,54 @@ def progressive_lod(stream: DataFrame, geometry: DataFrame, delay: str = "10 min
             F.min(value).alias(f"{name}_min"),
             F.max(value).alias(f"{name}_max"),
         ]
-    return keyed.groupBy(*keys).agg(*aggs)
+    return aggs
+
+
+def progressive_lod(stream: DataFrame, geometry: DataFrame) -> DataFrame:
+    """Base LOD accumulators so far, by media and bucket; update mode. Nothing closes, so no row is late."""
+    return _bucketed(stream, geometry).groupBy("media_id", "bucket").agg(*_sums())
+
+
+CLOSED = "media_id string, bucket bigint, sample_count bigint, " + ", ".join(
+    f"{name}_count bigint, {name}_sum double, {name}_min double, {name}_max double" for name in SCORES
+) + ", late boolean"
+
+
+def closed_lod(
+    stream: DataFrame, geometry: DataFrame, delay_ns: int = 600 * SECOND, idle_ms: int = 600_000, arrival: str | None = None, arrival_delay: str = "1 minute"
+) -> DataFrame:
+    """Base LOD accumulators of buckets that are closed; append mode.
+
+    A bucket closes when its media is past its end by ``delay_ns`` of media time, or when no row of the media has
+    arrived for ``idle_ms``. Each media has its own mark, so one that starts after others have ended loses
+    nothing. Rows for a closed bucket come as one more set of sums, marked late; sums of all sets are the bucket.
+    Rows are summed in each partition first, so that a media with most of the rows reaches its state as few.
+    """
+    timed = stream if arrival is None else stream.withWatermark(arrival, arrival_delay)
+    ms = F.lit(0).cast("bigint") if arrival is None else F.unix_millis(arrival)
+    rows = timed.withColumn("arrived_ms", ms)
+    kept = ["arrived_ms", *([arrival] if arrival else [])]
+    geometry = geometry.select("media_id", "duration_ns", "span_ns", "buckets")
+    known = _bucketed(rows, geometry, *kept)
+    end = F.least((F.col("bucket") + 1) * F.col("span_ns"), F.col("duration_ns"))
+    scores = [F.when(F.col(c).isNotNull(), unit(F.col(c))).cast("double").alias(n) for n, c in SCORES.items()]
+    slim = known.select("media_id", "bucket", end.alias("end_ns"), "pt_ns", *kept, *scores)
+    names = [c.split()[0] for c in CLOSED.split(", ")][2:-1]
+    form = f"media_id string, bucket bigint, end_ns bigint, top_ns bigint, arrived_ms bigint, {', '.join(CLOSED.split(', ')[2:-1])}" + (f", {arrival} timestamp" if arrival else "")
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            aggs = {"end_ns": ("end_ns", "max"), "top_ns": ("pt_ns", "max"), "arrived_ms": ("arrived_ms", "max"), "sample_count": ("pt_ns", "size")}
+            for n in SCORES:
+                aggs |= {f"{n}_{f}": (n, f) for f in ("count", "sum", "min", "max")}
+            if arrival:
+                aggs[arrival] = (arrival, "max")
+            yield batch.groupby(["media_id", "bucket"], as_index=False).agg(**aggs)[[c.split()[0] for c in form.split(", ")]]
+
+    processor = ClosingBuckets(CLOSED, delay_ns, idle_ms, arrival is not None)
+    return slim.mapInPandas(summed, form).groupBy("media_id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=CLOSED, outputMode="Append", timeMode="ProcessingTime" if arrival is None else "EventTime"
+    )
 
 
 def progress(stream: DataFrame, media: DataFrame) -> DataFrame:

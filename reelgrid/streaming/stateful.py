@@ -1,13 +1,14 @@
-"""Running scene cuts, runs, visit history and smoothed rates with per-key state.
+"""Running scene cuts, runs, level-of-detail buckets, visit history and smoothed rates with per-key state.
 
-State is a few numbers per media, user or session. Rows of a batch are handed over sorted by time;
-a row older than the state of its key is late and is ignored here, as the corrected result comes
-from merging it into the stored samples and detecting again.
+Detectors hold the rows of a media that others may still precede, hand over in order what lies further back
+than their delay, and take a media that no row has reached for a while as complete: a timer then ends
+its open runs. A row older than what has been handed over is not dropped but emitted with the kind ``late``;
+``late_rows`` tells these apart for merging and detecting again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..config import DetectionConfig
+from ..config import SECOND, DetectionConfig
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = (
@@ -23,6 +24,7 @@ OUT = (
     "last_frame bigint, frame_count bigint, score double"
 )
 _OUT_COLUMNS = [p.split()[0] for p in OUT.split(", ")]
+LATE = "late"
 
 
 # Whole numbers stand in for nulls on the way to pandas, where a null would turn a column of
@@ -34,167 +36,404 @@ def _f32(value: float) -> float:
     return float(np.float32(value))
 
 
-def _score(value) -> float | None:
-    return None if value is None or pd.isna(value) else float(np.float32(value))
+def _frame(rows: list, columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=columns)
 
 
-def _sorted(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+def _folded(batches: Iterable[pd.DataFrame], columns: list[str], order: list[str]) -> dict[str, np.ndarray]:
+    """The named columns of all batches as arrays in order; each batch is slimmed before the next one is read."""
+    held: dict[str, list[np.ndarray]] = {c: [] for c in columns}
+    for batch in batches:
+        for c in columns:
+            held[c].append(batch[c].to_numpy())
+    whole = {c: np.concatenate(v) if v else np.zeros(0) for c, v in held.items()}
+    at = np.lexsort([whole[c] for c in reversed(order)])
+    return {c: v[at] for c, v in whole.items()}
 
 
-def _frame(rows: list, columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns)
+class Timed(StatefulProcessor):
+    """A processor with one timer per key, renewed by every batch of rows of that key.
+
+    With ``by_arrival`` the clock is the watermark of the arrival column, else the processing time.
+    """
+
+    def __init__(self, idle_ms: int, by_arrival: bool = False):
+        self.idle_ms, self.by_arrival = max(1, idle_ms), by_arrival
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def _renew(self, timerValues, arrived_ms: int = 0, after_ms: int | None = None) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        now = max(arrived_ms, timerValues.getCurrentWatermarkInMs()) if self.by_arrival else timerValues.getCurrentProcessingTimeInMs()
+        self.handle.registerTimer(now + (self.idle_ms if after_ms is None else after_ms))
+
+    def close(self) -> None:
+        pass
 
 
-class RunDetector(StatefulProcessor):
-    """Duplicate and freeze runs: emits a run once a row breaks it.
+class Detector(Timed):
+    """Hands the rows of a media to ``take`` in order of time and frame, and calls ``finish`` when it is complete.
 
-    A closing row per media (``closing`` true) ends open runs.
+    delay_ns: how far back in media time a row may still come; it bounds the state of a media, beside the
+    rows of the running micro-batch. idle_ms: time without rows after which a media is complete. A media that
+    goes on after that starts new runs.
     """
 
-    def __init__(self, config: DetectionConfig = DetectionConfig()):
-        self.config = config.normalized()
+    ROW = ["pt_ns", "frame", "end_ns", "scene_score", "duplicate_score", "content"]
+
+    def __init__(self, config: DetectionConfig = DetectionConfig(), delay_ns: int = 10 * SECOND, idle_ms: int = 10 * 60_000, by_arrival: bool = False):
+        super().__init__(idle_ms, by_arrival)
+        self.config, self.delay_ns = config.normalized(), max(0, delay_ns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        # Scores of -1 stand for absent ones.
+        self.held = handle.getListState("held", "pt_ns bigint, frame bigint, end_ns bigint, scene_score double, duplicate_score double, content string")
+        self.mark = handle.getValueState("mark", "latest_ns bigint, done_ns bigint, done_frame bigint")
+
+    def load(self) -> None:
+        """Read the detector's own state."""
+
+    def take(self, media: str, row: tuple, out: list) -> None:
+        raise NotImplementedError
+
+    def finish(self, media: str, out: list) -> None:
+        raise NotImplementedError
+
+    def store(self) -> None:
+        """Write the detector's own state."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        media, out = key[0], []
+        fresh = _folded(rows, [*self.ROW, "arrived_ms"], ["pt_ns", "frame"])
+        if media is None:
+            return
+        latest, *done = self.mark.get() if self.mark.exists() else (ABSENT, ABSENT, ABSENT)
+        done = tuple(done)
+        pending = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        for row in zip(*(fresh[c].tolist() for c in self.ROW)):
+            if row[:2] < done:
+                out.append([media, LATE, row[0], row[2], row[1], row[1], 1, 0.0])
+            else:
+                pending.append(row)
+                latest = max(latest, row[0])
+        pending.sort(key=lambda r: r[:2])
+        ready = sum(r[0] <= latest - self.delay_ns for r in pending)
+        self.load()
+        for row in pending[:ready]:
+            self.take(media, row, out)
+            done = row[:2]
+        self.store()
+        self.held.put(pending[ready:]) if pending[ready:] else self.held.clear()
+        self.mark.update((latest, *done))
+        self._renew(timerValues, int(fresh["arrived_ms"].max(initial=0)))
+        if out:
+            yield _frame(out, _OUT_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        media, out = key[0], []
+        latest, *done = self.mark.get() if self.mark.exists() else (ABSENT, ABSENT, ABSENT)
+        self.load()
+        for row in sorted((tuple(r) for r in self.held.get()), key=lambda r: r[:2]) if self.held.exists() else []:
+            self.take(media, row, out)
+            done = row[:2]
+        self.finish(media, out)
+        self.store()
+        self.held.clear()
+        self.mark.update((latest, *done))
+        if out:
+            yield _frame(out, _OUT_COLUMNS)
+
+
+class RunDetector(Detector):
+    """Duplicate and freeze runs: emits a run once a row breaks it or the media is complete."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.last = handle.getValueState("last", "pt_ns bigint, frame bigint, content string")
         run = "kind string, start_ns bigint, first_frame bigint, end_ns bigint, last_frame bigint, total double, n bigint"
         self.runs = {"duplicate": handle.getValueState("duplicate", run), "freeze": handle.getValueState("freeze", run)}
 
-    def _kinds(self, row, last) -> dict[str, str | None]:
-        score, c = _score(row.duplicate_score), self.config
-        out: dict[str, str | None] = {"duplicate": None, "freeze": None}
-        if score is None or last is None:
+    def load(self) -> None:
+        self.before = self.last.get() if self.last.exists() else None
+        self.open = {k: (s.get() if s.exists() else None) for k, s in self.runs.items()}
+
+    def store(self) -> None:
+        if self.before is not None:
+            self.last.update(tuple(self.before))
+        for k, state in self.runs.items():
+            state.clear() if self.open[k] is None else state.update(tuple(self.open[k]))
+
+    def _kinds(self, score: float, content: str) -> dict[str, str | None]:
+        c, out = self.config, {"duplicate": None, "freeze": None}
+        if score < 0 or self.before is None:
             return out
         if score >= _f32(c.near_duplicate_threshold):
-            same = last[2] != "" and last[2] == row.content
+            same = content != "" and self.before[2] == content
             out["duplicate"] = "exact_duplicate" if same else "near_duplicate"
         if score >= _f32(c.freeze_threshold):
             out["freeze"] = "freeze"
         return out
 
-    def _emit(self, media: str, run) -> list:
+    def _emit(self, media: str, run, out: list) -> None:
         kind, start, first, end, last, total, n = run
         c, frames = self.config, n + 1
         if kind == "freeze":
             ok = frames >= c.freeze_frames and end - start >= c.freeze_duration_ns
         else:
             ok = frames >= c.duplicate_frames
-        return [[media, kind, start, max(start, end), first, last, frames, min(max(total / n, 0.0), 1.0)]] if ok else []
+        if ok:
+            out.append([media, kind, start, max(start, end), first, last, frames, min(max(total / n, 0.0), 1.0)])
+
+    def take(self, media: str, row: tuple, out: list) -> None:
+        at, frame, end, _, score, content = row
+        for k, kind in self._kinds(score, content).items():
+            run = self.open[k]
+            if run is not None and run[0] != kind:
+                self._emit(media, run, out)
+                run = None
+            if kind is not None:
+                if run is None:
+                    run = (kind, self.before[0], self.before[1], end, frame, 0.0, 0)
+                run = (*run[:3], end, frame, run[5] + score, run[6] + 1)
+            self.open[k] = run
+        self.before = (at, frame, content)
+
+    def finish(self, media: str, out: list) -> None:
+        for k, run in self.open.items():
+            if run is not None:
+                self._emit(media, run, out)
+                self.open[k] = None
+
+
+class SceneDetector(Detector):
+    """Scene cuts with one row held back for its right neighbour and the latest scene held back
+    until the minimum separation has passed, as a stronger cut may still replace it."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        media, out = key[0], []
-        last = self.last.get() if self.last.exists() else None
-        current = {k: (s.get() if s.exists() else None) for k, s in self.runs.items()}
-        for row in _sorted(rows, ["closing", "pt_ns", "frame"]).itertuples(index=False):
-            if row.closing:
-                for k, run in current.items():
-                    out += self._emit(media, run) if run is not None else []
-                    current[k] = None
-                continue
-            if last is not None and row.pt_ns < last[0]:
-                continue
-            end = int(row.pt_ns) + max(int(row.duration_ns), 1)
-            for k, kind in self._kinds(row, last).items():
-                run = current[k]
-                if run is not None and run[0] != kind:
-                    out += self._emit(media, run)
-                    run = None
-                if kind is not None:
-                    if run is None:
-                        run = (kind, last[0], last[1], end, int(row.frame), 0.0, 0)
-                    run = (*run[:3], end, int(row.frame), run[5] + float(row.duplicate_score), run[6] + 1)
-                current[k] = run
-            last = (int(row.pt_ns), int(row.frame), row.content)
-        if last is not None:
-            self.last.update(last)
-        for k, state in self.runs.items():
-            state.clear() if current[k] is None else state.update(tuple(current[k]))
-        if out:
-            yield _frame(out, _OUT_COLUMNS)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.judging = handle.getValueState("judging", "pt_ns bigint, end_ns bigint, frame bigint, score double, before double, number bigint")
+        self.scene = handle.getValueState("scene", "pt_ns bigint, end_ns bigint, frame bigint, score double")
+        self.first = handle.getValueState("first", "pt_ns bigint, rows bigint")
 
-    def close(self) -> None:
-        pass
+    def load(self) -> None:
+        self.row, self.latest = (s.get() if s.exists() else None for s in (self.judging, self.scene))
+        self.start, self.count = self.first.get() if self.first.exists() else (None, 0)
 
+    def store(self) -> None:
+        for state, value in ((self.judging, self.row), (self.scene, self.latest)):
+            state.clear() if value is None else state.update(tuple(value))
+        if self.start is not None:
+            self.first.update((self.start, self.count))
+
+    def _emit(self, media: str, out: list) -> None:
+        if self.latest is not None:
+            at, end, frame, score = self.latest
+            out.append([media, "scene", at, end, frame, frame, 1, min(max(score, 0.0), 1.0)])
+
+    def _judge(self, media: str, after: float, out: list) -> None:
+        at, end, frame, score, before, number = self.row
+        if number == 0:
+            self.latest = (at, end, frame, 1.0)
+            return
+        if score < _f32(self.config.scene_threshold) or score < max(before, 0.0) or score < max(after, 0.0):
+            return
+        if self.latest is None or at - self.latest[0] >= self.config.scene_separation_ns:
+            self._emit(media, out)
+        elif not (self.latest[3] < score and self.latest[0] != self.start):
+            return
+        self.latest = (at, end, frame, score)
+
+    def take(self, media: str, row: tuple, out: list) -> None:
+        at, frame, end, score, _, _ = row
+        before = -1.0
+        if self.row is not None:
+            self._judge(media, score, out)
+            # Row 1 does not look back at row 0's score.
+            before = self.row[3] if self.count > 1 else -1.0
+        if self.start is None:
+            self.start = at
+        self.row = (at, end, frame, score, before, self.count)
+        self.count += 1
+
+    def finish(self, media: str, out: list) -> None:
+        if self.row is not None:
+            self._judge(media, -1.0, out)
+        self._emit(media, out)
+        self.row = self.latest = None
+
+
+def _arrived(rows: DataFrame, arrival: str | None, delay: str | None) -> tuple[DataFrame, str]:
+    """Rows with ``arrived_ms``, and the time mode: by the arrival column's watermark (set before if ``delay`` is None), or by the clock."""
+    if arrival is None:
+        return rows.withColumn("arrived_ms", F.lit(0).cast("bigint")), "ProcessingTime"
+    timed = rows if delay is None else rows.withWatermark(arrival, delay)
+    return timed.withColumn("arrived_ms", F.unix_millis(arrival)), "EventTime"
+
+
+def detect_stream(samples: DataFrame, processor: Detector, arrival: str | None = None, delay: str = "1 minute") -> DataFrame:
+    """Apply a detector to a stream of samples in any order within its delay; rows of kind ``late`` tell the others.
+
+    ``arrival``: a timestamp column that drives the timers, for a processor made with ``by_arrival``;
+    rows without media only move it on. Without it timers follow the processing time.
+    """
+    timed, mode = _arrived(samples, arrival, delay)
+    score = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c)
+    # In an arrival whose media is null every other column may be.
+    rows = timed.select(
+        "media_id", F.coalesce("pt_ns", F.lit(0)).alias("pt_ns"), F.coalesce("presentation_index", F.lit(NO_INDEX)).alias("frame"),
+        (F.coalesce("pt_ns", F.lit(0)) + F.greatest(F.coalesce("duration_ns", F.lit(0)), F.lit(1))).alias("end_ns"),
+        score("scene_score"), score("duplicate_score"), F.coalesce(F.col("content_hash").cast("string"), F.lit("")).alias("content"),
+        "arrived_ms", *([arrival] if arrival else []),
+    )
+    out = rows.groupBy("media_id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=OUT, outputMode="Append", timeMode=mode
+    )
+    known = {c: F.when(F.col(c) != NO_INDEX, F.col(c)) for c in ("first_frame", "last_frame")}
+    return out.withColumns(known)
 
-class SceneDetector(StatefulProcessor):
-    """Scene cuts with one row held back for its right neighbour and the latest scene held back
-    until the minimum separation has passed, as a stronger cut may still replace it."""
 
-    def __init__(self, config: DetectionConfig = DetectionConfig()):
-        self.config = config.normalized()
+def late_rows(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(detections, late rows by media, time and frame) of what ``detect_stream`` emitted."""
+    late = found.where(F.col("kind") == LATE).select("media_id", F.col("start_ns").alias("pt_ns"), F.col("first_frame").alias("presentation_index"))
+    return found.where(F.col("kind") != LATE), late
+
+
+class Identities(Timed):
+    """Rows of one media, time and stream timestamp: an indexed row passes, others wait whether one comes.
+
+    Indexed rows are told apart by index before. A row without an index is the indexed one's when there is
+    one, else the first of its kind; it is emitted when ``idle_ms`` have passed without one. What has been
+    seen is forgotten ``keep_ms`` after its last row.
+    """
+
+    def __init__(self, idle_ms: int = 10_000, keep_ms: int = 600_000, by_arrival: bool = False):
+        super().__init__(idle_ms, by_arrival)
+        self.keep_ms = max(1, keep_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # Scores of -1 stand for absent ones.
-        self.held = handle.getValueState(
-            "held", "pt_ns bigint, end_ns bigint, frame bigint, score double, before double, number bigint"
-        )
-        self.latest = handle.getValueState("latest", "pt_ns bigint, end_ns bigint, frame bigint, score double")
-        self.first = handle.getValueState("first", "pt_ns bigint")
+        super().init(handle)
+        self.told = handle.getValueState("told", "indexed boolean, n bigint")
+        self.waiting = handle.getValueState("waiting", "body string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        c, out = self.config, []
-        held, latest, first = (
-            s.get() if s.exists() else None for s in (self.held, self.latest, self.first)
-        )
-
-        def emit(scene) -> None:
-            out.append([key[0], "scene", scene[0], scene[1], scene[2], scene[2], 1, min(max(scene[3], 0.0), 1.0)])
-
-        def judge(row, after: float) -> None:
-            nonlocal latest, first
-            t, end, frame, score, before, number = row
-            if number == 0:
-                latest, first = (t, end, frame, 1.0), (t,)
-                return
-            if score < _f32(c.scene_threshold) or score < max(before, 0.0) or score < max(after, 0.0):
-                return
-            if t - latest[0] >= c.scene_separation_ns:
-                emit(latest)
-            elif not (latest[3] < score and latest[0] != first[0]):
-                return
-            latest = (t, end, frame, score)
-
-        for row in _sorted(rows, ["closing", "pt_ns", "frame"]).itertuples(index=False):
-            if row.closing:
-                if held is not None:
-                    judge(held, -1.0)
-                if latest is not None or held is not None:
-                    emit(latest)
-                held = latest = None
-                continue
-            if held is not None and row.pt_ns < held[0]:
-                continue
-            score = _score(row.scene_score)
-            score = -1.0 if score is None else score
-            before, number = -1.0, 0
-            if held is not None:
-                judge(held, score)
-                number = held[5] + 1
-                # Row 1 does not look back at row 0's score.
-                before = held[3] if number > 1 else -1.0
-            end = int(row.pt_ns) + max(int(row.duration_ns), 1)
-            held = (int(row.pt_ns), end, int(row.frame), score, before, number)
-        for state, value in ((self.held, held), (self.latest, latest), (self.first, first)):
-            state.clear() if value is None else state.update(tuple(value))
-        if out:
-            yield _frame(out, _OUT_COLUMNS)
+        fresh = _folded(rows, ["indexed", "body", "arrived_ms"], ["body"])
+        if key[0] is None:
+            return
+        indexed, n = self.told.get() if self.told.exists() else (False, 0)
+        known = fresh["indexed"].astype(bool)
+        passed = fresh["body"][known].tolist()
+        if passed:
+            self.waiting.clear()
+        elif not indexed and n == 0 and len(known):
+            self.waiting.update((fresh["body"][0],))
+        self.told.update((indexed or bool(passed), n + len(known)))
+        self._renew(timerValues, int(fresh["arrived_ms"].max(initial=0)), self.idle_ms if self.waiting.exists() else self.keep_ms)
+        if passed:
+            yield _frame([[b] for b in passed], ["body"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.waiting.exists():
+            body = self.waiting.get()[0]
+            self.waiting.clear()
+            self._renew(timerValues, after_ms=self.keep_ms)
+            yield _frame([[body]], ["body"])
+        else:
+            self.told.clear()
 
-    def close(self) -> None:
-        pass
 
+# The format in which rows wait as text; microseconds are kept.
+TEXT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "true"}
 
-def detect_stream(samples: DataFrame, processor: StatefulProcessor) -> DataFrame:
-    """Apply a detector to a stream of samples with a ``closing`` flag column."""
-    rows = samples.select(
-        "media_id", "pt_ns", "duration_ns", F.coalesce("presentation_index", F.lit(NO_INDEX)).alias("frame"),
-        "scene_score", "duplicate_score", F.coalesce(F.col("content_hash").cast("string"), F.lit("")).alias("content"),
-        F.coalesce("closing", F.lit(False)).alias("closing"),
+
+def distinct_identities(
+    samples: DataFrame, arrival: str | None = None, delay: str | None = "10 minutes", wait_ms: int = 10_000, keep_ms: int = 600_000
+) -> DataFrame:
+    """Samples of a stream once per identity: by index, else by time and stream timestamp where no indexed row has them.
+
+    Rows without an index wait ``wait_ms`` for an indexed one. Keys are single identities, so a media with
+    most of the rows is spread like the others.
+    """
+    columns = [c for c in samples.columns if c != arrival]
+    timed, mode = _arrived(samples, arrival, delay)
+    body = F.to_json(F.struct(*columns), TEXT)
+    rows = timed.select(
+        "media_id", F.coalesce("pt_ns", F.lit(ABSENT)).alias("pt_ns"), F.coalesce("pts", F.lit(ABSENT)).alias("pts"),
+        F.coalesce(F.col("presentation_index") >= 0, F.lit(False)).alias("indexed"), body.alias("body"), "arrived_ms", *([arrival] if arrival else []),
     )
-    out = rows.groupBy("media_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=OUT, outputMode="Append", timeMode="None"
+    processor = Identities(wait_ms, keep_ms, arrival is not None)
+    out = rows.groupBy("media_id", "pt_ns", "pts").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType="body string", outputMode="Append", timeMode=mode
     )
-    known = {c: F.when(F.col(c) != NO_INDEX, F.col(c)) for c in ("first_frame", "last_frame")}
-    return out.withColumns(known)
+    return out.select(F.from_json("body", samples.select(*columns).schema, TEXT).alias("row")).select("row.*")
+
+
+class ClosingBuckets(Timed):
+    """Sums of level-of-detail buckets per media, each emitted once its media is past it by ``delay_ns``, or idle.
+
+    A media progresses by its own latest time, whatever others do. Sums of rows behind the closed part are
+    emitted at once, marked late: sums, minima and maxima of a bucket merge with those emitted before.
+    """
+
+    def __init__(self, schema: str, delay_ns: int, idle_ms: int, by_arrival: bool = False):
+        super().__init__(idle_ms, by_arrival)
+        self.schema, self.delay_ns = schema, max(0, delay_ns)
+        self.columns = [c.split()[0] for c in schema.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        body = [c for c in self.schema.split(", ") if c.split()[0] not in ("media_id", "bucket", "late")]
+        self.values = [c.split()[0] for c in body]
+        self.sums = handle.getMapState("sums", "bucket bigint", ", ".join(["end_ns bigint", *body]))
+        self.mark = handle.getValueState("mark", "latest_ns bigint, closed_ns bigint")
+
+    def _merge(self, a: tuple, b: tuple) -> tuple:
+        out = []
+        for name, x, y in zip(self.values, a, b):
+            if x is None or y is None:
+                out.append(y if x is None else x)
+            else:
+                out.append(min(x, y) if name.endswith("_min") else max(x, y) if name.endswith("_max") else x + y)
+        return tuple(out)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        media, out, open_ = key[0], [], {}
+        fresh = _folded(rows, ["bucket", "end_ns", "top_ns", *self.values, "arrived_ms"], ["bucket"])
+        if media is None:
+            return
+        latest, closed = self.mark.get() if self.mark.exists() else (ABSENT, ABSENT)
+        plain = lambda v: None if v is None or v != v else v
+        for bucket, end, *body in zip(*(fresh[c].tolist() for c in ("bucket", "end_ns", *self.values))):
+            body = tuple(map(plain, body))
+            known = open_.get(bucket)
+            open_[bucket] = (end, *(self._merge(known[1:], body) if known else body))
+        latest = max(latest, int(fresh["top_ns"].max(initial=ABSENT)))
+        horizon = max(closed, latest - self.delay_ns)
+        for bucket, (end, *body) in open_.items():
+            if end <= closed:
+                out.append([media, bucket, *body, True])
+            else:
+                known = self.sums.getValue((bucket,)) if self.sums.containsKey((bucket,)) else None
+                self.sums.updateValue((bucket,), (end, *(self._merge(tuple(known)[1:], tuple(body)) if known is not None else body)))
+        out += self._close(media, horizon)
+        self.mark.update((latest, horizon))
+        self._renew(timerValues, int(fresh["arrived_ms"].max(initial=0)))
+        if out:
+            yield _frame(out, self.columns)
+
+    def _close(self, media: str, horizon: int) -> list:
+        past = [(k[0], tuple(v)) for k, v in self.sums.iterator() if v[0] <= horizon]
+        for bucket, _ in past:
+            self.sums.removeKey((bucket,))
+        return [[media, bucket, *values[1:], False] for bucket, values in past]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The media is complete: all its buckets close. One that gets rows afterwards closes again with those."""
+        out = self._close(key[0], 2**63 - 1)
+        if out:
+            yield _frame(out, self.columns)
 
 
 class VisitHistory(StatefulProcessor):
@@ -244,12 +483,13 @@ class VisitHistory(StatefulProcessor):
             stored = self.state.get()
             entries, position = [tuple(e) for e in stored[0]], int(stored[1])
         out = []
-        for r in _sorted(rows, ["seq"]).itertuples(index=False):
-            item = (int(r.serial), int(r.presentation_index), int(r.pts), int(r.pt_ns))
-            entries, position = self.step(entries, position, r.action, item)
+        columns = ["seq", "action", "serial", "presentation_index", "pts", "pt_ns"]
+        fresh = _folded(rows, columns, ["seq"])
+        for seq, action, *item in zip(*(fresh[c].tolist() for c in columns)):
+            entries, position = self.step(entries, position, action, tuple(item))
             now = entries[position] if position >= 0 else (0, NO_INDEX, ABSENT, ABSENT)
             forward = 0 <= position < len(entries) - 1
-            out.append([key[0], r.seq, r.action, len(entries), position, now[1], now[3], position > 0, forward])
+            out.append([key[0], seq, action, len(entries), position, now[1], now[3], position > 0, forward])
         self.state.update((entries, position))
         yield _frame(out, [p.split()[0] for p in self.SCHEMA.split(", ")])
 
@@ -278,11 +518,12 @@ class DecodeRate(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         rate = self.state.get()[0] if self.state.exists() else 0.0
         out = []
-        for r in _sorted(rows, ["seq"]).itertuples(index=False):
-            if r.seconds > 0:
-                now = 1.0 / r.seconds
+        fresh = _folded(rows, ["seq", "seconds"], ["seq"])
+        for seq, seconds in zip(fresh["seq"].tolist(), fresh["seconds"].tolist()):
+            if seconds > 0:
+                now = 1.0 / seconds
                 rate = now if rate == 0.0 else rate * 0.85 + now * 0.15
-                out.append([key[0], r.seq, rate])
+                out.append([key[0], seq, rate])
         self.state.update((rate,))
         if out:
             yield _frame(out, ["session_id", "seq", "rate"])
