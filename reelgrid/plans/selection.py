@@ -2,46 +2,56 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spacing import div, evenly_spaced
 from ..functions.scores import high_motion
-from ..operators.asof import asof, range_ends
+from ..operators import sweep
+from ..operators.asof import asof
 from ..operators.order import Ordered, arrange, running_sum, sequence, settle
+from ..session import materialise
 
 BODY = ["presentation_index", "pts", "pt_ns", "key_frame"]
 FIRST = -(2**63)
 
 
-def _counted(frames: DataFrame | Ordered) -> Ordered:
-    """Frames with position and the number of keyframes before each."""
-    o = settle(sequence(arrange(frames), names=("_pos", "", "")))
-    key = F.when(F.col("key_frame"), 1).otherwise(0).cast("bigint")
-    return settle(running_sum(o, key, "_keys", inclusive=False))
-
-
-def _bounds(requests: DataFrame, rows: Ordered) -> DataFrame:
-    """requests + first and last position and key ordinals of the range, from one lookup of both ends."""
+def _swept(requests: DataFrame, frames: DataFrame | Ordered) -> tuple[DataFrame, DataFrame]:
+    """Frames with position and the number of keyframes before each, and requests with the first and last
+    position and key ordinals of their range: one sweep, stored once as both come from it."""
     r = requests.withColumn("_from", F.when(F.col("range_start_ns") <= 0, F.lit(FIRST)).otherwise(F.col("range_start_ns")))
-    payload = ["_pos", "_keys", "key_frame"]
-    # Past the last frame a range starts with that frame.
-    ends = range_ends(r, rows, payload, "_from", "range_end_ns").select(
-        "media_id", "_from", "range_end_ns", F.coalesce("first", "past").alias("_f"), F.col("last").alias("_l")
-    )
-    key = F.when(F.col("_l.key_frame"), 1).otherwise(0)
-    return (
-        r.join(ends, ["media_id", "_from", "range_end_ns"])
-        .withColumns(
-            {
-                "_p0": F.col("_f._pos"),
-                "_p1": F.col("_l._pos"),
-                "_k0": F.col("_f._keys"),
-                "_k1": F.col("_l._keys") + key,
-            }
+    if sweep.even(r, frames):
+        slim = frames.to(frames.df.select(*frames.columns(*BODY))) if isinstance(frames, Ordered) else frames
+        o = running_sum(sequence(arrange(slim), names=("_pos", "", "")), F.when(F.col("key_frame"), 1).otherwise(0).cast("bigint"), "_keys", inclusive=False)
+        found = sweep.searched(r, frames, ["key_frame"], _keys_so_far, "_from", "range_end_ns").where("total > 0")
+        past = F.col("p0") == F.col("total")
+        # Ordinals at the last frame stand for those past it.
+        bounds = found.select(
+            *requests.columns, F.when(past, F.col("total") - 1).otherwise(F.col("p0")).alias("_p0"), F.col("p1").alias("_p1"),
+            F.coalesce("first_before", "last_before").alias("_k0"), F.coalesce(F.col("last_before") + F.col("last_key"), F.lit(0)).alias("_k1"),
         )
-        .drop("_f", "_l", "_from")
+        return o.plain(), bounds
+    spans = r.select("media_id", F.col("_from").alias("start_ns"), F.col("range_end_ns").alias("end_ns")).distinct()
+    key = F.when(F.col("_row.key_frame"), 1).otherwise(0)
+    o = sweep.counted(sweep.counted(sweep.events(spans, frames, BODY), F.lit(1), "_n"), key, "_k")
+    o = o.to(materialise(sweep.before(o, key, "_key").df))
+    rows = o.df.where(sweep.is_row()).select("media_id", "_row.*", (F.col("_n") - 1).alias("_pos"), (F.col("_k") - key).alias("_keys"))
+    totals = o.df.groupBy("media_id").agg(F.max("_n").alias("_total"))
+    ends = sweep.paired(o, ["_n", "_k", "_key"], ["_n", "_k"]).join(totals, "media_id").where("_total > 0")
+    # Past the last frame a range starts with that frame.
+    past = F.when(F.col("s._n") == F.col("_total"), 1).otherwise(0)
+    bounds = ends.select(
+        "media_id", F.col("start_ns").alias("_from"), F.col("end_ns").alias("range_end_ns"),
+        (F.col("s._n") - past).alias("_p0"), (F.col("e._n") - 1).alias("_p1"),
+        (F.col("s._k") - past * F.coalesce("s._key", F.lit(0))).alias("_k0"), F.col("e._k").alias("_k1"),
     )
+    return rows, r.join(bounds, ["media_id", "_from", "range_end_ns"]).drop("_from")
+
+
+def _keys_so_far(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    key = (rows["key_frame"] > 0).astype(np.int64)
+    return {"before": np.cumsum(key) - key, "key": key}
 
 
 def range_plan(requests: DataFrame, frames: DataFrame | Ordered, keyframes: bool = False) -> DataFrame:
@@ -52,16 +62,15 @@ def range_plan(requests: DataFrame, frames: DataFrame | Ordered, keyframes: bool
     positions; ``limit_reached`` tells that more would have matched. Requests: request_id,
     media_id, range_start_ns, range_end_ns, every_n, max_frames.
     """
-    rows = _counted(frames)
-    b = _bounds(requests, rows)
+    rows, b = _swept(requests, frames)
     if keyframes:
         found = F.col("_k1") - F.col("_k0")
         start, step = F.col("_k0"), F.lit(1)
-        source = rows.plain().where("key_frame").withColumnRenamed("_keys", "_at")
+        source = rows.where("key_frame").withColumnRenamed("_keys", "_at")
     else:
         found = div(F.col("_p1") - F.col("_p0"), F.col("every_n")) + 1
         start, step = F.col("_p0"), F.col("every_n")
-        source = rows.plain().withColumnRenamed("_pos", "_at")
+        source = rows.withColumnRenamed("_pos", "_at")
     b = b.where(F.col("_p0") <= F.col("_p1")).withColumn("_found", found.cast("bigint")).where("_found > 0")
     wanted = F.least(F.col("_found"), F.col("max_frames")).cast("bigint")
     picked = (

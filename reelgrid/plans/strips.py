@@ -10,13 +10,17 @@ from ..functions.spacing import div, evenly_spaced
 from ..operators.asof import asof, known_frame_hint
 from ..operators.order import Ordered, arrange, running_sum, sequence, settle
 
-MIN_COUNT, MAX_COUNT = 1, 64
+MIN_COUNT = 1
 DEFAULT_SPACING_NS = 40 * MS
 SPACING_ROWS = 129
 
 
-def _count() -> Column:
-    return F.greatest(F.least(F.col("count"), F.lit(MAX_COUNT)), F.lit(MIN_COUNT))
+def _counted(plans: DataFrame, most: int | None) -> tuple[DataFrame, Column]:
+    """Plans and how many targets each gets; with ``most``, plans say whether theirs were cut to it."""
+    count = F.greatest(F.col("count"), F.lit(MIN_COUNT))
+    if most is None:
+        return plans, count
+    return plans.withColumn("cut", F.col("count") > most), F.least(count, F.lit(most))
 
 
 def _spread(start: Column, end: Column, count: Column) -> Column:
@@ -38,12 +42,14 @@ def _exploded(plans: DataFrame, targets: str, probe: Column) -> DataFrame:
     )
 
 
-def even_sample(requests: DataFrame, frames: DataFrame | Ordered) -> DataFrame:
-    """``count`` (1 to 64) targets over each range with their nearest frames.
+def even_sample(requests: DataFrame, frames: DataFrame | Ordered, most: int | None = None) -> DataFrame:
+    """``count`` (at least 1) targets over each range with their nearest frames.
 
-    requests: request_id, media_id, start_ns, end_ns, count, probe_ns.
+    requests: request_id, media_id, start_ns, end_ns, count, probe_ns. With ``most`` no range gets more
+    targets than that, and ``cut`` tells which asked for more.
     """
-    r = requests.withColumn("_targets", _spread(F.col("start_ns"), F.col("end_ns"), _count()))
+    counted, count = _counted(requests, most)
+    r = counted.withColumn("_targets", _spread(F.col("start_ns"), F.col("end_ns"), count))
     return known_frame_hint(_exploded(r, "_targets", F.col("probe_ns")), frames)
 
 
@@ -85,16 +91,18 @@ def local_spacing(probes: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def context_window(probes: DataFrame, frames: DataFrame | Ordered, media: DataFrame) -> DataFrame:
+def context_window(probes: DataFrame, frames: DataFrame | Ordered, media: DataFrame, most: int | None = None) -> DataFrame:
     """``count`` targets around each probe time.
 
     The exact neighbouring frames when that many follow each other without a gap, else times spaced
     by the local frame spacing and kept inside the media. probes: probe_id, media_id, target_ns,
-    count. Result has ``exact`` and per target its ordinal, time, hints and ``current``.
+    count (cut to ``most`` and so told in ``cut``, if given). Result has ``exact`` and per target its
+    ordinal, time, hints and ``current``.
     """
+    probes, count = _counted(probes, most)
     o = _known(frames)
     known = o.plain()
-    n = _count().cast("bigint")
+    n = count.cast("bigint")
     near = asof(probes, o, ["_pos", "duration_ns"], "nearest")
     totals = known.groupBy("media_id").agg(F.count(F.lit(1)).alias("_total"))
     d = media.select("media_id", F.col("duration_ns").alias("_media_ns"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -239,11 +241,11 @@ def single_frame(spark, folder):
 
 
 STRIP = """
-sr AS (SELECT r.range_id AS request_id, r.media_id, start_ns AS s, end_ns AS e, 1 + start_ns // 1000000000000 % 5 AS c, (start_ns * 2 + end_ns) // 3 AS playhead FROM ranges r),
+sr AS (SELECT r.range_id AS request_id, r.media_id, start_ns AS s, end_ns AS e, CASE WHEN start_ns // 1000000000000 % 50 = 0 THEN 75 ELSE 1 + start_ns // 1000000000000 % 5 END AS c, (start_ns * 2 + end_ns) // 3 AS playhead FROM ranges r),
 st AS (
   SELECT DISTINCT request_id, media_id, playhead,
     CASE WHEN c = 1 OR e <= s THEN s + (e - s) // 2 ELSE s + (e - s) // (c - 1) * i + (e - s) % (c - 1) * i // (c - 1) END AS target_ns
-  FROM sr, generate_series(0, 4) AS g(i) WHERE i < c),
+  FROM sr, generate_series(0, 74) AS g(i) WHERE i < c),
 probes AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY target_ns) - 1 AS ordinal,
   ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY ABS(target_ns - playhead), target_ns) AS closeness FROM st)"""
 
@@ -255,9 +257,10 @@ probes AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY target_
     FROM probes LEFT JOIN near USING (media_id, target_ns)""",
 )
 def even_frame_sample(spark, folder):
+    day = F.call_function("div", F.col("start_ns"), F.lit(A.DAY_NS))
     r = ranges(spark, folder).select(
         F.col("range_id").alias("request_id"), "media_id", "start_ns", "end_ns",
-        (1 + F.call_function("div", F.col("start_ns"), F.lit(A.DAY_NS)) % 5).alias("count"),
+        F.when(day % 50 == 0, 75).otherwise(1 + day % 5).alias("count"),
         F.call_function("div", F.col("start_ns") * 2 + F.col("end_ns"), F.lit(3)).alias("probe_ns"),
     )
     out = W.even_sample(r, samples(spark, folder))
@@ -279,20 +282,44 @@ wx AS (
   FROM ws w JOIN co c ON c.media_id = w.media_id AND c.pos BETWEEN w.st AND w.st + 3 GROUP BY 1, 2, 3)"""
 
 
+# Windows that are not exact: four times, spaced as the frames around are, and kept inside the media.
+SPACED = """
+lp AS (SELECT p.probe_id, p.media_id, p.target_ns AS probe_ns, fp.pos, m.duration_ns AS total FROM probes p JOIN media m USING (media_id)
+  LEFT JOIN fp ON fp.media_id = p.media_id AND fp.target_ns = p.target_ns
+  LEFT JOIN wx ON wx.media_id = p.media_id AND wx.target_ns = p.target_ns WHERE gaps IS NULL OR gaps > 0),
+sp AS (SELECT a.media_id, a.pos, list_sort(list(x.duration_ns)) AS ds FROM (SELECT DISTINCT media_id, pos FROM lp WHERE pos IS NOT NULL) a
+  JOIN co x ON x.media_id = a.media_id AND x.pos BETWEEN GREATEST(a.pos - 64, 0) AND GREATEST(a.pos - 64, 0) + 128 WHERE x.duration_ns > 0 GROUP BY 1, 2),
+lg AS (SELECT lp.*, CASE WHEN o.duration_ns > 0 THEN o.duration_ns ELSE COALESCE(ds[len(ds) // 2 + 1], 40000000) END AS gap FROM lp
+  LEFT JOIN co o ON o.media_id = lp.media_id AND o.pos = lp.pos LEFT JOIN sp ON sp.media_id = lp.media_id AND sp.pos = lp.pos),
+lx AS (SELECT DISTINCT probe_id, media_id, CASE WHEN gap * 3 < total
+    THEN LEAST(CASE WHEN probe_ns > gap * 2 THEN probe_ns - gap * 2 ELSE 0 END, total - gap * 3) + gap * i
+    WHEN total <= 0 THEN 0 ELSE total // 3 * i + total % 3 * i // 3 END AS target_ns FROM lg, generate_series(0, 3) AS g(i)),
+ln AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY probe_id ORDER BY target_ns) - 1 AS ordinal FROM lx)"""
+
+
+def _bracket(probes: str, frames: str, prefix: str) -> str:
+    """The frames around distinct probe times, with all names of its own."""
+    own = re.sub(r"\b(targets|bef|aft|around|near)\b", rf"{prefix}\1", BRACKET)
+    return re.sub(r"\bsamples\b", frames, re.sub(r"\bprobes\b", probes, own))
+
+
 @query(
     "context_window",
-    with_(EVENTS, PROBES, CUT, BRACKET.replace("samples", "cut").replace("near AS", "cutnear AS"), WINDOWS)
-    + """SELECT p.probe_id, c.pos - st AS ordinal, c.pt_ns AS target_ns, c.presentation_index AS index_hint
+    with_(EVENTS, PROBES, CUT, _bracket("probes", "cut", "cut"), WINDOWS, SPACED, _bracket("ln", "cut", "l"))
+    + """SELECT p.probe_id, 1 AS exact, c.pos - st AS ordinal, c.pt_ns AS target_ns, c.presentation_index AS index_hint
     FROM probes p JOIN wx USING (media_id, target_ns) JOIN co c ON c.media_id = p.media_id AND c.pos BETWEEN st AND st + 3
-    WHERE gaps = 0""",
+    WHERE gaps = 0
+    UNION ALL SELECT probe_id, 0, ordinal, target_ns, COALESCE(i, -1) FROM ln LEFT JOIN lnear USING (media_id, target_ns)""",
 )
 def context_window(spark, folder):
-    """Windows of four frames that are exact; frames with errors are left out of the index."""
+    """Windows of four frames, and of four spaced times where frames (errors are left out of the index) do not follow each other."""
     s = samples(spark, folder)
     cut = s.to(s.df.where("event_type <> 'error'"))
     p = probes(spark, folder).select("probe_id", "media_id", "target_ns", F.lit(4).alias("count"))
-    out = W.context_window(p, cut, A.media_from_samples(s)).where("exact")
-    return out.select("probe_id", F.col("ordinal").cast("bigint").alias("ordinal"), "target_ns", "index_hint")
+    out = W.context_window(p, cut, A.media_from_samples(s))
+    return out.select(
+        "probe_id", F.col("exact").cast("bigint").alias("exact"), F.col("ordinal").cast("bigint").alias("ordinal"), "target_ns", known("index_hint").alias("index_hint")
+    )
 
 
 @query(

@@ -262,16 +262,16 @@ CHAPTERS = """
 ch AS (
   SELECT media_id, number, start_ns, CASE WHEN number % 2 = 0 THEN duration_ns ELSE LEAST((start_ns // 1000000 + 90000) * 1000000, duration_ns) END AS end_ns,
          CASE WHEN number = 3 THEN 'Finale' ELSE 'Chapter ' || number END AS title
-  FROM (SELECT media_id, duration_ns, i AS number, LEAST((i - 1) * 400000000 * 1000000, duration_ns) AS start_ns FROM media, generate_series(1, 3) AS g(i)
-        WHERE duration_ns > 1200000000000000))"""
+  FROM (SELECT media_id, duration_ns, i AS number, LEAST((i - 1) * (duration_ns // 3000000) * 1000000, duration_ns) AS start_ns FROM media, generate_series(1, 3) AS g(i)))"""
 
 
 def _chapters(s):
-    """Three chapters per long media in 1/1000 s, given out of order."""
-    media = A.media_from_samples(s).where("duration_ns > 1200000000000000")
+    """Three chapters per media, a third of it each, in 1/1000 s and given out of order."""
+    media = A.media_from_samples(s)
+    third = F.call_function("div", F.col("duration_ns"), F.lit(3_000_000))
     one = lambda i, title, end: F.struct(
-        F.lit(i).cast("bigint").alias("id"), F.lit((i - 1) * 400_000_000).cast("bigint").alias("start"),
-        (F.lit((i - 1) * 400_000_000 + 90_000) if end else F.lit(None)).cast("bigint").alias("end"),
+        F.lit(i).cast("bigint").alias("id"), ((i - 1) * third).cast("bigint").alias("start"),
+        ((i - 1) * third + 90_000 if end else F.lit(None)).cast("bigint").alias("end"),
         F.lit(title).cast("string").alias("title"), _tb(F.lit(1), F.lit(1000)).alias("time_base"),
     )
     raw = media.select(
