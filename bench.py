@@ -29,7 +29,7 @@ HEADLINE = [
 
 
 def session():
-    from reelgrid.session import build_session
+    from reelgrid.session import build_session, ship
 
     spark = build_session(
         f"local[{CPUS}]",
@@ -42,6 +42,7 @@ def session():
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +14,7 @@ from ..config import LodConfig
 from ..functions.scores import unit
 from ..functions.spacing import div
 from ..functions.timebase import clamp_time, nominal_frame_duration
-from .order import Ordered, union_all
+from .order import Ordered, small_groups, union_all
 
 SCORES = {"motion": "motion", "similarity": "similarity", "scene": "scene_score"}
 DEFAULT_FRAME_NS = 33_333_333
@@ -86,9 +91,14 @@ def _merge() -> list[Column]:
     return out
 
 
-# Levels aggregated straight from the rows of a block; the ones above start from the next level.
-DIRECT_LEVELS = 3
+def _state() -> list[str]:
+    return ["sample_count", *[f"{s}_{a}" for s in SCORES for a in ("count", "sum", "min", "max")]]
+
+
+# Levels above the base that one block of base buckets holds; higher ones start from its single top bucket.
 BLOCK_LEVELS = 6
+# Rows that a task folds at once.
+FOLD_ROWS = 65_536
 
 
 def _keyed(samples: DataFrame | Ordered, geometry: DataFrame) -> DataFrame:
@@ -115,34 +125,150 @@ def lod_base(samples: DataFrame | Ordered, geometry: DataFrame) -> DataFrame:
 
 def lod_levels(base: DataFrame, config: LodConfig = LodConfig()) -> DataFrame:
     """All levels from base accumulators: media_id, level, bucket and accumulator columns."""
-    return _levels(base, config, _merge())
+    return _levels(base, config)
 
 
-def _levels(rows: DataFrame, config: LodConfig, aggregate: list[Column]) -> DataFrame:
+def _levels(rows: DataFrame, config: LodConfig) -> DataFrame:
     """All levels of rows keyed by media and base bucket, raw or accumulated.
 
-    Rows are placed once by blocks of base buckets. Levels 0 to 2 are aggregated inside the block
-    without another shuffle; level 3 is too, and as it is 64 times smaller (for grouping 4) all
-    higher levels come from it with one small shuffle.
+    The levels above a block's start from sums over runs of neighbouring rows of the same exchange: rows that
+    come in order, as samples do, leave few to merge.
+
+    Rows are placed once, by blocks of base buckets and in their order. There every level is folded from
+    the one below in one pass; the top bucket of each block is all that the levels above are made of.
     """
     config = config.normalized()
-    size, most = config.grouping, _most_levels(config)
-    placed = rows.withColumn("block", div(F.col("bucket"), size**BLOCK_LEVELS)).repartition("media_id", "block")
-    keys = ["media_id", "block", "level", "bucket"]
-    low = _exploded(placed, config, 0, min(DIRECT_LEVELS, most)).groupBy(*keys).agg(*aggregate).drop("block")
-    if most <= DIRECT_LEVELS:
+    most, width = _most_levels(config), config.grouping**BLOCK_LEVELS
+    placed = rows.withColumn("block", div(F.col("bucket"), width)).repartition("media_id", "block")
+    low = _cascade(placed, config, min(BLOCK_LEVELS + 1, most))
+    if most <= BLOCK_LEVELS + 1:
         return low
-    seed = (
-        placed.where(F.col("levels") > DIRECT_LEVELS)
-        .withColumn("bucket", div(F.col("bucket"), size**DIRECT_LEVELS))
-        .groupBy("media_id", "block", "bucket", "levels")
-        .agg(*aggregate)
-        .drop("block")
-    )
-    high = _exploded(seed, config, DIRECT_LEVELS, most).groupBy("media_id", "level", "bucket").agg(*_merge())
+    first = BLOCK_LEVELS + 1
+    # From the same exchange as the low levels; only rows of tall media count.
+    tops = _run_tops(placed, width * config.grouping, first)
+    high = _exploded(tops, config, first, most).groupBy("media_id", "level", "bucket").agg(*_merge())
     return low.unionByName(high)
 
 
+def _fold(keys: list[np.ndarray], state: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Sums, minima and maxima over runs of equal keys, and where the runs start. Absent minima and maxima are NaN."""
+    n = len(keys[0])
+    opens = np.ones(n, bool)
+    opens[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.flatnonzero(opens)
+    if len(at) == n:
+        return at, state
+    ways = {"min": np.fmin, "max": np.fmax}
+    return at, {c: ways.get(c[-3:], np.add).reduceat(v, at) for c, v in state.items()}
+
+
+_SUMS = {c for c in _state() if c[-3:] not in ("min", "max")}
+_FORM = [(c, pa.int64() if c.endswith("count") else pa.float64() if c in _SUMS else pa.float32()) for c in _state()]
+_SCHEMA = ", ".join(f"{c} {'bigint' if c.endswith('count') else 'double' if c in _SUMS else 'float'}" for c in _state())
+
+
+def _slim(rows: DataFrame, *more: str) -> DataFrame:
+    """Keys and, of raw rows, the three scores within their bounds; of accumulators, these."""
+    scores = [F.when(F.col(c).isNotNull(), unit(F.col(c))).alias(n) for n, c in SCORES.items()]
+    return rows.select("media_id", *more, "bucket", "levels", *(_state() if "sample_count" in rows.columns else scores))
+
+
+def _accumulators(part: pa.Table | pa.RecordBatch) -> dict[str, np.ndarray]:
+    numbers = lambda c: part.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
+    if "sample_count" in part.schema.names:
+        return {c: numbers(c).astype(np.int64) if c.endswith("count") else np.nan_to_num(numbers(c)) if c in _SUMS else numbers(c) for c in _state()}
+    out = {"sample_count": np.ones(part.num_rows, np.int64)}
+    for name in SCORES:
+        v = numbers(name)
+        there = ~np.isnan(v)
+        out |= {f"{name}_count": there.astype(np.int64), f"{name}_sum": np.where(there, v, 0.0), f"{name}_min": v, f"{name}_max": v}
+    return out
+
+
+def _columns(body: dict[str, np.ndarray]) -> list[pa.Array]:
+    # A sum without values is null, as a minimum is.
+    none = lambda c: np.isnan(body[c]) if c not in _SUMS else body[c[:-3] + "count"] == 0 if c.endswith("sum") else None
+    return [pa.array(body[c], mask=none(c)).cast(kind) for c, kind in _FORM]
+
+
+def _run_tops(placed: DataFrame, width: int, above: int) -> DataFrame:
+    """Of media with more than ``above`` levels, accumulators of buckets ``width`` times the base, over runs of neighbouring rows: several a bucket where rows are not in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.greater(batch.column("levels"), above))
+            if not batch.num_rows:
+                continue
+            names = batch.column("media_id")
+            bucket, levels = (batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "levels"))
+            bucket = bucket // width
+            at, body = _fold([names.dictionary_encode().indices.to_numpy(), bucket], _accumulators(batch))
+            columns = [names.take(pa.array(at)), pa.array(bucket[at]), pa.array(levels[at].astype(np.int32)), *_columns(body)]
+            yield pa.RecordBatch.from_arrays(columns, names=["media_id", "bucket", "levels", *[n for n, _ in _FORM]])
+
+    return _slim(placed, "block").mapInArrow(run, "media_id string, bucket bigint, levels int, " + _SCHEMA)
+
+
+def _cascade(placed: DataFrame, config: LodConfig, stop: int) -> DataFrame:
+    """Levels below ``stop`` of rows that lie in the partition of their block; raw rows or accumulators."""
+    slim, state = _slim(placed, "block"), _state()
+    form = [("media_id", pa.string()), ("level", pa.int32()), ("bucket", pa.int64()), *_FORM]
+    schema = "media_id string, level int, bucket bigint, " + _SCHEMA
+
+    def table(media: pa.Array, level: int, bucket: np.ndarray, body: dict[str, np.ndarray]) -> pa.RecordBatch:
+        columns = [media, pa.array(np.full(len(bucket), level, np.int32)), pa.array(bucket)]
+        return pa.RecordBatch.from_arrays([*columns, *_columns(body)], names=[n for n, _ in form])
+
+    def folded(part: pa.Table, held: tuple | None, last: bool) -> tuple[list[pa.RecordBatch], tuple | None]:
+        names = part.column("media_id").combine_chunks()
+        whole = [part.column(c).to_numpy().astype(np.int64) for c in ("block", "bucket", "levels")]
+        body = _accumulators(part)
+        if held is not None:
+            names = pa.concat_arrays([held[0], names])
+            whole = [np.concatenate([a, b]) for a, b in zip(held[1], whole)]
+            body = {c: np.concatenate([held[2][c], v]) for c, v in body.items()}
+        codes = names.dictionary_encode().indices.to_numpy()
+        at, body = _fold([codes, whole[1]], body)
+        codes, names, (block, bucket, levels) = codes[at], names.take(pa.array(at)), [v[at] for v in whole]
+        # The last block may go on in the next rows.
+        opens = np.flatnonzero((codes[1:] != codes[:-1]) | (block[1:] != block[:-1])) + 1
+        cut = len(codes) if last else int(opens[-1]) if len(opens) else 0
+        rest = None if last else (names[cut:], [block[cut:], bucket[cut:], levels[cut:]], {c: v[cut:] for c, v in body.items()})
+        out = []
+        codes, names, bucket, levels, body = codes[:cut], names[:cut], bucket[:cut], levels[:cut], {c: v[:cut] for c, v in body.items()}
+        for level in range(stop):
+            if not len(codes):
+                break
+            out.append(table(names, level, bucket, body))
+            more = np.flatnonzero(levels > level + 1)
+            codes, bucket, levels, body = codes[more], bucket[more] // config.grouping, levels[more], {c: v[more] for c, v in body.items()}
+            names = names.take(pa.array(more))
+            if len(codes):
+                at, body = _fold([codes, bucket], body)
+                codes, bucket, levels, names = codes[at], bucket[at], levels[at], names.take(pa.array(at))
+        return out, rest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, rows, held = [], 0, None
+        for batch in batches:
+            waiting.append(batch)
+            rows += batch.num_rows
+            if rows >= FOLD_ROWS:
+                out, held = folded(pa.Table.from_batches(waiting), held, False)
+                yield from out
+                waiting, rows = [], 0
+        if rows or held is not None:
+            part = pa.Table.from_batches(waiting) if waiting else None
+            if part is None:
+                part = empty
+            out, _ = folded(part, held, True)
+            yield from out
+
+    kinds = {"media_id": pa.string(), **{c: pa.int64() for c in ("block", "bucket", "levels")}}
+    empty = pa.table({f.name: pa.array([], kinds.get(f.name, pa.float64())) for f in slim.schema})
+    return slim.sortWithinPartitions("media_id", "bucket").mapInArrow(run, schema)
+
+
 def _exploded(rows: DataFrame, config: LodConfig, first: int, stop: int) -> DataFrame:
     """Rows, being buckets of level ``first``, once per level below ``stop`` that their media has."""
     level = F.explode(F.sequence(F.lit(first), F.least(F.col("levels"), F.lit(stop)) - 1))
@@ -160,15 +286,12 @@ def _most_levels(config: LodConfig) -> int:
     return n
 
 
-def _state() -> list[str]:
-    return ["sample_count", *[f"{s}_{a}" for s in SCORES for a in ("count", "sum", "min", "max")]]
-
-
 def lod_finish(levels: DataFrame, geometry: DataFrame, config: LodConfig = LodConfig()) -> DataFrame:
     """Add bucket bounds and averages: the ``lod`` table."""
     config = config.normalized()
     g = geometry.select("media_id", "duration_ns", "span_ns")
-    width = F.try_multiply(F.col("span_ns"), F.pow(F.lit(float(config.grouping)), F.col("level")).cast("bigint"))
+    widths = F.array(*[F.lit(min(config.grouping**k, 2**63 - 1)).cast("bigint") for k in range(config.levels)])
+    width = F.try_multiply(F.col("span_ns"), F.get(widths, F.col("level")))
 
     def bound(index: Column) -> Column:
         # A bound beyond BIGINT lies beyond the media as well.
@@ -188,11 +311,11 @@ def build_lod(
 ) -> DataFrame:
     """The ``lod`` table of a samples table.
 
-    Where no media is large (checked by ``arrange``) a block holds few rows and slim samples go to
-    their block directly; otherwise they are combined into base buckets before the shuffle.
+    Where no media is large (one count, made by ``arrange`` or here) a block holds few rows and slim samples
+    go to their block directly; otherwise they are combined into base buckets before the shuffle.
     """
-    if isinstance(samples, Ordered) and not samples.split:
-        levels = _levels(_keyed(samples, geometry), config, _accumulate())
+    if not samples.split if isinstance(samples, Ordered) else small_groups(samples):
+        levels = _levels(_keyed(samples, geometry), config)
     else:
         levels = lod_levels(lod_base(samples, geometry), config)
     return lod_finish(levels, geometry, config)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters as A
+from ..config import LodConfig
 from ..functions.scores import combined_score, heatmap_average, heatmap_peak
 from ..operators import lod as L
 from ..session import materialise
@@ -50,6 +51,26 @@ def lod_levels(spark, folder):
     )
 
 
+DEEP = GEOMETRY.replace("LEAST(n, 64) AS t", "60000 AS t").replace("generate_series(0, 4)", "generate_series(0, 8)")
+
+
+@query(
+    "lod_deep",
+    with_(EVENTS, DEEP)
+    + """SELECT media_id, level, bucket, sample_count, ROUND(motion_sum, 6) AS motion_sum, ROUND(CAST(motion_min AS DOUBLE), 6) AS motion_min,
+      ROUND(CAST(scene_max AS DOUBLE), 6) AS scene_max FROM acc""",
+)
+def lod_deep(spark, folder):
+    """60,000 base buckets: nine levels, over blocks of 4,096 buckets."""
+    s = samples(spark, folder)
+    config = LodConfig(base_buckets=65_536)
+    g = L.lod_geometry(A.media_from_samples(s).withColumn("estimated", F.lit(60_000).cast("bigint")), config)
+    return L.build_lod(s, g, config).select(
+        "media_id", F.col("level").cast("bigint").alias("level"), "bucket", "sample_count", dbl("motion_sum").alias("motion_sum"),
+        dbl("motion_min").alias("motion_min"), dbl("scene_max").alias("scene_max"),
+    )
+
+
 VIEW = GEOMETRY + """,
 req AS (SELECT media_id, duration_ns // 4 AS s, duration_ns * 3 // 4 AS e, span_ns, buckets, duration_ns FROM geometry),
 lv AS (

@@ -11,12 +11,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library relies on. Times are UTC, joins and skew are left to AQE, and
-# Python kernels receive small batches because a row may carry a whole image plane.
+# Python kernels receive batches bounded in bytes, because a row may carry a whole image plane.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     # Checkpoints that nothing refers to any more are deleted.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
