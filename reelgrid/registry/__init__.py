@@ -2,5 +2,6 @@
 
 from .base import CATALOGUE
 from . import detections, lod, lookups, pictures, planning, streams, tables  # noqa: F401  (registration)
+from . import named  # noqa: F401  (after the queries whose SQL it shares)
 
 __all__ = ["CATALOGUE"]
