@@ -35,18 +35,35 @@ def split_counts(totals: np.ndarray, into_left: int, rng: np.random.Generator) -
 
 
 def hypergeometric(good: int, bad: int, draws: int, rng: np.random.Generator) -> int:
-    """One draw; numpy's sampler takes fewer than 10^9 items, larger populations are halved first."""
+    """One draw; numpy's sampler takes fewer than 10^9 items, from larger populations it is drawn by inversion."""
     if good == 0 or draws == 0:
         return 0
     if bad == 0:
         return draws
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, draws))
-    # Normal approximation of the same mean and variance, kept inside the possible range.
+    first, chances = law(good, bad, draws)
+    sums = np.cumsum(chances)
+    return first + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
+
+
+def law(good: int, bad: int, draws: int, reach: float = 10.0) -> tuple[int, np.ndarray]:
+    """The least outcome within ``reach`` deviations of the mode, and the chances of it and those that follow.
+
+    From the ratios of neighbouring chances, so no factorial of the population is needed. What lies further out
+    is less likely than the smallest step of a random number.
+    """
     total = good + bad
-    mean = draws * good / total
-    spread = (mean * bad / total * (total - draws) / max(1, total - 1)) ** 0.5
-    return int(min(max(round(rng.normal(mean, spread)), draws - bad, 0), good, draws))
+    low, high = max(0, draws - bad), min(good, draws)
+    mode = min(max((good + 1) * (draws + 1) // (total + 2), low), high)
+    spread = (draws * (good / total) * (bad / total) * (total - draws) / max(1, total - 1)) ** 0.5
+    wide = int(reach * spread) + 30
+    up = np.arange(mode, min(high, mode + wide), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - wide), -1, dtype=np.float64)
+    rising = np.cumsum(np.log((good - up) * (draws - up)) - np.log((up + 1) * (bad - draws + up + 1)))
+    falling = np.cumsum(np.log(down * (bad - draws + down)) - np.log((good - down + 1) * (draws - down + 1)))
+    chances = np.exp(np.concatenate([falling[::-1], [0.0], rising]))
+    return mode - len(falling), chances / chances.sum()
 
 
 def matrix_row(totals: np.ndarray, block: int, levels: int, counts: list[tuple[int, int]], seed: int) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Conversation repair, the Merkle manifest and near duplicates of embeddings, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import oracle
 import pytest
 
-from reelgrid.llm import merkle, neardupvec, turns
+from reelgrid.llm import merkle, neardupvec, sharding, turns
 from reelgrid.llm.common import placed
 from reelgrid.llm.queries import ORACLE_SQL, QUERIES
 
@@ -357,3 +358,27 @@ def test_all_labels_at_once(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 2), (3, [0.0, 1.0], None)]
     got = rows_of(neardupvec.near_duplicates(vector_frame(spark, rows), label_col=None))
     assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+# Counts of a communication matrix
+
+
+@pytest.mark.parametrize("good, bad, draws", [(5, 7, 4), (30, 12, 35), (1, 1, 1), (200, 300, 450), (3, 1000, 2)])
+def test_law_of_counts(good, bad, draws):
+    first, chances = sharding.law(good, bad, draws, reach=1e9)
+    low, high = max(0, draws - bad), min(good, draws)
+    assert first == low and len(chances) == high - low + 1
+    want = [math.comb(good, k) * math.comb(bad, draws - k) / math.comb(good + bad, draws) for k in range(low, high + 1)]
+    assert np.allclose(chances, want, rtol=1e-9, atol=1e-300)
+
+
+def test_law_holds_above_a_billion_rows():
+    good, bad, draws = 500_000_000, 1_500_000_000, 1_000_000
+    rng = np.random.default_rng(3)
+    first, chances = sharding.law(good, bad, draws)
+    mean = draws * good / (good + bad)
+    deviation = (mean * bad / (good + bad) * (good + bad - draws) / (good + bad - 1)) ** 0.5
+    places = first + np.arange(len(chances))
+    assert abs((places * chances).sum() - mean) < 1e-3 and abs(((places - mean) ** 2 * chances).sum() ** 0.5 / deviation - 1) < 1e-6
+    drawn = np.array([sharding.hypergeometric(good, bad, draws, rng) for _ in range(400)])
+    assert abs(drawn.mean() - mean) < 5 * deviation / 20 and 0.8 < drawn.std() / deviation < 1.2
