@@ -10,8 +10,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -37,7 +38,78 @@ MAGIC = {
 }
 
 
-def _png(data: bytes, at: int) -> int | None:
+# Marks that end a file or lead to its end.
+ENDS = ("PK\x05\x06", "%%EOF", "startxref")
+
+
+def _color_table(flags: int) -> int:
+    return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
+
+
+class Places:
+    """Where marks stand in a file, ascending, and what they lead to.
+
+    Ends of archives and of GIF block chains are found once for all starts, so that a file made of
+    nothing but marks still takes time linear in its size.
+    """
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.marks = {kind: [] for kind in (*MAGIC, *ENDS)}
+        for end, (kind, back) in _automaton().iter(data.decode("latin-1")):
+            self.marks[kind].append(end - back)
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Length of the archive by its start. An end record names the directory's size and place, and so the start."""
+        data, out = self.data, {}
+        for p in self.marks[ENDS[0]]:
+            if p + 22 > len(data):
+                break
+            size, offset, comment = struct.unpack_from("<IIH", data, p + 12)
+            start = p - size - offset
+            if start >= 0 and data[start + offset : start + offset + 4] == b"PK\x01\x02" and p + 22 + comment <= len(data):
+                out.setdefault(start, p + 22 + comment - start)
+        return out
+
+    @cached_property
+    def _known(self) -> tuple[memoryview, memoryview]:
+        """By place: end of the GIF whose block starts there (-1: none), end of the sub-block chain; 0: not known."""
+        return tuple(memoryview(bytearray(4 * len(self.data) + 4)).cast("i") for _ in range(2))
+
+    def _chain_end(self, p: int) -> int:
+        data, known, path = self.data, self._known[1], []
+        while p < len(data) and data[p] and not known[p]:
+            path.append(p)
+            p += data[p] + 1
+        end = len(data) if p >= len(data) else known[p] or p
+        for q in path:
+            known[q] = end
+        return end
+
+    def gif_end(self, p: int) -> int:
+        """Where the GIF ends whose next block starts at ``p``; -1 if it does not."""
+        data, known, path, end = self.data, self._known[0], [], -1
+        while p < len(data):
+            if known[p]:
+                end = known[p]
+                break
+            path.append(p)
+            if data[p] == 0x3B:
+                end = p + 1
+                break
+            if data[p] == 0x2C and p + 10 < len(data):
+                p = self._chain_end(p + 11 + _color_table(data[p + 9])) + 1
+            elif data[p] == 0x21:
+                p = self._chain_end(p + 2) + 1
+            else:
+                break
+        for q in path:
+            known[q] = end
+        return end
+
+
+def _png(data: bytes, at: int, places: Places) -> int | None:
     p, first = at + 8, True
     while p + 12 <= len(data):
         size, kind = struct.unpack_from(">I4s", data, p)
@@ -50,7 +122,7 @@ def _png(data: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(data: bytes, at: int) -> int | None:
+def _jpeg(data: bytes, at: int, places: Places) -> int | None:
     p, frame = at + 2, False
     while p + 4 <= len(data) and data[p] == 0xFF:
         mark = data[p + 1]
@@ -72,28 +144,14 @@ def _jpeg(data: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(data: bytes, at: int) -> int | None:
+def _gif(data: bytes, at: int, places: Places) -> int | None:
     if data[at + 4 : at + 6] not in (b"7a", b"9a") or at + 13 > len(data):
         return None
-    table = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-    p = at + 13 + table(data[at + 10])
-    while p < len(data):
-        kind = data[p]
-        if kind == 0x3B:
-            return p + 1 - at
-        if kind == 0x2C and p + 10 < len(data):
-            p += 11 + table(data[p + 9])
-        elif kind == 0x21:
-            p += 2
-        else:
-            return None
-        while p < len(data) and data[p]:
-            p += data[p] + 1
-        p += 1
-    return None
+    end = places.gif_end(at + 13 + _color_table(data[at + 10]))
+    return end - at if end > 0 else None
 
 
-def _bmp(data: bytes, at: int) -> int | None:
+def _bmp(data: bytes, at: int, places: Places) -> int | None:
     if at + 54 > len(data):
         return None
     size, reserved, start, header, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", data, at + 2)
@@ -104,7 +162,7 @@ def _bmp(data: bytes, at: int) -> int | None:
     return size if fits and (packed or start + rows <= size) and at + size <= len(data) else None
 
 
-def _riff(data: bytes, at: int) -> int | None:
+def _riff(data: bytes, at: int, places: Places) -> int | None:
     if data[at : at + 4] != b"RIFF" or at + 12 > len(data):
         return None
     end, p, chunks = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little"), at + 12, []
@@ -118,7 +176,7 @@ def _riff(data: bytes, at: int) -> int | None:
     return end - at if p in (end, end + 1) and any(c.startswith(wanted) for c in chunks) else None
 
 
-def _gzip(data: bytes, at: int) -> int | None:
+def _gzip(data: bytes, at: int, places: Places) -> int | None:
     if at + 18 > len(data) or data[at + 3] & 0xE0:
         return None
     inflate = zlib.decompressobj(31)
@@ -133,29 +191,23 @@ def _gzip(data: bytes, at: int) -> int | None:
     return None
 
 
-def _zip(data: bytes, at: int) -> int | None:
-    # The end record names the directory's size and place; the first one that leads back here counts.
-    p = at
-    while (p := data.find(b"PK\x05\x06", p)) >= 0 and p + 22 <= len(data):
-        size, offset, comment = struct.unpack_from("<IIH", data, p + 12)
-        if at + offset + size == p and data[at + offset : at + offset + 4] == b"PK\x01\x02" and p + 22 + comment <= len(data):
-            return p + 22 + comment - at
-        p += 4
-    return None
+def _zip(data: bytes, at: int, places: Places) -> int | None:
+    return places.archives.get(at)
 
 
-def _pdf(data: bytes, at: int) -> int | None:
+def _pdf(data: bytes, at: int, places: Places) -> int | None:
     if not data[at + 5 : at + 6].isdigit():
         return None
-    end = data.find(b"%%EOF", at)
-    if end < 0 or data.find(b"startxref", at, end) < 0:
+    ends, tables, heads = (places.marks[k] for k in ("%%EOF", "startxref", "application/pdf"))
+    first, table, later = bisect_left(ends, at), bisect_left(tables, at), bisect_left(heads, at + 5)
+    if first == len(ends) or table == len(tables) or tables[table] + 9 > ends[first]:
         return None
-    later = data.find(b"%PDF-", at + 5)
-    last = data.rfind(b"%%EOF", at, later if later > end else len(data))
-    return last + 5 - at
+    # The last end mark before the next document counts.
+    stop = heads[later] if later < len(heads) and heads[later] > ends[first] else len(data)
+    return ends[bisect_right(ends, stop - 5) - 1] + 5 - at
 
 
-def _mp4(data: bytes, at: int) -> int | None:
+def _mp4(data: bytes, at: int, places: Places) -> int | None:
     p, kinds = at, []
     while p + 8 <= len(data):
         size, kind = int.from_bytes(data[p : p + 4], "big"), data[p + 4 : p + 8]
@@ -180,16 +232,17 @@ def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for kind, (magic, before) in MAGIC.items():
         found.add_word(magic.decode("latin-1"), (kind, before + len(magic) - 1))
+    for mark in ENDS:
+        found.add_word(mark, (mark, len(mark) - 1))
     found.make_automaton()
     return found
 
 
 def sniff(data: bytes) -> list[tuple[int, int, str]]:
     """Validated media in the bytes: (start, length, type), leftmost first, none inside another."""
-    out, free = [], 0
-    hits = sorted((end - back, kind) for end, (kind, back) in _automaton().iter(data.decode("latin-1")))
-    for start, kind in hits:
-        if start >= free and (size := VALIDATORS[kind](data, start)) is not None:
+    places, out, free = Places(data), [], 0
+    for start, kind in sorted((start, kind) for kind in MAGIC for start in places.marks[kind]):
+        if start >= free and (size := VALIDATORS[kind](data, start, places)) is not None:
             out.append((start, size, kind))
             free = start + size
     return out
@@ -202,15 +255,15 @@ def to_wav(payload: bytes, rate: int = 8000) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(form) + len(payload) + len(pad)) + b"WAVE" + form + payload + pad
 
 
-def from_wav(data: bytes) -> bytes:
-    """The samples of the data chunk."""
+def from_wav(data: bytes) -> bytes | None:
+    """The samples of the data chunk; None without one."""
     p = 12
     while p + 8 <= len(data):
         size = int.from_bytes(data[p + 4 : p + 8], "little")
         if data[p : p + 4] == b"data":
             return data[p + 8 : p + 8 + size]
         p += 8 + size + (size & 1)
-    raise ValueError("no data chunk")
+    return None
 
 
 def padded(raw: bytes) -> bytes:
@@ -266,7 +319,10 @@ def correct_types(df: DataFrame, media_col: str = "media", declared_col: str = "
 
 
 def carve(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per embedded medium (not at offset 0) of ``correct_types``: ``keep``, start, media_type, media."""
+    """One row per embedded medium (not at offset 0) of ``correct_types``: ``keep``, start, media_type, media.
+
+    Null media, and media with nothing inside, give no row; repeated rows give repeated media; other columns are left out.
+    """
     return df.selectExpr(*keep, "media AS _whole", "inline(found)").filter("start > 0").selectExpr(
         *keep, "start", "media_type", "substring(_whole, CAST(start + 1 AS INT), CAST(length AS INT)) AS media"
     )
@@ -277,16 +333,20 @@ def audio_features(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"))
 
     ``feature`` holds the sniffed type, whether the declared type was corrected, the number of media
     inside the samples or behind the audio, and of the samples the count, mean absolute level, peak and zero crossings around 128.
+    Null media, and media without a data chunk, have nulls for all of them; no samples have level, peak and
+    crossings 0. One row per input row, repeated rows included; an empty table gives an empty one.
     """
     rows = pick(df, **{k: k for k in keep}, media="media", media_type="media_type", corrected="corrected", found="found")
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in keep)
 
-    def row(media: bytes, kind: str, corrected: bool, found: list) -> tuple:
-        payload = from_wav(media)
+    def row(media: bytes | None, kind: str, corrected: bool, found: list | None) -> tuple:
+        payload = from_wav(media) if media else None
+        if payload is None:
+            return (None,) * 6
         level = np.frombuffer(payload, np.uint8).astype(np.int16) - 128
-        mean = int(np.abs(level).sum(dtype=np.int64)) * 1000 // len(level)
+        mean = int(np.abs(level).sum(dtype=np.int64)) * 1000 // max(len(level), 1)
         crossings = int(np.count_nonzero((level[1:] < 0) != (level[:-1] < 0)))
-        feature = f"type={kind};corrected={int(corrected)};embedded={len(sniff(payload)) + sum(f['start'] > 0 for f in found)};samples={len(level)};level={mean};peak={int(np.abs(level).max())};crossings={crossings}"
+        feature = f"type={kind};corrected={int(corrected)};embedded={len(sniff(payload)) + sum(f['start'] > 0 for f in found or [])};samples={len(level)};level={mean};peak={int(np.abs(level).max(initial=0))};crossings={crossings}"
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import io
 import random
 import re
 import struct
+import time
 import zipfile
 import zlib
 from collections import Counter
@@ -71,6 +72,64 @@ def test_formats_are_carved_with_their_lengths(kind):
         assert all(k != kind or n < len(data) for _, n, k in media.sniff(data[:cut]))
 
 
+def plain_zip(data, at):
+    ends = [p for p in range(at, len(data) - 21) if data[p : p + 4] == b"PK\x05\x06"]
+    for p in ends:
+        size, offset, comment = struct.unpack_from("<IIH", data, p + 12)
+        if at + offset + size == p and data[at + offset : at + offset + 4] == b"PK\x01\x02" and p + 22 + comment <= len(data):
+            return p + 22 + comment - at
+
+
+def plain_pdf(data, at):
+    end = data.find(b"%%EOF", at)
+    if not data[at + 5 : at + 6].isdigit() or end < 0 or data.find(b"startxref", at, end) < 0:
+        return None
+    later = data.find(b"%PDF-", at + 5)
+    return data.rfind(b"%%EOF", at, later if later > end else len(data)) + 5 - at
+
+
+def plain_gif(data, at):
+    table = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
+    if data[at + 4 : at + 6] not in (b"7a", b"9a") or at + 13 > len(data):
+        return None
+    p = at + 13 + table(data[at + 10])
+    while p < len(data) and data[p] in (0x21, 0x2C):
+        if data[p] == 0x2C and p + 10 >= len(data):
+            return None
+        p += 2 if data[p] == 0x21 else 11 + table(data[p + 9])
+        while p < len(data) and data[p]:
+            p += data[p] + 1
+        p += 1
+    return p + 1 - at if p < len(data) and data[p] == 0x3B else None
+
+
+def test_ends_found_in_one_pass_are_those_of_a_search_per_start():
+    pieces = [b"PK\x03\x04", b"PK\x05\x06", zipped(), zipped()[:-30], PDF, b"%PDF-1", b"%%EOF", b"startxref", gif(), gif()[:-3], b"GIF89aAAAAAAA!a", b"\0", b"; ", b",xy!"]
+    rng = random.Random(3)
+    for _ in range(300):
+        data = b"".join(rng.choices(pieces, k=rng.randint(1, 12)))
+        places = media.Places(data)
+        for kind, plain in (("application/zip", plain_zip), ("application/pdf", plain_pdf), ("image/gif", plain_gif)):
+            for at in places.marks[kind]:
+                assert media.VALIDATORS[kind](data, at, places) == plain(data, at), (data, at, kind)
+
+
+@pytest.mark.parametrize("piece", ["PK\x03\x04PK\x05\x06", "PK\x03\x04", "%PDF-1", "%PDF-1 startxref ", "GIF89aAAAAAAA!a", "PK\x05\x06" + "a" * 18])
+def test_texts_of_marks_take_linear_time(piece):
+    data = (piece * (1_000_000 // len(piece))).encode() + bytes(64)
+    began = time.process_time()
+    assert media.sniff(data) == []
+    assert time.process_time() - began < 5
+
+
+def test_media_without_samples(spark):
+    rows = [(1, None, "a/b", False, None), (2, b"no sound", "a/b", False, []), (3, media.to_wav(b""), "audio/wav", True, []), (3, media.to_wav(b""), "audio/wav", True, [])]
+    kinds = "doc_id long, media binary, media_type string, corrected boolean, found array<struct<start:bigint,length:bigint,media_type:string>>"
+    got = sorted((r.doc_id, r.payload_bytes, r.feature) for r in media.audio_features(spark.createDataFrame(rows, kinds), ("doc_id",)).collect())
+    empty = (3, 0, "type=audio/wav;corrected=1;embedded=0;samples=0;level=0;peak=0;crossings=0")
+    assert got == [(1, None, None), (2, None, None), empty, empty]
+
+
 def test_damaged_checksum_is_no_image():
     data = bytearray(png())
     data[20] ^= 1
