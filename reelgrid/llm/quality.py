@@ -120,7 +120,10 @@ def learned(positive: np.ndarray, unlabelled: np.ndarray, prior: float, how: Fit
 
 
 def sampled(docs: DataFrame, wanted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the positives and of the unlabelled texts among ``docs``; wanted: ``doc_id, positive, unlabelled``."""
+    """Features of the positives and of the unlabelled texts among ``docs``; wanted: ``doc_id, positive, unlabelled``.
+
+    An id that stands in several rows gives one text, that of the smallest hash, however many there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -128,7 +131,10 @@ def sampled(docs: DataFrame, wanted: DataFrame) -> tuple[np.ndarray, np.ndarray]
             yield pa.RecordBatch.from_arrays([part.column("positive"), part.column("unlabelled"), own], ["positive", "unlabelled", "features"])
 
     # At most as many rows as the two bounds of the fit, so it may be broadcast.
-    rows = docs.join(F.broadcast(wanted), "doc_id").select("positive", "unlabelled", "text")
+    # Every map task sends one text an id at most, whatever the number of its rows.
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")
+    found = docs.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "positive", "unlabelled").agg(least)
+    rows = found.select("positive", "unlabelled", F.col("least.text").alias("text"))
     got = rows.mapInArrow(run, "positive boolean, unlabelled boolean, features binary").toArrow()
     values = np.frombuffer(b"".join(got.column("features").to_pylist()), np.float32).reshape(-1, WIDTH)
     # Sums depend on the order of rows: one order for all partitionings.

@@ -271,6 +271,16 @@ def test_scores_of_messy_rows(spark, messy, nothing):
     assert {r.score for r in quality.classify(messy, labels.limit(0)).collect()} == {0.5}
 
 
+def test_an_id_on_many_rows_is_one_text_of_the_fit(spark):
+    wanted = spark.createDataFrame([(7, True, True), (8, False, True), (9, False, True)], "doc_id long, positive boolean, unlabelled boolean")
+    rows = [(7, f"text number {k} of a hot id") for k in range(2000)] + [(8, "one"), (8, "one"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    p, u = quality.sampled(docs.repartition(7), wanted)
+    assert (len(p), len(u)) == (1, 3)
+    again = quality.sampled(docs.coalesce(1), wanted)
+    assert (p == again[0]).all() and (u == again[1]).all()
+
+
 def test_risk_of_the_negative_class_stays_above_zero():
     rng = np.random.default_rng(4)
     p, n = rng.normal(1, 1, (50, quality.WIDTH)), rng.normal(-1, 1, (20, quality.WIDTH))
