@@ -203,7 +203,7 @@ def links(reps: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
     size, bands = how.band, how.hashes // how.band
     keys = F.expr(
         f"transform(sequence(0, {bands - 1}), i -> struct(cast(i as short) as band, "
-        f"cast(conv(hex(substring(signature, i * {size} + 1, {size})), 16, 10) as bigint) as key))"
+        f"xxhash64(substring(signature, i * {size} + 1, {size})) as key))"
     )
     rows = reps.select("id", F.inline(keys))
     several = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

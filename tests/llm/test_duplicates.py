@@ -74,6 +74,12 @@ def test_groups_of_graded_copies(spark, block):
     check_near(spark, list(enumerate(texts)), neardup.Similarity(block=block))
 
 
+@pytest.mark.parametrize("percent", [91, 95, 100])
+def test_high_similarities(spark, percent):
+    rng = random.Random(percent)
+    check_near(spark, list(enumerate(group(rng, 12, 200, 3))) + ROWS[:3], neardup.Similarity(percent=percent))
+
+
 def test_five_words_at_four_fifths(spark):
     rng = random.Random(5)
     check_near(spark, list(enumerate(group(rng, 50, 120, 6))), neardup.Similarity(shingle=5, percent=80))
