@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels
-from .order import CHUNK, Ordered, arrange, chunk_rows
+from ..session import materialise
+from .order import CHUNK, Ordered, arrange, chunk_rows, sequence
 from .ranges import rows_in_ranges
 
 RESULT = (
@@ -32,6 +33,7 @@ _FIELDS = pa.schema(
         ("duplicate_score", pa.float32()), ("status", pa.string()),
     ]
 )
+SCORES = ("motion", "similarity", "scene_score", "duplicate_score")
 BLOCK_BYTES = 32 << 20
 MAX_SIDE = 2048
 # A plane is thousands of times larger than a sample row, so chunks are smaller.
@@ -214,8 +216,11 @@ def analyse_ranges(
 ) -> DataFrame:
     """Samples of closed ranges; planes from ``preroll_ns`` earlier give the first row a neighbour.
 
-    One media may have several ranges; each is analysed on its own, so its first read row has no
-    scores even when another range covers the frame before it.
+    One media may have several ranges, overlapping or not. Each plane of their union is hashed and
+    compared once; a range takes those results where its own neighbour is the union's. The first row
+    read for a range has no scores even when another range covers the frame before it, and a range
+    whose times leave the order of the index has its other pairs compared apart. Only keys are
+    copied per range, never planes.
     """
     f = frames.where(F.col("pt_ns").isNotNull())
     wide = ranges.select(
@@ -226,17 +231,41 @@ def analyse_ranges(
     picked = rows_in_ranges(
         f.select("media_id", "presentation_index", "pt_ns"), wide, "pt_ns", "read_start", "want_end"
     )
-    # Ranges are analysed apart: the pair (media, range) takes the place of the media.
-    tagged = picked.withColumn("_media", F.to_json(F.array("media_id", "range_id")))
-    cut = planes.join(tagged.select("media_id", "presentation_index", "_media"), ["media_id", "presentation_index"])
-    analysed = analyse_planes(cut.drop("media_id").withColumnRenamed("_media", "media_id"))
-    keep = tagged.where(F.col("pt_ns") >= F.col("want_start")).select(
-        F.col("_media"), "presentation_index", "media_id", "range_id"
-    )
-    out = analysed.withColumnRenamed("media_id", "_media").join(keep, ["_media", "presentation_index"]).drop("_media")
+    sides = valid_planes(planes).select("media_id", "presentation_index", "width", "height")
+    read = picked.select("media_id", "range_id", "presentation_index", (F.col("pt_ns") >= F.col("want_start")).alias("_wanted"))
+    read = read.join(sides, ["media_id", "presentation_index"])
+    own = arrange(read, keys=("media_id", "range_id"), order=("presentation_index",))
+    rows = materialise(sequence(own, ["presentation_index", "width", "height"], pos=False, prev=True).plain())
+    union = arrange(rows.select("media_id", "presentation_index").distinct(), order=("presentation_index",))
+    steps = sequence(union, ["presentation_index"], pos=False, prev=True, names=("_pos", "_near", "_next")).plain()
+
+    before = F.col("_prev.presentation_index")
+    same_size = (F.col("_prev.width") == F.col("width")) & (F.col("_prev.height") == F.col("height"))
+    status = F.when(before.isNull(), "first").when(same_size, "scored").otherwise("geometry_mismatch")
+    rows = rows.where("_wanted").withColumn("status", status)
+    rows = rows.join(steps, ["media_id", "presentation_index"])
+    rows = rows.withColumn("_apart", (F.col("status") == "scored") & ~before.eqNullSafe(F.col("_near.presentation_index")))
+    rows = rows.select("media_id", "range_id", "presentation_index", before.alias("_before"), "status", "_apart")
+
+    once = analyse_planes(planes.join(steps.select("media_id", "presentation_index"), ["media_id", "presentation_index"], "left_semi"))
+    out = rows.join(once.drop("status"), ["media_id", "presentation_index"])
+    odd = _pairs_apart(planes, rows.where("_apart").select("media_id", "presentation_index", "_before").distinct())
+    out = out.join(odd, ["media_id", "presentation_index", "_before"], "left")
+    score = lambda c: F.when(F.col("status") == "scored", F.when(F.col("_apart"), F.col(f"_{c}")).otherwise(F.col(c)))
+    out = out.withColumns({c: score(c) for c in SCORES}).drop("_before", "_apart", *[f"_{c}" for c in SCORES])
     return assemble_samples(out, frames)
 
 
+def _pairs_apart(planes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Scores (as ``_motion`` and so on) of given pairs of frames (media_id, presentation_index, _before)."""
+    named = pairs.withColumn("_pair", F.to_json(F.array("media_id", F.col("presentation_index").cast("string"), F.col("_before").cast("string"))))
+    both = named.select("media_id", "_pair", F.explode(F.array("presentation_index", "_before")).alias("presentation_index"))
+    cut = planes.join(both, ["media_id", "presentation_index"])
+    analysed = analyse_planes(cut.drop("media_id").withColumnRenamed("_pair", "media_id"))
+    scores = analysed.select(F.col("media_id").alias("_pair"), "presentation_index", *[F.col(c).alias(f"_{c}") for c in SCORES])
+    return named.join(scores, ["_pair", "presentation_index"]).drop("_pair")
+
+
 def equal_images(pairs: DataFrame) -> DataFrame:
     """pairs (a_*, b_*) + ``equal``: same geometry, same format, same packed bytes."""
     same = F.lit(True)

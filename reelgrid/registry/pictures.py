@@ -191,6 +191,34 @@ def analyse_ranges(spark, folder):
     return out.select("media_id", "presentation_index", dbl("motion", 5).alias("motion"))
 
 
+@query(
+    "analyse_overlapping_ranges",
+    with_(
+        PAIRED,
+        "rg AS (SELECT media_id, 'r' || k AS range_id, n * k // 20 AS s, n * 3 // 4 AS e FROM (SELECT media_id, MAX(idx) AS n FROM vec GROUP BY 1), range(10) t(k))",
+    )
+    + """SELECT media_id, range_id, idx AS presentation_index, h AS perceptual_hash,
+      CASE WHEN idx > s THEN ROUND(CAST(CAST(motion AS FLOAT) AS DOUBLE), 5) END AS motion
+    FROM (SELECT media_id, idx, motion, ph AS h FROM sc) JOIN rg USING (media_id) WHERE idx BETWEEN s AND e""",
+)
+def analyse_overlapping_ranges(spark, folder):
+    """Ten ranges of every media that overlap each other, each without context before it."""
+    p = planes(spark, folder)
+    frames = p.select(
+        "media_id", "presentation_index", F.col("presentation_index").alias("pts"),
+        (F.col("presentation_index") * 40_000_000).alias("pt_ns"),
+        F.lit(40_000_000).cast("bigint").alias("duration_ns"), F.lit(False).alias("key_frame"),
+    )
+    last = p.groupBy("media_id").agg(F.max("presentation_index").alias("n"))
+    many = last.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    ranges = many.select(
+        "media_id", F.concat(F.lit("r"), "k").alias("range_id"), (F.expr("n * k div 20") * 40_000_000).alias("start_ns"),
+        (F.expr("n * 3 div 4") * 40_000_000).alias("end_ns"),
+    )
+    out = M.analyse_ranges(p, frames, ranges, 0)
+    return out.select("media_id", "range_id", "presentation_index", "perceptual_hash", dbl("motion", 5).alias("motion"))
+
+
 HASHES = """
 vec AS (SELECT CAST(label AS VARCHAR) AS media_id, ROW_NUMBER() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx,
                vec_id, embedding FROM embeddings),

@@ -155,6 +155,36 @@ def test_frame_scores(spark):
     assert got[0].perceptual_hash != got[2].perceptual_hash
 
 
+@pytest.mark.parametrize("chunk", [None, "3"])
+def test_ranges_compare_each_plane_once(spark, chunk):
+    """Overlapping and single-frame ranges, times out of the order of the index, a plane of another size."""
+    times = [0, 1, 2, 9, 3, 4, 5, 6, 7, 8, 10, 11]
+    datas = [(4, 4, bytes([17 * i % 251] * 8 + [5 * i] * 8)) for i in range(12)]
+    datas[6] = (2, 8, datas[6][2])
+    spans = {"all": (0, 11, 0), "early": (0, 8, 0), "late": (3, 9, 0), "one": (5, 5, 0), "back": (6, 4, 0)}
+    frames = spark.createDataFrame(
+        [("m", i, t, t, 1, False) for i, t in enumerate(times)], "media_id string, presentation_index bigint, pts bigint, pt_ns bigint, duration_ns bigint, key_frame boolean"
+    )
+    ranges = spark.createDataFrame([("m", k, a, b) for k, (a, b, _) in spans.items()], "media_id string, range_id string, start_ns bigint, end_ns bigint")
+    if chunk:
+        spark.conf.set("reelgrid.chunk.rows", chunk)
+    try:
+        for preroll in (0, 2):
+            got = {(r.range_id, r.presentation_index): r.motion for r in metrics.analyse_ranges(planes(spark, datas), frames, ranges, preroll).collect()}
+            want = {}
+            for name, (a, b, _) in spans.items():
+                a, b = min(a, b), max(a, b)
+                read = [i for i, t in enumerate(times) if max(a - preroll, 0) <= t <= b]
+                for i, before in zip(read, [None, *read]):
+                    if times[i] < a or (before is not None and datas[i][:2] != datas[before][:2]):
+                        continue
+                    pair = zip(datas[i][2], datas[before][2]) if before is not None else ()
+                    want[name, i] = None if before is None else pytest.approx(sum(abs(x - y) for x, y in pair) / (255 * 16), abs=1e-6)
+            assert got == want
+    finally:
+        spark.conf.unset("reelgrid.chunk.rows")
+
+
 def plain_fnv(data, w, h):
     x = 14695981039346656037
     mixed = list(data) + [b for s in (0, 8, 16, 24) for b in ((w >> s) & 255, (h >> s) & 255)]

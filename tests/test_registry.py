@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the given tab
 CHUNKED = [
     "lod_levels", "scenes", "repeat_seeds", "asof_nearest", "keyframe_neighbours", "range_summary",
     "frame_metrics", "frame_range_plan", "keyframe_plan", "first_rows_in_ranges", "single_frame", "seek_percentiles", "presentation_order",
-    "rows_in_ranges", "lod_deep", "context_window", "analyse_ranges",
+    "rows_in_ranges", "lod_deep", "context_window", "analyse_ranges", "analyse_overlapping_ranges",
 ]
 
 
