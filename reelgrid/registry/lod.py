@@ -8,7 +8,8 @@ from .. import adapters as A
 from ..config import LodConfig
 from ..functions.scores import combined_score, heatmap_average, heatmap_peak
 from ..operators import lod as L
-from ..session import materialise
+from ..session import materialise, scratch
+from ..sources import tables as IO
 from .base import EVENTS, GEOMETRY, LOD, combined_sql, dbl, query, samples, with_
 
 
@@ -51,6 +52,19 @@ def lod_levels(spark, folder):
     )
 
 
+@query("stored_lod", with_(EVENTS, GEOMETRY) + "SELECT media_id, level, bucket, sample_count + CASE WHEN level = 1 THEN 1000 ELSE 0 END AS sample_count FROM acc")
+def stored_lod(spark, folder):
+    """All levels stored, the second replaced, and then a version of wrong rows that was not published."""
+    s = samples(spark, folder)
+    rows = L.build_lod(s, geometry(s), LOD).select("media_id", "level", "bucket", "sample_count")
+    path = scratch(spark, "lod")
+    IO.write_results(rows, path, by=("level",), order=("bucket",), whole=True)
+    more = IO.read_results(spark, path).where("level = 1").withColumn("sample_count", F.col("sample_count") + 1000)
+    IO.write_results(more, path, by=("level",), order=("bucket",))
+    IO.write_results(rows.withColumn("sample_count", F.lit(-1).cast("bigint")), path, by=("level",), order=("bucket",), publish=False)
+    return IO.read_results(spark, path).select("media_id", F.col("level").cast("bigint").alias("level"), "bucket", "sample_count")
+
+
 DEEP = GEOMETRY.replace("LEAST(n, 64) AS t", "60000 AS t").replace("generate_series(0, 4)", "generate_series(0, 8)")
 
 

@@ -15,6 +15,8 @@ from ..plans import requests as Q
 from ..plans import selection as P
 from ..plans import sheets as H
 from ..plans import strips as W
+from ..session import scratch
+from ..sources import tables as IO
 from .base import BRACKET, EVENTS, PROBES, RANGES, known, probes, query, ranges, samples, with_
 from .detections import SCENES, _recursive
 from .lookups import CUT
@@ -118,6 +120,23 @@ def manifest(spark, folder):
     return X.manifest(P.range_plan(r, s), r).select("request_id", "file_name")
 
 
+@query(
+    "stored_manifest",
+    with_(EVENTS, RANGES, REQUESTS, PLAN.format(which="c % every_n = 0"))
+    + "SELECT request_id, COUNT(*) AS files, MAX(seq) AS last FROM chosen WHERE seq <= max_frames GROUP BY 1",
+)
+def stored_manifest(spark, folder):
+    """Manifests stored twice, whole, the first time with other names, and once more without being published."""
+    s = samples(spark, folder)
+    r, _ = requests(spark, folder, s)
+    rows = X.manifest(P.range_plan(r, s), r).withColumn("kind", F.lit("png"))
+    path = scratch(spark, "manifest")
+    IO.write_results(rows.withColumn("kind", F.lit("old")), path, whole=True)
+    IO.write_results(rows, path, order=("seq",), whole=True)
+    IO.write_results(rows, path, order=("seq",), publish=False)
+    return IO.read_results(spark, path).groupBy("request_id").agg(F.count(F.lit(1)).alias("files"), F.max("seq").cast("bigint").alias("last"))
+
+
 @query(
     "manifest_summary",
     with_(EVENTS, RANGES, REQUESTS, PLAN.format(which="c % every_n = 0"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..operators import detect as D
+from ..schemas import SCHEMAS
 from ..session import materialise, scratch
+from ..sources.tables import stream_samples
 from ..streaming import progressive as P
 from ..streaming import stateful as S
 from ..streaming.replay import latest, replay
@@ -171,6 +173,21 @@ def stream_ingest(spark, folder):
     return P.merged_samples(spark, path).select("media_id", "presentation_index", "pt_ns")
 
 
+@query("stream_source", with_(EVENTS) + "SELECT media_id, COUNT(*) AS rows, MAX(pt_ns) AS last_ns FROM samples GROUP BY 1")
+def stream_source(spark, folder):
+    """Samples read from their folder as they arrive, a few files at a time, and stored by ingest."""
+    path, state, source = (scratch(spark, n) for n in ("table", "state", "source"))
+    schema = spark.createDataFrame([], SCHEMAS["samples"]).schema
+    rows = samples(spark, folder).plain()
+    given = [F.col(f.name) if f.name in rows.columns else F.lit(None) for f in schema]
+    for part in range(2):
+        arrived = rows.where(F.col("presentation_index") % 2 == part)
+        arrived.select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(given, schema)]).write.mode("append").parquet(source)
+        stream = P.ingest(stream_samples(spark, source, 3), path)
+        stream.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return P.merged_samples(spark, path).groupBy("media_id").agg(F.count(F.lit(1)).alias("rows"), F.max("pt_ns").alias("last_ns"))
+
+
 @query("stream_redetection", _recursive(EVENTS, SCENES) + f"SELECT {COLUMNS} FROM ({SCENE_ROWS})")
 def stream_redetection(spark, folder):
     """Scenes of a table that grows in five arrivals, detected again when it has grown enough."""

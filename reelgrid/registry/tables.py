@@ -12,6 +12,7 @@ from ..functions import timebase as B
 from ..operators import markers as K
 from ..operators import samples as U
 from ..operators import telemetry as T
+from ..schemas import SCHEMAS
 from ..session import scratch
 from ..sources import tables as IO
 from .base import DETECT, EVENTS, RANGES, dbl, known, query, ranges, samples, with_
@@ -482,7 +483,35 @@ def stored_detections(spark, folder):
     IO.write_results(rows, path, order=("start_ns",))
     IO.write_results(rows.where("kind = 'freeze'").withColumn("start_ns", F.lit(-1).cast("bigint")), path, order=("start_ns",))
     kept = F.when(F.min("start_ns") >= 0, 1000).otherwise(0)
-    return spark.read.parquet(path).groupBy("media_id", "kind").agg((F.count(F.lit(1)) + kept).alias("n"))
+    return IO.read_results(spark, path).groupBy("media_id", "kind").agg((F.count(F.lit(1)) + kept).alias("n"))
+
+
+@query(
+    "stored_media",
+    "SELECT CAST(user_id AS VARCHAR) AS media_id, COUNT(*) AS declared_frames FROM events WHERE user_id % 5 <> 0 GROUP BY 1",
+)
+def stored_media(spark, folder):
+    """A stored catalogue read back; every fifth media has no usable time base."""
+    counts = samples(spark, folder).plain().groupBy("media_id").agg(F.count(F.lit(1)).alias("declared_frames"))
+    base = F.struct(F.lit(1).alias("num"), F.when(F.col("media_id").cast("bigint") % 5 == 0, 0).otherwise(1000).cast("int").alias("den"))
+    given = {"declared_frames": F.col("declared_frames"), "media_id": F.col("media_id"), "time_base": base}
+    schema = spark.createDataFrame([], SCHEMAS["media"]).schema
+    path = scratch(spark, "media")
+    counts.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(path)
+    return IO.read_media(spark, path).select("media_id", "declared_frames")
+
+
+@query("stored_planes", "SELECT CAST(label AS VARCHAR) AS media_id, COUNT(*) AS planes FROM embeddings WHERE vec_id % 10 <> 0 GROUP BY 1")
+def stored_planes(spark, folder):
+    """Planes written and read back; every tenth is cut short, and so not valid."""
+    e = A.load(spark, folder, "embeddings")
+    rows = e.select(
+        F.col("label").cast("string").alias("media_id"), F.col("vec_id").alias("presentation_index"), F.lit(8).alias("width"), F.lit(8).alias("height"),
+        F.lit(1).alias("channels"), F.expr("cast(repeat('p', IF(vec_id % 10 = 0, 63, 64)) AS binary)").alias("data"),
+    )
+    path = scratch(spark, "planes")
+    IO.write_planes(rows, path)
+    return IO.read_planes(spark, path).groupBy("media_id").agg(F.count(F.lit(1)).alias("planes"))
 
 
 @query("presentation_order", with_(EVENTS) + "SELECT media_id, presentation_index, pts FROM samples")

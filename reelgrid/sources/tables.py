@@ -6,11 +6,13 @@ reads prune row groups; planes are kept apart and clustered by (media_id, presen
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..config import ALGORITHM_VERSION, SCHEMA_VERSION
 from ..functions import metadata as M
@@ -21,6 +23,8 @@ from ..schemas import SCHEMAS
 from ..session import materialise
 
 UNKNOWN = -1
+VERSION = "result_version"
+VERSIONS = f"{VERSION} string, published bigint, whole boolean, schema string, parts string, by string"
 
 
 def _read(spark: SparkSession, path: str, table: str, fmt: str) -> DataFrame:
@@ -150,21 +154,66 @@ def pending_media(media: DataFrame, status: DataFrame) -> DataFrame:
     return with_fingerprint(media).join(done, ["media_id", "fingerprint"], "left_anti").drop("fingerprint")
 
 
-def write_results(df: DataFrame, path: str, by: tuple[str, ...] = ("kind",), order: tuple[str, ...] = ()) -> None:
-    """Detections, LOD or manifests, partitioned by a column of few values.
+def write_results(
+    df: DataFrame, path: str, by: tuple[str, ...] = ("kind",), order: tuple[str, ...] = (), whole: bool = False, publish: bool = True
+) -> str:
+    """Detections, LOD or manifests as a new version, partitioned by columns of few values; returns its id.
 
-    Only the partitions present in ``df`` are overwritten. Inside them rows are sorted by media, so
+    A version is written under its own id and published last, by one small file in ``versions``, so a
+    reader sees all of it or nothing, and files it reads are never replaced. A version replaces the
+    partitions present in it; with ``whole`` it replaces everything before it, also when it is empty.
+    ``publish=False`` leaves that to ``publish_results``. Inside a partition rows are sorted by media, so
     reads of one media prune row groups; a folder per media would make millions of small files.
     """
+    version = uuid.uuid4().hex
     keys = [*by, "media_id", *order]
+    stamped = df.withColumn(VERSION, F.lit(version))
     (
-        df.repartitionByRange(*keys)
+        stamped.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*by)
-        .parquet(path)
+        .write.mode("append")
+        .partitionBy(VERSION, *by)
+        .parquet(f"{path}/data")
     )
+    if publish:
+        publish_results(df.sparkSession, path, version, stamped.schema, by, whole)
+    return version
+
+
+def publish_results(spark: SparkSession, path: str, version: str, schema: StructType, by: tuple[str, ...] = ("kind",), whole: bool = False) -> None:
+    """Make a written version visible. ``schema``: that of its rows."""
+    if VERSION not in schema.names:
+        schema = StructType([*schema.fields, StructField(VERSION, StringType())])
+    written = spark.read.schema(schema).parquet(f"{path}/data").where(F.col(VERSION) == version)
+    parts = written.select(*by).distinct().agg(F.collect_list(F.struct(*by)).alias("parts")) if by else None
+    parts = parts if parts is not None else spark.range(1).select(F.array().cast("array<struct<_:int>>").alias("parts"))
+    parts.select(
+        F.lit(version).alias(VERSION), F.lit(time.time_ns()).alias("published"), F.lit(whole or not by).alias("whole"),
+        F.lit(schema.json()).alias("schema"), F.to_json("parts").alias("parts"), F.lit(",".join(by)).alias("by"),
+    ).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The published rows: of every partition, those of the latest version that has it."""
+    versions = spark.read.schema(VERSIONS).parquet(f"{path}/versions")
+    latest = F.struct("published", VERSION)
+    # Two rows at most: the newest version and the newest that replaced everything.
+    heads = versions.agg(F.max_by(F.struct("schema", "by"), latest).alias("last"), F.max(F.when(F.col("whole"), latest)).alias("floor")).first()
+    schema = StructType.fromJson(json.loads(heads["last"]["schema"]))
+    by = [c for c in heads["last"]["by"].split(",") if c]
+    live = versions
+    if heads["floor"] is not None:
+        live = versions.where(latest >= F.struct(F.lit(heads["floor"]["published"]), F.lit(heads["floor"][VERSION])))
+    rows = spark.read.schema(schema).parquet(f"{path}/data")
+    if not by:
+        return rows.join(live.orderBy(F.desc("published"), F.desc(VERSION)).limit(1).select(VERSION), VERSION, "left_semi").drop(VERSION)
+    kinds = StructType([schema[c] for c in by])
+    each = live.select(VERSION, "published", F.inline(F.from_json("parts", ArrayType(kinds))))
+    newest = each.groupBy(*by).agg(F.max_by(VERSION, latest).alias(VERSION)).select(VERSION, *[F.col(c).alias(f"_{c}") for c in by])
+    match = rows[VERSION] == newest[VERSION]
+    for c in by:
+        match = match & rows[c].eqNullSafe(newest[f"_{c}"])
+    return rows.join(newest, match, "left_semi").drop(VERSION)
 
 
 def stream_samples(spark: SparkSession, path: str, files_per_trigger: int = 32) -> DataFrame:

@@ -47,3 +47,43 @@ def test_media_with_an_invalid_sample_are_kept_apart(spark, tmp_path):
     IO.write_samples(rows(spark, "a", 4).unionByName(bad), media, path)
     assert IO.read_samples(spark, media, path).count() == 4
     assert spark.read.parquet(f"{path}/quarantine").count() == 2
+
+
+def results(spark, *rows):
+    return spark.createDataFrame(rows, "media_id string, kind string, n long")
+
+
+def seen(spark, path):
+    return sorted(((r.media_id, r.kind, r.n) for r in IO.read_results(spark, path).collect()), key=repr)
+
+
+def test_versions_of_results_replace_their_partitions(spark, tmp_path):
+    path = str(tmp_path / "results")
+    IO.write_results(results(spark, ("a", "1", 1), ("b", "1", 2), ("a", "02", 3), ("c", None, 4)), path)
+    assert seen(spark, path) == [("a", "02", 3), ("a", "1", 1), ("b", "1", 2), ("c", None, 4)]
+    before = IO.read_results(spark, path)
+    IO.write_results(results(spark, ("d", "1", 5), ("d", None, 6)), path)
+    assert seen(spark, path) == [("a", "02", 3), ("d", "1", 5), ("d", None, 6)]
+    assert before.count() == 4  # files under a reader stay
+    IO.write_results(results(spark), path)
+    assert len(seen(spark, path)) == 3
+    IO.write_results(results(spark, ("e", "1", 7)), path, whole=True)
+    assert seen(spark, path) == [("e", "1", 7)]
+    IO.write_results(results(spark), path, whole=True)
+    assert seen(spark, path) == []
+
+
+def test_a_version_is_invisible_until_published(spark, tmp_path):
+    path, later = str(tmp_path / "results"), results(spark, ("a", "x", 2), ("b", "x", 3))
+    IO.write_results(results(spark, ("a", "x", 1)), path)
+    version = IO.write_results(later, path, publish=False)
+    assert seen(spark, path) == [("a", "x", 1)]
+    IO.publish_results(spark, path, version, later.schema)
+    assert seen(spark, path) == [("a", "x", 2), ("b", "x", 3)]
+
+
+def test_results_without_partitions_are_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "results")
+    for n in (1, 2):
+        IO.write_results(results(spark, *[(m, "x", n) for m in "abc"]), path, by=())
+    assert seen(spark, path) == [("a", "x", 2), ("b", "x", 2), ("c", "x", 2)]
