@@ -198,6 +198,28 @@ def block_links(ids: np.ndarray, labels: np.ndarray, signatures: np.ndarray, ite
     return out
 
 
+def meetings(label: DataFrame, how: Similarity) -> DataFrame:
+    """Where the members (``band, key, id, n, label``) of buckets of several labels meet: ``x, y, second``.
+
+    Each pair of blocks meets once; a bucket of at most ``block`` members has the single pair (0, 0). In a
+    larger one the members of its most frequent label need not meet each other, so they have blocks of
+    their own, which meet the blocks of the others only: a large group with a few strangers is sent once
+    for every block of strangers.
+    """
+    mixed_ = label.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    shares = label.filter(F.col("n") > how.block).groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = shares.groupBy("band", "key").agg(F.max(F.struct("c", (-F.col("label")).alias("l"))).alias("m"))
+    main = main.select("band", "key", (-F.col("m.l")).alias("main"), F.col("m.c").alias("c"))
+    open_ = label.join(mixed_, ["band", "key"]).join(main, ["band", "key"], "left")
+    others, own = (F.ceil(size / how.block).cast("int") for size in (F.col("n") - F.col("c"), F.col("c")))
+    place = lambda of: F.pmod(F.xxhash64("id"), of).cast("int")
+    is_main, small = F.col("label") == F.col("main"), F.col("main").isNull()
+    open_ = open_.withColumn("block", F.when(small, 0).when(is_main, others + place(own)).otherwise(place(others)))
+    open_ = open_.withColumn("last", F.when(small, 0).when(is_main, others - 1).otherwise(others + own - 1))
+    meet = F.expr("transform(sequence(0, last), o -> struct(least(block, o) as x, greatest(block, o) as y, block > o as second))")
+    return open_.select("band", "key", "id", "label", F.inline(meet))
+
+
 def links(reps: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
     """Edges ``a, b`` that connect all linked sets. reps: ``id, signature``; texts: ``id, text``."""
     size, bands = how.band, how.hashes // how.band
@@ -233,13 +255,7 @@ def links(reps: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
     # Buckets that still hold several labels, in blocks of members ordered by label.
     label = crowd.join(stars.select(F.col("a").alias("id"), F.col("b").alias("_l")), "id", "left")
     label = label.withColumn("label", F.coalesce("_l", "id")).drop("_l")
-    mixed_ = label.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    open_ = label.join(mixed_, ["band", "key"])
-    blocks = F.ceil(F.col("n") / how.block).cast("int")
-    open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # Each pair of blocks meets once; a bucket of one block has the single pair (0, 0).
-    meet = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(block, o) as x, greatest(block, o) as y, block > o as second))")
-    sent = open_.select("band", "key", "id", "label", F.inline(meet)).join(sets, "id")
+    sent = meetings(label, how).join(sets, "id")
     looks = how.least_matches()
 
     def run(key: tuple, frame: pa.Table) -> pa.Table:

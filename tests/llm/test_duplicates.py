@@ -74,6 +74,35 @@ def test_groups_of_graded_copies(spark, block):
     check_near(spark, list(enumerate(texts)), neardup.Similarity(block=block))
 
 
+def test_large_buckets_with_strangers(spark):
+    """One group above the block, another that shares its passages, and single texts near both."""
+    rng = random.Random(9)
+    base = [f"v{rng.randrange(5000)}" for _ in range(80)]
+    edit = lambda words, n: [f"e{rng.randrange(10**6)}" if i in places else w for places in [set(rng.sample(range(80), n))] for i, w in enumerate(words)]
+    other = base[:40] + [f"w{rng.randrange(5000)}" for _ in range(40)]
+    texts = [" ".join(edit(base, rng.randrange(3))) for _ in range(60)] + [" ".join(edit(other, rng.randrange(3))) for _ in range(20)]
+    texts += [" ".join(edit(base, n)) for n in (2, 3, 4, 5)] + [" ".join(base[:k] + other[k:]) for k in (45, 60, 75)]
+    rng.shuffle(texts)
+    check_near(spark, list(enumerate(texts)), neardup.Similarity(block=6))
+
+
+def test_a_large_group_meets_strangers_only(spark):
+    how = neardup.Similarity(block=16)
+    rows = [(0, 7, i, 1003, 5) for i in range(1000)] + [(0, 7, 2000 + i, 1003, 2000 + i) for i in range(3)]
+    rows += [(1, 7, i, 4, i // 2) for i in range(4)] + [(2, 7, i, 9, 3) for i in range(9)]
+    sent = neardup.meetings(spark.createDataFrame(rows, "band int, key long, id long, n long, label long"), how).collect()
+    groups = {}
+    for r in sent:
+        groups.setdefault((r.band, r.x, r.y), []).append(r)
+    met = set()
+    for (band, x, y), members in groups.items():
+        for a in members:
+            met |= {(band, min(a.id, b.id), max(a.id, b.id)) for b in members if a.label != b.label and (x == y or a.second != b.second)}
+    want = {(0, i, 2000 + j) for i in range(1000) for j in range(3)} | {(0, 2000, 2001), (0, 2000, 2002), (0, 2001, 2002)}
+    want |= {(1, i, j) for i in (0, 1) for j in (2, 3)}
+    assert met == want and sum(r.band == 0 for r in sent) == 1000 + 3 * (1 + 63)
+
+
 @pytest.mark.parametrize("percent", [91, 95, 100])
 def test_high_similarities(spark, percent):
     rng = random.Random(percent)
