@@ -14,7 +14,7 @@ from ..operators.lod import SCORES, bucket_of
 from ..operators.samples import latest_by_identity
 from ..config import SECOND
 from ..functions.scores import unit
-from .stateful import ClosingBuckets, distinct_identities
+from .stateful import ClosingBuckets, distinct_identities, stateful
 
 EVENT_TIME = "event_time"
 ARRIVAL = "arrival_time"
@@ -39,13 +39,35 @@ def dedup_stream(samples: DataFrame, delay: str = "10 minutes", wait_ms: int = 1
     is far ahead. No row is ever late. ``arrival``: the column that holds it, by default the time of processing.
     """
     known = F.coalesce(F.col("presentation_index") >= 0, F.lit(False))
-    timed = samples.withColumn(ARRIVAL, F.current_timestamp() if arrival is None else F.col(arrival))
+    timed = samples.withColumn(ARRIVAL, F.current_timestamp() if arrival is None else F.col(arrival)).withWatermark(ARRIVAL, delay)
+    if arrival is not None:
+        return _distinct_by_arrival(timed.drop(arrival), known, delay, wait_ms)
     # One dropping operator for both kinds: a row without index is told by its own times and timestamp.
     keys = {"_index": F.when(known, F.col("presentation_index")), "_at": F.when(~known, F.col("pt_ns")), "_pts": F.when(~known, F.col("pts"))}
-    once = timed.withWatermark(ARRIVAL, delay).withColumns(keys).dropDuplicatesWithinWatermark(["media_id", *keys])
-    if arrival is None:
-        return distinct_identities(once.drop(*keys, ARRIVAL), None, None, wait_ms)
-    return distinct_identities(once.drop(*keys, arrival), ARRIVAL, None, wait_ms)
+    once = timed.withColumns(keys).dropDuplicatesWithinWatermark(["media_id", *keys])
+    return distinct_identities(once.drop(*keys, ARRIVAL), None, None, wait_ms)
+
+
+# What has been seen with an index is forgotten this long after the clock has passed it.
+KEEP_MS = 600_000
+
+
+def _distinct_by_arrival(timed: DataFrame, known: Column, delay: str, wait_ms: int) -> DataFrame:
+    """``dedup_stream`` by an arrival column: drops and waiting are joins and drops of Spark, whose clock is the watermark.
+
+    A row without an index waits in an outer join for an indexed one of its time and stream timestamp, which
+    may have come before it too; rows of no media only move the clock on.
+    """
+    # A condition on the arrival stays above the watermark, which rows of no media must reach.
+    when = lambda kind: F.when(F.col(ARRIVAL) > F.timestamp_millis(F.lit(-(10**14))), F.col("media_id").isNotNull() & kind)
+    indexed, bare = timed.where(when(known)), timed.where(when(~known))
+    passed = indexed.dropDuplicatesWithinWatermark(["media_id", "presentation_index"]).drop(ARRIVAL)
+    waiting = bare.dropDuplicatesWithinWatermark(["media_id", "pt_ns", "pts"]).alias("w")
+    seen = indexed.select("media_id", "pt_ns", "pts", F.col(ARRIVAL).alias("_seen")).alias("i")
+    near = F.expr(f"_seen <= w.{ARRIVAL} + interval {wait_ms} milliseconds and w.{ARRIVAL} <= _seen + interval {delay} + interval {KEEP_MS} milliseconds")
+    same = (F.col("w.media_id") == F.col("i.media_id")) & F.col("w.pt_ns").eqNullSafe(F.col("i.pt_ns")) & F.col("w.pts").eqNullSafe(F.col("i.pts"))
+    alone = waiting.join(seen, same & near, "left_outer").where("_seen is null")
+    return passed.unionByName(alone.select("w.*").drop(ARRIVAL))
 
 
 def merged_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -114,10 +136,10 @@ def next_detection(total: int) -> int:
     return total + max(128, total // 4)
 
 
-def _bucketed(stream: DataFrame, geometry: DataFrame, *more: str) -> DataFrame:
+def _bucketed(stream: DataFrame, geometry: DataFrame, *more: str, how: str = "inner") -> DataFrame:
     slim = stream.select("media_id", "pt_ns", *more, *SCORES.values())
     bucket = bucket_of(F.col("pt_ns"), F.col("duration_ns"), F.col("span_ns"), F.col("buckets"))
-    return slim.join(geometry, "media_id").withColumn("bucket", bucket)
+    return slim.join(geometry, "media_id", how).withColumn("bucket", bucket)
 
 
 def _sums() -> list[Column]:
@@ -153,13 +175,18 @@ def closed_lod(
     nothing. Rows for a closed bucket come as one more set of sums, marked late; sums of all sets are the bucket.
     Rows are summed in each partition first, so that a media with most of the rows reaches its state as few.
     """
-    timed = stream if arrival is None else stream.withWatermark(arrival, arrival_delay)
     ms = F.lit(0).cast("bigint") if arrival is None else F.unix_millis(arrival)
-    rows = timed.withColumn("arrived_ms", ms)
+    rows = stream.withColumn("arrived_ms", ms)
     kept = ["arrived_ms", *([arrival] if arrival else [])]
     geometry = geometry.select("media_id", "duration_ns", "span_ns", "buckets")
-    known = _bucketed(rows, geometry, *kept)
-    end = F.least((F.col("bucket") + 1) * F.col("span_ns"), F.col("duration_ns"))
+    # Rows of unknown media move the clock on as rows of none.
+    placed = _bucketed(rows, geometry, *kept, how="inner" if arrival is None else "left")
+    unknown = F.col("span_ns").isNull()
+    known = placed.withColumns({
+        "media_id": F.when(~unknown, F.col("media_id")), "bucket": F.when(unknown, F.lit(0)).otherwise(F.col("bucket")),
+        "pt_ns": F.when(unknown, F.lit(0)).otherwise(F.col("pt_ns")),
+    })
+    end = F.when(unknown, F.lit(0)).otherwise(F.least((F.col("bucket") + 1) * F.col("span_ns"), F.col("duration_ns")))
     scores = [F.when(F.col(c).isNotNull(), unit(F.col(c))).cast("double").alias(n) for n, c in SCORES.items()]
     slim = known.select("media_id", "bucket", end.alias("end_ns"), "pt_ns", *kept, *scores)
     names = [c.split()[0] for c in CLOSED.split(", ")][2:-1]
@@ -172,12 +199,12 @@ def closed_lod(
                 aggs |= {f"{n}_{f}": (n, f) for f in ("count", "sum", "min", "max")}
             if arrival:
                 aggs[arrival] = (arrival, "max")
-            yield batch.groupby(["media_id", "bucket"], as_index=False).agg(**aggs)[[c.split()[0] for c in form.split(", ")]]
+            yield batch.groupby(["media_id", "bucket"], as_index=False, dropna=False).agg(**aggs)[[c.split()[0] for c in form.split(", ")]]
 
     processor = ClosingBuckets(CLOSED, delay_ns, idle_ms, arrival is not None)
-    return slim.mapInPandas(summed, form).groupBy("media_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=CLOSED, outputMode="Append", timeMode="ProcessingTime" if arrival is None else "EventTime"
-    )
+    sums = slim.mapInPandas(summed, form)
+    timed = sums if arrival is None else sums.withWatermark(arrival, arrival_delay)
+    return stateful(timed, ["media_id"], processor, CLOSED, "ProcessingTime" if arrival is None else "EventTime")
 
 
 def progress(stream: DataFrame, media: DataFrame) -> DataFrame:
