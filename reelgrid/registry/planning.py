@@ -129,8 +129,10 @@ def stored_manifest(spark, folder):
     """Manifests stored twice, whole, the first time with other names, and once more without being published."""
     s = samples(spark, folder)
     r, _ = requests(spark, folder, s)
-    rows = X.manifest(P.range_plan(r, s), r).withColumn("kind", F.lit("png"))
-    path = scratch(spark, "manifest")
+    path, made = scratch(spark, "manifest"), scratch(spark, "plan")
+    # Planned once: three versions are written of it, each read twice, for its ranges of keys and for its rows.
+    X.manifest(P.range_plan(r, s), r).withColumn("kind", F.lit("png")).write.parquet(made)
+    rows = spark.read.parquet(made)
     IO.write_results(rows.withColumn("kind", F.lit("old")), path, whole=True)
     IO.write_results(rows, path, order=("seq",), whole=True)
     IO.write_results(rows, path, order=("seq",), publish=False)

@@ -87,3 +87,26 @@ def test_results_without_partitions_are_replaced_whole(spark, tmp_path):
     for n in (1, 2):
         IO.write_results(results(spark, *[(m, "x", n) for m in "abc"]), path, by=())
     assert seen(spark, path) == [("a", "x", 2), ("b", "x", 2), ("c", "x", 2)]
+
+
+def test_a_manifest_of_three_versions_is_planned_once(spark, monkeypatch):
+    """Each version, and each one's cut points, planned all ranges again."""
+    from reelgrid.plans import selection
+    from reelgrid.registry import planning
+
+    planned = spark.sparkContext.accumulator(0)
+    whole = selection.range_plan
+
+    def counted(rows):
+        for batch in rows:
+            planned.add(batch.num_rows)
+            yield batch
+
+    def counting(*given, **named):
+        plan = whole(*given, **named)
+        return plan.mapInArrow(counted, plan.schema)
+
+    monkeypatch.setattr(planning.P, "range_plan", counting)
+    folder = "/root/testdata/sf0.001"
+    files = planning.stored_manifest(spark, folder).agg(F.sum("files")).first()[0]
+    assert files and planned.value == files
