@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spacing import div, evenly_spaced
 from ..functions.scores import high_motion
-from ..operators import sweep
+from ..operators import lookups, sweep
 from ..operators.asof import asof
 from ..operators.order import Ordered, arrange, running_sum, sequence, settle
 from ..session import materialise
@@ -108,8 +108,15 @@ def drop_repeats(hits: DataFrame, keys: list[str], target: str = "target_ns", fr
     )
 
 
-def target_plan(requests: DataFrame, frames: DataFrame | Ordered) -> DataFrame:
-    """Frames nearest to the target times of each request, repeats left out, numbered from 1."""
+def target_plan(requests: DataFrame, frames: DataFrame | Ordered, few: bool | None = None) -> DataFrame:
+    """Frames nearest to the target times of each request, repeats left out, numbered from 1.
+
+    ``few`` tells that no media has many target times where the caller has counted them.
+    """
+    if lookups.even(requests, frames, "target_times", few):
+        slim = requests.select("request_id", "media_id", "target_times")
+        kept = lookups.nearest_frames(slim, frames, BODY, "target_times", repeats=False)
+        return kept.select("request_id", "media_id", (F.col("ordinal") + 1).alias("seq"), "target_ns", *[F.col("hit")[c].alias(c) for c in BODY])
     targets = requests.select("request_id", "media_id", F.explode("target_times").alias("target_ns")).distinct()
     hits = asof(targets, frames, BODY, "nearest")
     kept = drop_repeats(hits, ["request_id", "media_id"])
