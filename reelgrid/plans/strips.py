@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import MS
 from ..functions.spacing import div, evenly_spaced
+from ..operators import lookups
 from ..operators.asof import asof, known_frame_hint
 from ..operators.order import Ordered, arrange, running_sum, sequence, settle
 
@@ -42,15 +43,32 @@ def _exploded(plans: DataFrame, targets: str, probe: Column) -> DataFrame:
     )
 
 
-def even_sample(requests: DataFrame, frames: DataFrame | Ordered, most: int | None = None) -> DataFrame:
+def _hinted(plans: DataFrame, targets: str, probe: Column, frames: DataFrame | Ordered, few: bool | None = None) -> DataFrame:
+    """One row per target with its ordinal and the index of its nearest frame, and its key flag where the times are equal."""
+    if not lookups.even(plans, frames, targets, few):
+        return known_frame_hint(_exploded(plans, targets, probe), frames)
+    gaps = F.transform(F.col(targets), lambda t, i: F.struct(F.abs(F.greatest(t, F.lit(0)) - F.greatest(probe, F.lit(0))).alias("gap"), i.alias("i")))
+    found = lookups.nearest_frames(plans.withColumn("_nearest", F.array_min(gaps)["i"]), frames, ["key_frame"], targets)
+    return found.withColumns(
+        {
+            "ordinal": F.col("ordinal").cast("int"),
+            "current": F.col("ordinal") == F.col("_nearest"),
+            "index_hint": F.col("hit.presentation_index"),
+            "key_hint": F.when(F.col("hit.pt_ns") == F.col("target_ns"), F.col("hit.key_frame")),
+        }
+    ).drop("_nearest", "hit")
+
+
+def even_sample(requests: DataFrame, frames: DataFrame | Ordered, most: int | None = None, few: bool | None = None) -> DataFrame:
     """``count`` (at least 1) targets over each range with their nearest frames.
 
     requests: request_id, media_id, start_ns, end_ns, count, probe_ns. With ``most`` no range gets more
-    targets than that, and ``cut`` tells which asked for more.
+    targets than that, and ``cut`` tells which asked for more. ``few`` tells that no media has many targets where
+    the caller has counted them.
     """
     counted, count = _counted(requests, most)
     r = counted.withColumn("_targets", _spread(F.col("start_ns"), F.col("end_ns"), count))
-    return known_frame_hint(_exploded(r, "_targets", F.col("probe_ns")), frames)
+    return _hinted(r, "_targets", F.col("probe_ns"), frames, few)
 
 
 def _known(frames: DataFrame | Ordered) -> Ordered:
@@ -153,4 +171,4 @@ def context_window(probes: DataFrame, frames: DataFrame | Ordered, media: DataFr
     )
     loose = loose.withColumn("_targets", targets).select(*base, "exact", "_targets")
     plans = exact.select(*base, "exact", "_targets").unionByName(loose).withColumnRenamed("target_ns", "probe_ns")
-    return known_frame_hint(_exploded(plans, "_targets", F.col("probe_ns")), frames if isinstance(frames, Ordered) else known)
+    return _hinted(plans, "_targets", F.col("probe_ns"), frames if isinstance(frames, Ordered) else known)

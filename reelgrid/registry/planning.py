@@ -284,7 +284,7 @@ def even_frame_sample(spark, folder):
         F.when(day % 50 == 0, 75).otherwise(1 + day % 5).alias("count"),
         F.call_function("div", F.col("start_ns") * 2 + F.col("end_ns"), F.lit(3)).alias("probe_ns"),
     )
-    out = W.even_sample(r, samples(spark, folder))
+    out = W.even_sample(r, samples(spark, folder), few=few_ranges(spark, folder, 75))
     return out.select(
         "request_id", F.col("ordinal").cast("bigint").alias("ordinal"), "target_ns", known("index_hint").alias("index_hint"),
         F.col("current").cast("bigint").alias("current"),
