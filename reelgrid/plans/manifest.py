@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.naming import frame_file_name
 
 
-def manifest(plan: DataFrame, requests: DataFrame) -> DataFrame:
-    """Plan rows (request_id, media_id, seq, frame columns) with their file names."""
-    r = requests.select("request_id", "media_id", "base_name", "format")
+def manifest(plan: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """Plan rows (request_id, media_id, seq, frame columns) with their file names; without ``requests`` the plan
+    has their base_name and format."""
     name = frame_file_name(
         F.col("base_name"), F.col("seq"), F.col("presentation_index"), F.col("pt_ns"), F.col("format")
     )
-    return plan.join(r, ["request_id", "media_id"]).withColumn("file_name", name).drop("base_name", "format")
+    if requests is not None:
+        plan = plan.join(requests.select("request_id", "media_id", "base_name", "format"), ["request_id", "media_id"])
+    return plan.withColumn("file_name", name).drop("base_name", "format")
 
 
 def manifest_summary(files: DataFrame, requests: DataFrame) -> DataFrame:

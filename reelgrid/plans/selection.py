@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField
 
 from ..functions.spacing import div, evenly_spaced
 from ..functions.scores import high_motion
@@ -21,17 +25,6 @@ def _swept(requests: DataFrame, frames: DataFrame | Ordered) -> tuple[DataFrame,
     """Frames with position and the number of keyframes before each, and requests with the first and last
     position and key ordinals of their range: one sweep, stored once as both come from it."""
     r = requests.withColumn("_from", F.when(F.col("range_start_ns") <= 0, F.lit(FIRST)).otherwise(F.col("range_start_ns")))
-    if sweep.even(r, frames):
-        slim = frames.to(frames.df.select(*frames.columns(*BODY))) if isinstance(frames, Ordered) else frames
-        o = running_sum(sequence(arrange(slim), names=("_pos", "", "")), F.when(F.col("key_frame"), 1).otherwise(0).cast("bigint"), "_keys", inclusive=False)
-        found = sweep.searched(r, frames, ["key_frame"], _keys_so_far, "_from", "range_end_ns").where("total > 0")
-        past = F.col("p0") == F.col("total")
-        # Ordinals at the last frame stand for those past it.
-        bounds = found.select(
-            *requests.columns, F.when(past, F.col("total") - 1).otherwise(F.col("p0")).alias("_p0"), F.col("p1").alias("_p1"),
-            F.coalesce("first_before", "last_before").alias("_k0"), F.coalesce(F.col("last_before") + F.col("last_key"), F.lit(0)).alias("_k1"),
-        )
-        return o.plain(), bounds
     spans = r.select("media_id", F.col("_from").alias("start_ns"), F.col("range_end_ns").alias("end_ns")).distinct()
     key = F.when(F.col("_row.key_frame"), 1).otherwise(0)
     o = sweep.counted(sweep.counted(sweep.events(spans, frames, BODY), F.lit(1), "_n"), key, "_k")
@@ -49,19 +42,44 @@ def _swept(requests: DataFrame, frames: DataFrame | Ordered) -> tuple[DataFrame,
     return rows, r.join(bounds, ["media_id", "_from", "range_end_ns"]).drop("_from")
 
 
-def _keys_so_far(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    key = (rows["key_frame"] > 0).astype(np.int64)
-    return {"before": np.cumsum(key) - key, "key": key}
+def _picks(asked: pa.Table, held: lookups.Frames, keyframes: bool) -> tuple[np.ndarray, ...]:
+    """Of each request: the first pick, the step, how many frames match and the most it takes; picks are places in the
+    frames, or in the keyframes, which are given as places in the frames."""
+    number = lambda c, absent: lookups._whole(asked.column(c).chunk(0) if asked.num_rows else pa.array([], pa.int64()), absent)
+    known = lambda c: asked.column(c).is_valid().to_numpy()
+    start, most = number("range_start_ns", FIRST), np.where(known("max_frames"), number("max_frames", 0), 2**62)
+    first = held.place(np.where(start <= 0, FIRST, start))
+    last = held.place(number("range_end_ns", 0), past=True) - 1
+    # Past the last frame a range starts with that frame.
+    first = np.minimum(first, held.end - 1)
+    some = (held.end > held.begin) & (first <= last) & known("range_end_ns")
+    first, last = np.where(some, first, 0), np.where(some, last, -1)
+    if keyframes:
+        key = held.whole("key_frame", 0)
+        before = np.concatenate([[0], np.cumsum(key)])
+        return before[first], np.ones(len(first), np.int64), np.where(some, before[last + 1] - before[first], 0), most, np.flatnonzero(key)
+    step = number("every_n", 0)
+    found = np.where(some & (step > 0), (last - first) // np.maximum(step, 1) + 1, 0)
+    return first, step, found, most, np.arange(len(held.times))
+
 
+def _limit_reached(asked: pa.Table, found: np.ndarray, most: np.ndarray) -> pa.Array:
+    return pa.array(found > most, mask=~asked.column("max_frames").is_valid().to_numpy())
 
-def range_plan(requests: DataFrame, frames: DataFrame | Ordered, keyframes: bool = False) -> DataFrame:
+
+def range_plan(
+    requests: DataFrame, frames: DataFrame | Ordered, keyframes: bool = False, keep: tuple[str, ...] = (), few: bool | None = None
+) -> DataFrame:
     """Frames of a range export: from the first frame at or after the start to the range end,
     every N-th of them (or the keyframes), at most ``max_frames``.
 
     The positions wanted follow from the two range ends, so the frames are joined on equal
     positions; ``limit_reached`` tells that more would have matched. Requests: request_id,
-    media_id, range_start_ns, range_end_ns, every_n, max_frames.
+    media_id, range_start_ns, range_end_ns, every_n, max_frames; those in ``keep`` are given too. ``few``
+    tells that no media has many requests where the caller has counted them.
     """
+    if lookups.even(requests, frames, few=few):
+        return _listed(requests, frames, keyframes, keep)
     rows, b = _swept(requests, frames)
     if keyframes:
         found = F.col("_k1") - F.col("_k0")
@@ -77,11 +95,35 @@ def range_plan(requests: DataFrame, frames: DataFrame | Ordered, keyframes: bool
         b.withColumn("limit_reached", F.col("_found") > F.col("max_frames"))
         .withColumn("seq", F.explode(F.sequence(F.lit(1).cast("bigint"), wanted)))
         .withColumn("_at", start + (F.col("seq") - 1) * step)
-        .select("request_id", "media_id", "seq", "_at", "limit_reached")
+        .select("request_id", "media_id", "seq", "_at", "limit_reached", *keep)
     )
     return picked.join(source.select("media_id", "_at", *BODY), ["media_id", "_at"]).drop("_at")
 
 
+def _listed(requests: DataFrame, frames: DataFrame | Ordered, keyframes: bool, keep: tuple[str, ...]) -> DataFrame:
+    """``range_plan`` where each media fits one task: no pick is joined to its frame."""
+    given = ["request_id", "media_id", *keep]
+    slim = requests.select(*given, "range_start_ns", "range_end_ns", "every_n", "max_frames")
+
+    def answer(asked: pa.Table, held: lookups.Frames) -> Iterator[pa.Table]:
+        first, step, found, most, places = _picks(asked, held, keyframes)
+        reached, wanted = _limit_reached(asked, found, most), np.maximum(np.minimum(found, most), 0)
+        total = np.cumsum(wanted)
+        a = 0
+        while a < len(wanted):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + lookups.AT_ONCE, "right")))
+            owner = np.repeat(np.arange(a, b), wanted[a:b])
+            seq = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            rows = held.rows.take(pa.array(places[first[owner] + seq * step[owner]]))
+            columns = {c: asked.column(c).take(pa.array(owner)) for c in given}
+            yield pa.table(columns | {"seq": pa.array(seq + 1), "limit_reached": reached.take(pa.array(owner))} | {c: rows.field(c) for c in BODY})
+            a = b
+
+    types = (frames.df if isinstance(frames, Ordered) else frames).schema
+    added = [StructField("seq", LongType()), StructField("limit_reached", BooleanType()), *[StructField(c, types[c].dataType) for c in BODY]]
+    return lookups.looked_up(slim, frames, BODY, answer, added, ("range_start_ns", "range_end_ns", "every_n", "max_frames"))
+
+
 def every_nth(rows: DataFrame | Ordered, n: int) -> DataFrame:
     """Rows whose position in the media is a multiple of n."""
     o = sequence(arrange(rows), names=("_pos", "", ""))

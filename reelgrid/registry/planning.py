@@ -92,7 +92,7 @@ chosen AS (
 def frame_range_plan(spark, folder):
     s = samples(spark, folder)
     r, _ = requests(spark, folder, s)
-    out = P.range_plan(r, s)
+    out = P.range_plan(r, s, few=few_ranges(spark, folder, 1))
     return out.select("request_id", "seq", "presentation_index", F.col("limit_reached").cast("bigint").alias("limit_reached"))
 
 
@@ -104,7 +104,7 @@ def frame_range_plan(spark, folder):
 def keyframe_plan(spark, folder):
     s = samples(spark, folder)
     r, _ = requests(spark, folder, s)
-    out = P.range_plan(r, s, keyframes=True)
+    out = P.range_plan(r, s, keyframes=True, few=few_ranges(spark, folder, 1))
     return out.select("request_id", "seq", "presentation_index", F.col("limit_reached").cast("bigint").alias("limit_reached"))
 
 
@@ -117,7 +117,7 @@ def keyframe_plan(spark, folder):
 def manifest(spark, folder):
     s = samples(spark, folder)
     r, _ = requests(spark, folder, s)
-    return X.manifest(P.range_plan(r, s), r).select("request_id", "file_name")
+    return X.manifest(P.range_plan(r, s, keep=("base_name", "format"), few=few_ranges(spark, folder, 1))).select("request_id", "file_name")
 
 
 @query(
@@ -131,7 +131,7 @@ def stored_manifest(spark, folder):
     r, _ = requests(spark, folder, s)
     path, made = scratch(spark, "manifest"), scratch(spark, "plan")
     # Planned once: three versions are written of it, each read twice, for its ranges of keys and for its rows.
-    X.manifest(P.range_plan(r, s), r).withColumn("kind", F.lit("png")).write.parquet(made)
+    X.manifest(P.range_plan(r, s, keep=("base_name", "format"), few=few_ranges(spark, folder, 1))).withColumn("kind", F.lit("png")).write.parquet(made)
     rows = spark.read.parquet(made)
     IO.write_results(rows.withColumn("kind", F.lit("old")), path, whole=True)
     IO.write_results(rows, path, order=("seq",), whole=True)
@@ -150,7 +150,7 @@ def stored_manifest(spark, folder):
 def manifest_summary(spark, folder):
     s = samples(spark, folder)
     r, _ = requests(spark, folder, s)
-    out = X.manifest_summary(P.range_plan(r, s), r)
+    out = X.manifest_summary(P.range_plan(r, s, few=few_ranges(spark, folder, 1)), r)
     return out.select("request_id", "files", F.coalesce("detail", F.lit("")).alias("detail"))
 
 

@@ -54,3 +54,17 @@ def test_targets_are_no_rows(spark, monkeypatch, dealt, name, run, columns):
     for module in (P, H):
         monkeypatch.setattr(module, "asof", lambda *a: pytest.fail("targets as rows"))
     assert want and rows(run(with_media, frames), *columns) == want
+
+
+@pytest.mark.parametrize("keyframes", [False, True])
+def test_picks_are_not_joined_to_their_frames(spark, monkeypatch, dealt, keyframes):
+    frames, requests = tables(spark)
+    requests = requests.withColumns({"every_n": F.lit(2), "max_frames": F.when(F.col("range_start_ns") % 3 > 0, 3), "base_name": F.col("request_id")})
+    requests = requests.withColumn("max_frames", F.coalesce("max_frames", F.lit(100)))
+    columns = ("request_id", "media_id", "seq", "limit_reached", "pt_ns", "presentation_index", "key_frame")
+    spark.conf.set("reelgrid.chunk.rows", "5")
+    want = rows(P.range_plan(requests, frames, keyframes), *columns)
+    spark.conf.unset("reelgrid.chunk.rows")
+    monkeypatch.setattr(P, "_swept", lambda *a: pytest.fail("picks joined by position"))
+    got = P.range_plan(requests, frames, keyframes, keep=("base_name",))
+    assert want and rows(got, *columns) == want and got.where("base_name <> request_id").isEmpty()
